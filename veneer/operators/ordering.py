@@ -295,5 +295,5 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 def expand_slots(plan: DataFrame, order: str, name: str, count: str) -> DataFrame:
     """Rows of a (name, count) plan expanded to consecutive slot ids from 1."""
     placed = running_total(plan.filter(F.col(count) > 0), [order], count, "__upto")
-    ids = F.sequence(F.col("__upto") - F.col(count) + 1, F.col("__upto"))
-    return placed.select(F.explode(ids).cast("long").alias("slot_id"), name)
+    first = (F.col("__upto") - F.col(count) + 1).cast("long")
+    return placed.select(F.explode(F.sequence(first, F.col("__upto").cast("long"))).alias("slot_id"), name)
