@@ -96,9 +96,10 @@ def read_claims(spark: SparkSession, path: str, dedup: bool = True) -> DataFrame
     return ranked.select((F.col("__i") - 1).alias("row_id"), "claim_text", "label")
 
 
-def read_records(spark: SparkSession, path: str, key: str, schema: str, expect: int | None = None) -> DataFrame:
-    """JSON-array records; the count must be ``expect`` and ids unique."""
-    df = spark.read.schema(schema).json(path, multiLine=True)
+def read_records(spark: SparkSession, path: str, key: str, schema: str, expect: int | None = None,
+                 lines: bool = False) -> DataFrame:
+    """Records of JSON arrays (or JSON lines); the count must be ``expect`` and ids unique."""
+    df = spark.read.schema(schema).json(path, multiLine=not lines)
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids")).first()
     if expect is not None and stats["n"] != expect:
         raise ValueError(f"{path}: expected {expect} records, got {stats['n']}")

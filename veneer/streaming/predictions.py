@@ -20,14 +20,15 @@ SCHEMA = "model_name string, pair_id long, correct int"
 def prediction_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     raw = (spark.readStream.schema(SCHEMA).options(header=True, maxFilesPerTrigger=max_files, pathGlobFilter="*.csv")
            .csv(folder).select("model_name", "pair_id", "correct", "_metadata"))
-    return (raw.select(file_name().alias("source_file"), F.monotonically_increasing_id().alias("row_no"),
-                       "model_name", "pair_id", "correct").filter(F.col("source_file") != EXAMPLE_FILE))
+    return (raw.select(file_name().alias("source_file"), "model_name", "pair_id", "correct")
+            .filter(F.col("source_file") != EXAMPLE_FILE))
 
 
 def start_ingest(spark: SparkSession, folder: str, log_path: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
     """Drain the files present and stop; run again when more arrive."""
     def append(batch: DataFrame, batch_id: int) -> None:
-        last_in_file(batch).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        numbered = batch.withColumn("row_no", F.monotonically_increasing_id())
+        last_in_file(numbered).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return (prediction_stream(spark, folder, max_files).writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
