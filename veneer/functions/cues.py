@@ -10,14 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veneer.functions import lexicons as lx
-from veneer.functions.text import (SPACE, WORD, any_of, bounded, dashed_words, quote, strip,
-                                   text_or_blank)
+from veneer.functions.text import (SPACE, SPACE_CHARS, WORD, any_of, bounded, dashed_words, has_word, quote,
+                                   strip, text_or_blank)
 
 LENGTH_DRIFT_PAD, LENGTH_DRIFT_RATIO = 15, 1.5
 
 
 def _lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"\\A[{SPACE}]+", "")
+    return F.ltrim(text, F.lit(SPACE_CHARS))
 
 
 def _first(terms, condition) -> Column:
@@ -39,13 +39,13 @@ def start_phrase(text: Column, phrases) -> Column:
 
 def unwrapped_start(text: Column, phrases) -> Column:
     """First phrase the text starts with after leading quotes and brackets are dropped."""
-    bare = F.lower(F.regexp_replace(text_or_blank(text), f"\\A[{SPACE}\"'`(\\[{{]+", ""))
+    bare = F.lower(F.ltrim(text_or_blank(text), F.lit(SPACE_CHARS + "\"'`([{")))
     return _first(phrases, lambda t: F.startswith(bare, F.lit(t.lower())))
 
 
 def longest_opener(text: Column, openers=lx.OPENERS) -> Column:
     """Opener (with its blank) after leading quotes, longest first."""
-    bare = F.lower(_lstrip(F.regexp_replace(text_or_blank(text), "\\A\"*'*", "")))
+    bare = F.lower(_lstrip(F.ltrim(F.ltrim(text_or_blank(text), F.lit('"')), F.lit("'"))))
     ordered = sorted((o + " " for o in openers), key=len, reverse=True)
     return _first(ordered, lambda t: F.startswith(bare, F.lit(t.lower())))
 
@@ -53,15 +53,13 @@ def longest_opener(text: Column, openers=lx.OPENERS) -> Column:
 def first_word_hit(text: Column, terms) -> Column:
     """First whole word present, ignoring case."""
     low = F.lower(text_or_blank(text))
-    return _first(terms, lambda t: F.contains(low, F.lit(t.lower()))
-                  & F.rlike(low, F.lit(bounded(quote(t.lower())))))
+    return _first(terms, lambda t: has_word(low, t.lower()))
 
 
 def first_token_hit(text: Column, terms) -> Column:
     """As first_word_hit, but an apostrophe before the token also blocks it."""
     low = F.lower(text_or_blank(text))
-    return _first(terms, lambda t: F.contains(low, F.lit(t.lower()))
-                  & F.rlike(low, F.lit(f"(?<![\\p{{L}}\\p{{N}}_']){quote(t.lower())}(?!{WORD})")))
+    return _first(terms, lambda t: has_word(low, t.lower(), "[\\p{L}\\p{N}_']"))
 
 
 def first_substring(text: Column, phrases) -> Column:
@@ -73,8 +71,7 @@ def distinct_word_hits(text: Column, terms) -> Column:
     """ARRAY of the listed words that occur at least once, in list order."""
     low = F.lower(text_or_blank(text))
     return F.array_compact(F.array(*[
-        F.when(F.contains(low, F.lit(t)) & F.rlike(low, F.lit(bounded(quote(t)))), F.lit(t))
-        for t in terms]))
+        F.when(has_word(low, t), F.lit(t)) for t in terms]))
 
 
 def substring_hits(text: Column, phrases) -> Column:

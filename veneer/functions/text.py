@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 from veneer.functions.lexicons import ClaimLexicon, PairLexicon
 
 WORD = r"[\p{L}\p{N}_]"
-SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
+# single Latin-1 characters are one table lookup per character in the regex engine
+NARROW_SPACE = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0"
+SPACE = NARROW_SPACE + r"\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+# ASCII letters and digits with at most one inner apostrophe part; possessive, as no match needs backtracking
+TOKEN = r"\p{Alnum}++(?:'\p{Alnum}++)?+"
 
 PAIR_FEATURES = (
     "neg_lead", "neg_cnt", "hedge_rate", "auth_rate", "len_gap", "word_count",
@@ -40,6 +45,16 @@ def quote(term: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
 
 
+def whole_word(term: str, before: str = WORD) -> str:
+    """Pattern of a plain term as a whole word.
+
+    The literal comes first and the look-behind spans it, so the engine only looks around
+    where the literal already matched.
+    """
+    t = quote(term)
+    return f"{t}(?<!{before}{t})(?!{WORD})"
+
+
 def bounded(pattern: str) -> str:
     return f"(?<!{WORD})(?:{pattern})(?!{WORD})"
 
@@ -54,7 +69,7 @@ def text_or_blank(col) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space on both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def tokens(text: Column) -> Column:
@@ -74,7 +89,7 @@ def _guarded_count(lowered: Column, core: str, pattern: str) -> Column:
 
 def count_words(lowered: Column, terms) -> Column:
     """Sum over terms of whole-word occurrences; overlapping terms count separately."""
-    return reduce(add, [_guarded_count(lowered, t, bounded(quote(t))) for t in terms], F.lit(0))
+    return reduce(add, [_guarded_count(lowered, t, whole_word(t)) for t in terms], F.lit(0))
 
 
 def count_patterns(lowered: Column, patterns) -> Column:
@@ -90,8 +105,12 @@ def count_phrases(lowered: Column, phrases) -> Column:
     return reduce(add, parts, F.lit(0))
 
 
+def has_word(lowered: Column, term: str, before: str = WORD) -> Column:
+    return F.contains(lowered, F.lit(term)) & F.rlike(lowered, F.lit(whole_word(term, before)))
+
+
 def has_any_word(lowered: Column, terms) -> Column:
-    return F.rlike(lowered, F.lit(bounded(any_of(terms)))).cast("int")
+    return reduce(or_, [has_word(lowered, t) for t in terms]).cast("int")
 
 
 def leads_with(stripped_lower: Column, terms) -> Column:
@@ -105,7 +124,10 @@ def leads_with_word(stripped_lower: Column, terms) -> Column:
 
 
 def whitespace_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    """Runs without white space; only texts with characters from U+1680 on need the wide class."""
+    wide = (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(r"[\u1680-\u3000]"))
+    return F.when(wide, F.regexp_count(text, F.lit(f"[^{SPACE}]++"))).otherwise(
+        F.regexp_count(text, F.lit(f"[^{NARROW_SPACE}]++")))
 
 
 def dashed_words(text: Column) -> Column:
@@ -115,7 +137,7 @@ def dashed_words(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Segments between runs of ``. ! ?`` that hold something but white space; at least 1."""
-    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[^.!?{SPACE}][^.!?]*")))
+    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[^.!?{SPACE}][^.!?]*+")))
 
 
 def mean_token_length(token_array: Column) -> Column:
@@ -128,7 +150,7 @@ def type_token(token_array: Column) -> Column:
 
 
 def punctuation_count(text: Column, marks: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, marks, ""))
+    return count_phrases(text, tuple(marks))
 
 
 def rate(count: Column, total: Column) -> Column:

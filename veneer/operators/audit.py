@@ -42,12 +42,8 @@ class Fit:
     n_rows: np.ndarray = field(default=None)
 
 
-def feature_vector(features, center=None, scale=None) -> Column:
-    cols = []
-    for i, f in enumerate(features):
-        c = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-        cols.append(c if center is None else (c - float(center[i])) / float(scale[i]))
-    return F.array(*cols)
+def feature_vector(features) -> Column:
+    return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -55,16 +51,16 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def _batch_parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _batch_parts(batch: pa.RecordBatch, center, scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for start in range(0, batch.num_rows, _ROWS_PER_STEP):
         part = batch.slice(start, _ROWS_PER_STEP)
         n = part.num_rows
-        x = _matrix(part.column("x"), n)
+        x = (_matrix(part.column("x"), n) - center) / scale
         yield (np.hstack([np.ones((n, 1)), x]), _matrix(part.column("y"), n),
                part.column("fold").to_numpy(zero_copy_only=False))
 
 
-def _partial_sums(weights: np.ndarray, n_folds: int):
+def _partial_sums(weights: np.ndarray, center: np.ndarray, scale: np.ndarray):
     """Task body: partial [Hessian rows | gradient | (loss, rows, positives)] per model."""
     n_trials, n_models, width = weights.shape
     flat = weights.reshape(-1, width)
@@ -78,7 +74,7 @@ def _partial_sums(weights: np.ndarray, n_folds: int):
         tail = np.zeros((3, count))
         seen = False
         for batch in batches:
-            for x, labels, fold in _batch_parts(batch):
+            for x, labels, fold in _batch_parts(batch, center, scale):
                 seen = True
                 trains = fold[:, None] != np.arange(n_models)[None, :]
                 member = ((labels >= 0)[:, :, None] & trains[:, None, :]).reshape(len(x), count)
@@ -115,10 +111,10 @@ def _partial_sums(weights: np.ndarray, n_folds: int):
     return run
 
 
-def _sums(rows: DataFrame, weights: np.ndarray, n_folds: int) -> np.ndarray:
+def _sums(rows: DataFrame, weights: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
     n_trials, n_models, width = weights.shape
     schema = "model int, line int, " + ", ".join(f"c{j} double" for j in range(width))
-    total = (rows.select("x", "y", "fold").mapInArrow(_partial_sums(weights, n_folds), schema)
+    total = (rows.select("x", "y", "fold").mapInArrow(_partial_sums(weights, center, scale), schema)
              .groupBy("model", "line").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(width)]))
     out = np.zeros((n_trials * n_models, width + 2, width))
     # trials x folds x (width + 2) small rows, whatever the size of the data
@@ -131,7 +127,7 @@ def _sums(rows: DataFrame, weights: np.ndarray, n_folds: int) -> np.ndarray:
 def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.ndarray | None = None,
         l2: float = 1.0, max_iter: int = 25, tol: float = 1e-9,
         center=None, scale=None) -> Fit:
-    """Newton iterations over ``rows(x, y, fold)``; ``x`` is centred and scaled by the caller."""
+    """Newton iterations over ``rows(x, y, fold)``; tasks centre and scale ``x`` before use."""
     d = len(features)
     width = d + 1
     if width < 3:
@@ -142,7 +138,7 @@ def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.nd
     scale = np.ones(d) if scale is None else np.asarray(scale, float)
     shape = (n_trials, models)
     w = np.zeros((*shape, width))          # on standardised features of each training part
-    raw = np.zeros((*shape, width))        # on x
+    raw = np.zeros((*shape, width))        # on the centred and scaled x
     mean, std = np.zeros((*shape, d)), np.ones((*shape, d))
     active = np.broadcast_to(masks[:, None, :], (*shape, d)).copy()
     valid = np.ones(shape, bool)
@@ -152,7 +148,7 @@ def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.nd
     n_rows = np.zeros(shape)
     it = 0
     for it in range(1, max_iter + 1):
-        total = _sums(rows, raw, n_folds)
+        total = _sums(rows, raw, center, scale)
         if it == 1:
             # at zero weights the Hessian is a quarter of the Gram matrix: the moments
             gram = total[:, :, :width, :] * 4.0
@@ -194,7 +190,7 @@ def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.nd
         raw = _to_raw(w, mean, std)
         if done.all():
             break
-    # x is (feature - center) / scale: fold that into the reported raw-feature weights
+    # fold centring and scaling into the reported raw-feature weights
     out = raw.copy()
     out[..., 1:] = raw[..., 1:] / scale
     out[..., 0] = raw[..., 0] - (raw[..., 1:] * center / scale).sum(-1)
@@ -248,9 +244,7 @@ class Audit:
 
     def metrics(self) -> DataFrame:
         """(trial, auc, accuracy, n_rows)."""
-        scored = self.long()
-        hits = metrics.accuracy(scored, by=["trial"])
-        return metrics.auc(scored, by=["trial"]).select("trial", "auc").join(hits, "trial")
+        return metrics.auc(self.long(), by=["trial"], cut=0.5).select("trial", "auc", "accuracy", "n_rows")
 
     def release(self) -> None:
         if self.cached is not None:
@@ -265,18 +259,9 @@ def run_audit(df: DataFrame, features, keys: list[str], trials: Column, n_trials
     ``df`` needs the feature columns, ``fold`` and ``keys``; ``trials`` is an ARRAY column
     with the row's label (0/1) per trial or -1.
     """
-    moments = df.agg(*[F.avg(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f"m{i}")
-                       for i, f in enumerate(features)],
-                     *[F.stddev_pop(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f"s{i}")
-                       for i, f in enumerate(features)]).first()
-    d = len(features)
-    center = np.array([moments[i] or 0.0 for i in range(d)])
-    spread = np.array([moments[d + i] or 0.0 for i in range(d)])
-    scale = np.where(spread > 1e-12 * (1.0 + np.abs(center)), spread, 1.0)
-    rows = df.select(*keys, F.col("fold").cast("int").alias("fold"),
-                     feature_vector(features, center, scale).alias("x"),
+    rows = df.select(*keys, F.col("fold").cast("int").alias("fold"), feature_vector(features).alias("x"),
                      F.transform(trials, lambda v: v.cast("tinyint")).alias("y"))
-    return _run(rows, features, keys, n_trials, n_folds, masks, l2, digits, persist, center, scale)
+    return _run(rows, features, keys, n_trials, n_folds, masks, l2, digits, persist)
 
 
 def run_vector_audit(df: DataFrame, vector: str, dim: int, keys: list[str], trials: Column,
@@ -286,19 +271,22 @@ def run_vector_audit(df: DataFrame, vector: str, dim: int, keys: list[str], tria
                      F.transform(vector, lambda v: v.cast("double")).alias("x"),
                      F.transform(trials, lambda v: v.cast("tinyint")).alias("y"))
     names = [f"v{i}" for i in range(dim)]
-    return _run(rows, names, keys, n_trials, n_folds, None, l2, digits, True, None, None)
+    return _run(rows, names, keys, n_trials, n_folds, None, l2, digits, True)
 
 
-def _run(rows, features, keys, n_trials, n_folds, masks, l2, digits, persist, center, scale) -> Audit:
+def _run(rows, features, keys, n_trials, n_folds, masks, l2, digits, persist) -> Audit:
     if persist:  # re-read once per Newton step; lost blocks are recomputed from the source
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    d = len(features)
+    at = [F.element_at("x", i + 1) for i in range(d)]
+    moments = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(at)],
+                       *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at)]).first()
+    center = np.array([moments[i] or 0.0 for i in range(d)])
+    spread = np.array([moments[d + i] or 0.0 for i in range(d)])
+    scale = np.where(spread > 1e-12 * (1.0 + np.abs(center)), spread, 1.0)
     fitted = fit(rows, features, n_trials, n_folds, masks, l2, center=center, scale=scale)
     schema = T.StructType(rows.schema.fields + [T.StructField("proba", T.ArrayType(T.DoubleType()))])
-    z = fitted.weights.copy()
-    if center is not None:  # back to the scale of x
-        z[..., 0] += (fitted.weights[..., 1:] * center).sum(-1)
-        z[..., 1:] *= scale
-    scored = rows.mapInArrow(_score_batches(z, fitted.valid, digits), schema)
+    scored = rows.mapInArrow(_score_batches(fitted.weights, fitted.valid, digits), schema)
     return Audit(scored.drop("x"), fitted, list(keys), rows if persist else None)
 
 

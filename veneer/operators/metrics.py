@@ -22,7 +22,10 @@ def _range_of(score: Column, edges: Column) -> Column:
 def _in_ranges(df: DataFrame, value: str) -> DataFrame:
     """Add ``__range``: the position of ``value`` among common quantile edges (one-row side)."""
     probs = F.array(*[F.lit(i / (1 << _LEVELS)) for i in range(1, 1 << _LEVELS)])
-    edges = df.agg(F.percentile_approx(value, probs, F.lit(2000)).alias("__edges"))
+    # reading every column on both sides keeps the two plans equal below this point, so
+    # Spark computes the aggregation underneath once and reuses its shuffle
+    whole = df.filter(F.struct(*df.columns).isNotNull())
+    edges = whole.agg(F.percentile_approx(value, probs, F.lit(2000)).alias("__edges"))
     return attach(df, edges).withColumn("__range", _range_of(F.col(value), F.col("__edges"))).drop("__edges")
 
 
@@ -39,12 +42,13 @@ def midranks(counts: DataFrame, value: str, n: str, by: list[str], name: str) ->
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None,
-        weight: Column | None = None) -> DataFrame:
+        weight: Column | None = None, cut: float | None = None) -> DataFrame:
     """Rank AUC with ties per group: (by..., auc, n_pos, n_neg); NULL for a single class.
 
     Rows are first reduced to one per (group, score). Scores are then cut at common
     quantile edges, so a running sum only ever covers one range of one group, and ranges
     are joined by the totals of the ranges below. Exact for any choice of edges.
+    With ``cut`` the accuracy at that score and the row count come from the same counts.
     """
     by = by or []
     w = weight if weight is not None else F.lit(1)
@@ -55,20 +59,23 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str]
     ranged = _in_ranges(tied, "__s")
     inside = (Window.partitionBy(*by, "__range").orderBy("__s")
               .rowsBetween(Window.unboundedPreceding, -1))
+    hit = F.when(F.col("__s") >= (0.5 if cut is None else cut), F.col("__pos")).otherwise(F.col("__neg"))
     # negatives below a positive count 1, tied negatives 1/2
     per_range = (ranged.withColumn("__below", F.coalesce(F.sum("__neg").over(inside), F.lit(0)))
                  .groupBy(*by, "__range")
                  .agg(F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2)).alias("__u"),
-                      F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n")))
+                      F.sum("__pos").alias("__p"), F.sum("__neg").alias("__n"), F.sum(hit).alias("__hits")))
     lower = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     joined = per_range.withColumn("__lower", F.coalesce(F.sum("__n").over(lower), F.lit(0)))
-    totals = [F.sum(F.col("__u") + F.col("__p") * F.col("__lower")).alias("__u"),
-              F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg")]
-    out = joined.groupBy(*by).agg(*totals) if by else joined.agg(*totals)
+    out = joined.groupBy(*by).agg(
+        F.sum(F.col("__u") + F.col("__p") * F.col("__lower")).alias("__u"),
+        F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__hits").alias("__hits"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     # factors are divided apart: their product can pass the integer range
-    return out.select(*by, F.when(both, F.col("__u") / F.col("n_pos").cast("double")
-                                  / F.col("n_neg").cast("double")).alias("auc"), "n_pos", "n_neg")
+    value = F.when(both, F.col("__u") / F.col("n_pos").cast("double") / F.col("n_neg").cast("double"))
+    rows = F.col("n_pos") + F.col("n_neg")
+    extra = [] if cut is None else [(F.col("__hits") / rows).alias("accuracy"), rows.alias("n_rows")]
+    return out.select(*by, value.alias("auc"), "n_pos", "n_neg", *extra)
 
 
 def accuracy(df: DataFrame, score: str = "score", label: str = "label",

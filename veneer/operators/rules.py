@@ -19,19 +19,26 @@ CONFIDENCE_MIN = 0.70
 STRATEGIES = ("negation_opener", "hedging", "authority")
 
 
-def apply_rules(df: DataFrame, rules: list[tuple[Column, Column]], warnings: list[tuple[Column, Column]] = ()) -> DataFrame:
-    """Append ok, reason, warnings."""
-    reason = F.coalesce(*[F.when(cond, why) for cond, why in rules])
-    warn = (F.array_compact(F.array(*[F.when(cond, why) for cond, why in warnings]))
+def apply_rules(df: DataFrame, rules: list[tuple[Column | None, Column]],
+                warnings: list[tuple[Column | None, Column]] = ()) -> DataFrame:
+    """Append ok, reason, warnings. A rule without condition fires when its reason is not NULL."""
+    fire = lambda cond, why: why if cond is None else F.when(cond, why)
+    reason = F.coalesce(*[fire(cond, why) for cond, why in rules])
+    warn = (F.array_compact(F.array(*[fire(cond, why) for cond, why in warnings]))
             if warnings else F.array().cast("array<string>"))
     return (df.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
               .withColumn("warnings", warn))
 
 
-def _hit(found: Column, template: str) -> tuple[Column, Column]:
+def _stripped(df: DataFrame, **texts: str) -> DataFrame:
+    """Stripped texts as columns, so the dozens of conditions below do not strip again."""
+    return df.withColumns({f"__{name}": strip(text_or_blank(c)) for name, c in texts.items()})
+
+
+def _hit(found: Column, template: str) -> tuple[Column | None, Column]:
     """Rule that fires when a detector found something; ``{}`` takes the finding."""
     head, tail = template.split("{}")
-    return found.isNotNull(), F.concat(F.lit(head), found, F.lit(tail))
+    return None, F.concat(F.lit(head), found, F.lit(tail))  # NULL when nothing is found
 
 
 def _low_confidence(value: Column) -> list[tuple[Column, Column]]:
@@ -70,7 +77,7 @@ SINGLE_CUE = PairCues(authority_starts=lx.SINGLE_CUE_AUTHORITY_STARTS, contrasts
 def validate_fresh_pair(df: DataFrame, a: str = "a_side", b: str = "b_side",
                         confidence: str = "generator_confidence", c: PairCues = PairCues()) -> DataFrame:
     """Fresh two-sided answers: plain A side, cue-led B side."""
-    ta, tb = strip(text_or_blank(a)), strip(text_or_blank(b))
+    ready, ta, tb = _stripped(df, a=a, b=b), F.col("__a"), F.col("__b")
     rules = [
         _blank(ta, "a_side"), _blank(tb, "b_side"),
         _hit(cues.opener(ta, c.openers), "A starts with opener '{}'"),
@@ -82,7 +89,7 @@ def validate_fresh_pair(df: DataFrame, a: str = "a_side", b: str = "b_side",
         _hit(cues.first_word_hit(tb, c.contrasts), "B contains contrast word '{}'"),
         *_low_confidence(F.col(confidence)),
     ]
-    return apply_rules(df, rules, [(cues.first_word_hit(tb, c.hedges).isNull(), F.lit("B has no hedge"))])
+    return apply_rules(ready, rules, [(cues.first_word_hit(tb, c.hedges).isNull(), F.lit("B has no hedge"))]).drop("__a", "__b")
 
 
 def validate_single_cue_pair(df: DataFrame, a: str = "a_side", b: str = "b_side",
@@ -91,12 +98,16 @@ def validate_single_cue_pair(df: DataFrame, a: str = "a_side", b: str = "b_side"
                              strategies: tuple = STRATEGIES, words: tuple | None = None,
                              c: PairCues = SINGLE_CUE) -> DataFrame:
     """Exactly one observed cue on B, equal to the assigned strategy; ``words`` adds length bands."""
-    ta, tb, plan = strip(text_or_blank(a)), strip(text_or_blank(b)), strip(text_or_blank(strategy))
-    opens = cues.unwrapped_start(tb, c.openers).isNotNull()
-    auth = cues.unwrapped_start(tb, c.authority_starts).isNotNull()
-    strict = F.size(cues.distinct_word_hits(tb, c.strict_hedges))
-    banned = cues.distinct_word_hits(tb, c.banned_hedges)
-    seen = cues.observed_cues(tb, c.openers, c.strict_hedges, c.authority_starts)
+    ready = _stripped(df, a=a, b=b, plan=strategy)
+    ta, tb, plan = F.col("__a"), F.col("__b"), F.col("__plan")
+    # detectors that several rules read
+    ready = ready.withColumns({
+        "__seen": cues.observed_cues(tb, c.openers, c.strict_hedges, c.authority_starts),
+        "__banned": cues.distinct_word_hits(tb, c.banned_hedges),
+        "__strict": F.size(cues.distinct_word_hits(tb, c.strict_hedges)),
+        "__opens": cues.unwrapped_start(tb, c.openers).isNotNull(),
+        "__auth": cues.unwrapped_start(tb, c.authority_starts).isNotNull()})
+    opens, auth, strict, banned, seen = (F.col(f"__{n}") for n in ("opens", "auth", "strict", "banned", "seen"))
     by_neg, by_hedge, by_auth = plan == "negation_opener", plan == "hedging", plan == "authority"
     rules = [
         _blank(ta, "a_side"), _blank(tb, "b_side"),
@@ -120,7 +131,7 @@ def validate_single_cue_pair(df: DataFrame, a: str = "a_side", b: str = "b_side"
         (F.size(seen) != 1, F.concat(F.lit("observed cues: "), F.array_join(seen, ","))),
         (F.try_element_at(seen, F.lit(1)) != plan, F.lit("observed cue differs from strategy")),
     ]
-    return apply_rules(df, rules)
+    return apply_rules(ready, rules).drop("__a", "__b", "__plan", "__seen", "__banned", "__strict", "__opens", "__auth")
 
 
 def validate_short_single_cue_pair(df: DataFrame, **names) -> DataFrame:
@@ -147,7 +158,7 @@ def validate_plain_statement(df: DataFrame, statement: str = "statement", topic:
                              rationale: str = "generator_truth_rationale",
                              words: tuple = (5, 15), c: PlainCues = PlainCues()) -> DataFrame:
     """A statement stripped of every cue; the long variant passes words=(22, 26)."""
-    t, kind = strip(text_or_blank(statement)), strip(text_or_blank(topic))
+    ready, t, kind = _stripped(df, t=statement, kind=topic), F.col("__t"), F.col("__kind")
     rules = [
         _blank(t, "statement"),
         (~kind.isin(*c.topics), F.concat(F.lit("invalid topic: "), kind)),
@@ -161,7 +172,7 @@ def validate_plain_statement(df: DataFrame, statement: str = "statement", topic:
         *_low_confidence(F.col(confidence)),
         _hit(cues.first_substring(F.col(rationale), c.red_flags), "rationale has red flag '{}'"),
     ]
-    return apply_rules(df, rules)
+    return apply_rules(ready, rules).drop("__t", "__kind")
 
 
 @dataclass(frozen=True)
@@ -182,8 +193,8 @@ def validate_paraphrase(df: DataFrame, a: str = "a_side_rewritten", b: str = "b_
                         originals: tuple | None = ("original_correct", "original_incorrect"),
                         c: ParaphraseCues = ParaphraseCues()) -> DataFrame:
     """Paraphrased pair; the B rule depends on how the original incorrect answer reads."""
-    ta, tb = strip(text_or_blank(a)), strip(text_or_blank(b))
-    fa, fb = strip(text_or_blank(a_check)), strip(text_or_blank(b_check))
+    ready = _stripped(df, a=a, b=b, fa=a_check, fb=b_check)
+    ta, tb, fa, fb = (F.col(f"__{n}") for n in ("a", "b", "fa", "fb"))
     way = F.col(route)
     cue = (cues.first_word_hit(tb, c.hedges).isNotNull() | cues.start_phrase(tb, c.authority_starts).isNotNull())
     rules = [
@@ -206,8 +217,8 @@ def validate_paraphrase(df: DataFrame, a: str = "a_side_rewritten", b: str = "b_
     if originals:
         for side, t, original in zip("AB", (ta, tb), originals):
             drift = cues.length_drift(t, F.col(original))
-            warnings.append((drift.isNotNull(), F.concat(F.lit(f"{side} length drift: "), drift.cast("string"))))
-    return apply_rules(df, rules, warnings)
+            warnings.append((None, F.concat(F.lit(f"{side} length drift: "), drift.cast("string"))))
+    return apply_rules(ready, rules, warnings).drop("__a", "__b", "__fa", "__fb")
 
 
 def validate_single_statement(df: DataFrame, confidence: str = "generator_confidence_in_falsity",

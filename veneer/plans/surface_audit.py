@@ -71,8 +71,7 @@ def audit_with_null(df: DataFrame, features=PAIR_FEATURES, key: str = "row_id",
     spark = df.sparkSession
     run = observed(df, features, list(dict.fromkeys([key, group or key])), n_folds)
     scored = run.long()
-    point = metrics.auc(scored).select("auc", "n_pos", "n_neg")
-    hits = metrics.accuracy(scored)
+    point = metrics.auc(scored, cut=0.5)
     ci = metrics.interval(metrics.bootstrap_auc(scored, group or key, n_boot, seed))
     labelled = null_labels(df, key, group, n_null, seed, mode)
     nulls = audit.trial_metrics(labelled, features, [F.element_at("null_labels", i + 1) for i in range(n_null)], n_folds)
@@ -80,7 +79,7 @@ def audit_with_null(df: DataFrame, features=PAIR_FEATURES, key: str = "row_id",
     seen = attach(table, point.select(F.col("auc").alias("__seen")))
     null = seen.agg(F.avg("auc").alias("null_mean"), F.stddev_pop("auc").alias("null_std"),
                     F.avg((F.col("auc") >= F.col("__seen")).cast("double")).alias("p_value"))
-    return attach(attach(attach(point, hits), ci), null)
+    return attach(attach(point, ci), null)
 
 
 def random_label_control(df: DataFrame, features, key: str, runs: int, seed: int = 0,

@@ -94,7 +94,12 @@ SELECT model_name, count(delta) AS n_runs, round(avg(delta), 6) AS delta_mean, r
 
 
 def run_flags(spark, sf):
-    """Flags of the pairs that occur in the prediction table."""
+    """Flags of the pairs that occur in the prediction table, written once: every later step reads them."""
+    from veneer.session import cut_lineage
+    return cut_lineage(_run_flags(spark, sf))
+
+
+def _run_flags(spark, sf):
     return reshape.take_pairs(flags(spark, sf), table(spark, sf, "events").select(F.col("user_id").alias("pair_id")))
 
 
