@@ -191,7 +191,7 @@ def run_tag(path: Column, model: Column) -> Column:
 
 def read_subset(spark: SparkSession, path: str) -> DataFrame:
     """(subset_file, pair_id) from id lists: a bare JSON array or an object with ``pair_ids``."""
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.regexp_replace(file_name(), "\\.json$", "").alias("subset_file"), strip(F.col("value")).alias("doc"))
     listed = F.when(F.startswith("doc", F.lit("[")), F.from_json("doc", T.ArrayType(T.LongType()))).otherwise(
         F.from_json("doc", "pair_ids array<bigint>")["pair_ids"])
