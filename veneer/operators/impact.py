@@ -125,8 +125,9 @@ def permutation_calibration(preds: DataFrame, flags: DataFrame, shuffles: int =
     shuffled = (runs.join(permuted_flags(flags, list(range(first_seed, first_seed + shuffles))), "pair_id")
                 .groupBy("source_file", "model_name", "seed").agg(F.sum(right).alias("__hit")))
     every = observed.unionByName(shuffled).join(totals, ["source_file", "model_name"])
-    delta = (F.col("__hit") / F.col("__flagged")
-             - (F.col("__right") - F.col("__hit")) / (F.col("__pairs") - F.col("__flagged")))
+    # no flagged or no clean pairs: undefined
+    delta = (F.try_divide(F.col("__hit"), F.col("__flagged"))
+             - F.try_divide(F.col("__right") - F.col("__hit"), F.col("__pairs") - F.col("__flagged")))
     per_model = (attach(every, sizes).withColumn("__delta", delta).groupBy("model_name", "seed")
                  .agg(F.avg("__delta").alias("__delta"), F.count(F.lit(1)).alias("n_runs")))
     seen = per_model.filter("seed = -1").select("model_name", F.col("__delta").alias("delta_mean_observed"), "n_runs")

@@ -128,11 +128,12 @@ def describe_features(answers: DataFrame, features, label: str = "label",
         F.avg(F.when(one, v)).alias("mean_true"), F.avg(F.when(zero, v)).alias("mean_false"),
         F.var_samp(F.when(one, v)).alias("v1"), F.var_samp(F.when(zero, v)).alias("v0"),
         F.sum(F.when(one, 1).otherwise(0)).alias("n1"), F.sum(F.when(zero, 1).otherwise(0)).alias("n0"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"))
-                    / (F.col("n1") + F.col("n0") - 2))
+    div = F.try_divide
+    pooled = F.sqrt(div((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"),
+                        F.col("n1") + F.col("n0") - 2))
     diff = F.col("mean_true") - F.col("mean_false")
-    e1, e0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
-    df = (e1 + e0) * (e1 + e0) / (e1 * e1 / (F.col("n1") - 1) + e0 * e0 / (F.col("n0") - 1))
+    e1, e0 = div(F.col("v1"), F.col("n1")), div(F.col("v0"), F.col("n0"))
+    df = div((e1 + e0) * (e1 + e0), div(e1 * e1, F.col("n1") - 1) + div(e0 * e0, F.col("n0") - 1))
     spread = (e1 + e0) > 0
     out = agg.select("feature", "mean_true", "mean_false",
                      (diff / (pooled + 1e-10)).alias("cohens_d"),

@@ -100,7 +100,8 @@ def bilateral_all_pairs(a: DataFrame, b: DataFrame, by: tuple = ("family", "vari
     below = F.col("__r") - (F.col("na") + 1) / 2  # A values strictly below p
     return ranked.groupBy(*by).agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"),
-        (F.sum(F.col("nb") * below) / F.sum("na").cast("double") / F.sum("nb").cast("double")).alias("fool_rate"))
+        F.try_divide(F.try_divide(F.sum(F.col("nb") * below), F.sum("na").cast("double")),
+                     F.sum("nb").cast("double")).alias("fool_rate"))
 
 
 def multi_seed_summary(effects: DataFrame, by: tuple = ("family",),

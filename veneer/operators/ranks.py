@@ -18,10 +18,9 @@ def rank_agreement(table: DataFrame, by: list[str], full: str = "acc_full", sub:
         order = Window.partitionBy(*by).orderBy(col)
         return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
     ranked = table.select(*by, item, full, sub, avg_rank(full).alias("__rf"), avg_rank(sub).alias("__rs"))
-    spread = (F.stddev_pop("__rf") > 0) & (F.stddev_pop("__rs") > 0)
-    spearman = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_models"),
-        F.when(spread, F.corr("__rf", "__rs")).alias("spearman"))
+    # not corr(): without variation it divides by zero, which is an error in ANSI mode
+    rho = F.try_divide(F.covar_pop("__rf", "__rs"), F.stddev_pop("__rf") * F.stddev_pop("__rs"))
+    spearman = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_models"), rho.alias("spearman"))
     other = table.select(*by, F.col(item).alias("__item"), F.col(full).alias("__f"), F.col(sub).alias("__s"))
     # each unordered couple of models once: a self-join on the subset key over the roster
     couples = table.join(other, by).filter(F.col(item) < F.col("__item"))

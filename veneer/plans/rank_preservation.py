@@ -34,7 +34,7 @@ def rank_report(preds: DataFrame, members: DataFrame, n_pairs: int | Column, man
     out = (sizes.join(agreement, "subset_name", "left").join(pairs, "subset_name", "left"))
     total = F.lit(n_pairs) if not isinstance(n_pairs, Column) else n_pairs
     out = (attach(out, facts)
-           .withColumn("retained_fraction", F.col("retained_pairs") / total)
+           .withColumn("retained_fraction", F.try_divide(F.col("retained_pairs"), total))
            .withColumn("eval_pair_count", F.coalesce("eval_pair_count", F.lit(0)))
            .withColumn("error", F.when(F.col("eval_pair_count") == 0, "no pairs after intersection").otherwise("")))
     return out if manifest is None else manifest.join(out.drop("retained_pairs"), "subset_name", "left")

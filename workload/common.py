@@ -112,9 +112,9 @@ def probe_scores(spark, sf) -> DataFrame:
         (cents % 101).alias("a"), (F.expr("cast(round(o_totalprice * 100) as bigint) div 101") % 101).alias("b"),
         (F.col("o_custkey") % 41).alias("c"))
     side = F.array(
-        F.struct(F.lit("full").alias("variant"), (F.col("a") / 100.0).alias("p_a"), (F.col("b") / 100.0).alias("p_b")),
+        F.struct(F.lit("full").alias("variant"), (F.col("a") / 103.0).alias("p_a"), (F.col("b") / 103.0).alias("p_b")),
         F.struct(F.lit("cleaned").alias("variant"), ((F.col("a") + F.col("c")) / 141.0).alias("p_a"),
-                 (F.col("b") / 100.0).alias("p_b")))
+                 (F.col("b") / 103.0).alias("p_b")))
     return o.select("pair_id", "family", "strategy", "judge_pass", F.explode(side).alias("s")).select(
         "pair_id", "family", "strategy", "judge_pass", "s.*")
 
@@ -221,9 +221,9 @@ SCORES_SQL = """s AS (
   WITH o AS (SELECT o_orderkey AS pair_id, o_orderpriority AS family, o_orderstatus AS strategy,
                     o_custkey % 4 <> 0 AS judge_pass, round(o_totalprice * 100)::BIGINT % 101 AS a,
                     (round(o_totalprice * 100)::BIGINT // 101) % 101 AS b, o_custkey % 41 AS c FROM orders)
-  SELECT pair_id, family, strategy, judge_pass, 'full' AS variant, a / 100.0::DOUBLE AS p_a, b / 100.0::DOUBLE AS p_b FROM o
+  SELECT pair_id, family, strategy, judge_pass, 'full' AS variant, a / 103.0::DOUBLE AS p_a, b / 103.0::DOUBLE AS p_b FROM o
   UNION ALL
-  SELECT pair_id, family, strategy, judge_pass, 'cleaned', (a + c) / 141.0::DOUBLE, b / 100.0::DOUBLE FROM o)"""
+  SELECT pair_id, family, strategy, judge_pass, 'cleaned', (a + c) / 141.0::DOUBLE, b / 103.0::DOUBLE FROM o)"""
 
 
 def sql_draw(seed: str, stream: str, key: str) -> str:
