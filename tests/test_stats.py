@@ -132,6 +132,20 @@ def test_rank_agreement(spark):
     assert got["one"]["spearman"] is None and got["one"]["kendall"] is None
 
 
+def test_kendall_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"g{g}", f"m{i}", float(rng.integers(0, k)), float(rng.integers(0, k))) for g, (n, k) in enumerate(((40, 9), (33, 100), (2, 5), (7, 2)))
+            for i in range(n)]
+    got = {r["subset_name"]: r["kendall"] for r in rank_agreement(spark.createDataFrame(
+        rows, "subset_name string, model_name string, acc_full double, acc_sub double"), ["subset_name"]).collect()}
+    for g in got:
+        a = np.array([r[2] for r in rows if r[0] == g])
+        b = np.array([r[3] for r in rows if r[0] == g])
+        da, db = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+        scale = math.sqrt(np.abs(da).sum() * np.abs(db).sum())
+        assert got[g] == (pytest.approx((da * db).sum() / scale) if scale else None)
+
+
 def test_rank_report_keeps_empty_subsets(spark, preds):
     members = spark.createDataFrame([("ok", 0), ("ok", 2), ("empty", 7)], "subset_name string, pair_id long")
     got = {r["subset_name"]: r for r in rank_report(preds, members, 10).collect()}

@@ -6,29 +6,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_agreement(table: DataFrame, by: list[str], full: str = "acc_full", sub: str = "acc_sub",
-                   item: str = "model_name") -> DataFrame:
-    """Spearman and Kendall tau-b per group; NULL below two models or without variation.
+def _average_rank(by: list[str], value: str):
+    order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
+    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
-    Rows are models (a bounded roster), so ranking inside a group and the model-by-model
-    comparison stay small; the group itself may be any of very many subsets.
+
+def concordance(table: DataFrame, by: list[str], full: str, sub: str) -> DataFrame:
+    """(by..., balance): concordant minus discordant item couples, without forming couples.
+
+    Items get a dense rank by ``full``. Two different ranks first differ at exactly one bit,
+    so at every bit level the items that share the higher bits are split into a lower and an
+    upper half, and each upper item counts the lower items below and above it in ``sub``.
+    That is n log n rows instead of n squared.
     """
-    def avg_rank(col):
-        ties = Window.partitionBy(*by, col)
-        order = Window.partitionBy(*by).orderBy(col)
-        return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    ranked = table.select(*by, item, full, sub, avg_rank(full).alias("__rf"), avg_rank(sub).alias("__rs"))
+    dense = F.dense_rank().over(Window.partitionBy(*by).orderBy(full)) - 1
+    ranked = (table.select(*by, F.col(sub).alias("__s"), dense.alias("__d"))
+              .withColumn("__top", F.max("__d").over(Window.partitionBy(*by))))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest("__top", F.lit(1)))).cast("int"))
+    split = (ranked.withColumn("__level", F.explode(levels))
+             .withColumn("__half", F.expr("shiftright(__d, __level + 1)"))
+             .withColumn("__low", 1 - F.expr("shiftright(__d, __level) & 1")))
+    group = [*by, "__level", "__half"]
+    low = F.sum("__low")
+    upto = low.over(Window.partitionBy(*group).orderBy("__s"))  # ties of __s included
+    same = low.over(Window.partitionBy(*group, "__s"))
+    every = low.over(Window.partitionBy(*group))
+    # below minus above
+    balance = F.when(F.col("__low") == 0, (upto - same) - (every - upto)).otherwise(0)
+    return split.withColumn("__b", balance).groupBy(*by).agg(F.sum("__b").alias("balance"))
+
+
+def rank_agreement(table: DataFrame, by: list[str], full: str = "acc_full", sub: str = "acc_sub") -> DataFrame:
+    """Spearman and Kendall tau-b per group; NULL below two items or without variation."""
+    tied = lambda c: (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+    ranked = table.select(*by, _average_rank(by, full).alias("__rf"), _average_rank(by, sub).alias("__rs"),
+                          tied(full).alias("__tf"), tied(sub).alias("__ts"))
+    n = F.count(F.lit(1)).cast("double")
     # not corr(): without variation it divides by zero, which is an error in ANSI mode
     rho = F.try_divide(F.covar_pop("__rf", "__rs"), F.stddev_pop("__rf") * F.stddev_pop("__rs"))
-    spearman = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_models"), rho.alias("spearman"))
-    other = table.select(*by, F.col(item).alias("__item"), F.col(full).alias("__f"), F.col(sub).alias("__s"))
-    # each unordered couple of models once: a self-join on the subset key over the roster
-    couples = table.join(other, by).filter(F.col(item) < F.col("__item"))
-    df, ds = F.signum(F.col(full) - F.col("__f")), F.signum(F.col(sub) - F.col("__s"))
-    kendall = couples.groupBy(*by).agg(
-        F.sum(df * ds).alias("__c"), F.sum(F.abs(df)).alias("__nf"), F.sum(F.abs(ds)).alias("__ns"))
-    tau = F.when((F.col("__nf") > 0) & (F.col("__ns") > 0), F.col("__c") / F.sqrt(F.col("__nf") * F.col("__ns")))
-    return (spearman.join(kendall, by, "left")
-            .select(*by, "n_models",
-                    F.when(F.col("n_models") >= 2, F.col("spearman")).alias("spearman"),
-                    F.when(F.col("n_models") >= 2, tau).alias("kendall")))
+    couples = n * (n - 1) / 2
+    facts = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_models"), rho.alias("spearman"),
+        F.sqrt((couples - F.sum("__tf")) * (couples - F.sum("__ts"))).alias("__scale"))
+    tau = F.try_divide(F.col("balance"), F.col("__scale"))
+    two = F.col("n_models") >= 2
+    return (facts.join(concordance(table, by, full, sub), by)
+            .select(*by, "n_models", F.when(two, F.col("spearman")).alias("spearman"),
+                    F.when(two, tau).alias("kendall")))

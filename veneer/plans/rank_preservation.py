@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veneer.operators import merge
 from veneer.operators.ranks import rank_agreement
 from veneer.operators.single import attach
+from veneer.session import cut_lineage
 
 
 def subset_accuracies(merged: DataFrame, common: DataFrame, members: DataFrame) -> DataFrame:
@@ -26,7 +27,8 @@ def rank_report(preds: DataFrame, members: DataFrame, n_pairs: int | Column, man
     """One row per subset; a subset without common pairs keeps its row with an error text."""
     merged = merge.merge_predictions(merge.bounded_ids(preds, n_pairs), within_file, "last")
     common = merge.common_pairs(merged)
-    table = subset_accuracies(merged, common, members)
+    # one row per (subset, model), read by three aggregations: computed from the predictions once
+    table = cut_lineage(subset_accuracies(merged, common, members))
     agreement = rank_agreement(table, ["subset_name"])
     pairs = table.groupBy("subset_name").agg(F.max("eval_pairs").alias("eval_pair_count"))
     sizes = members.groupBy("subset_name").agg(F.count_distinct("pair_id").alias("retained_pairs"))

@@ -17,6 +17,7 @@ from veneer.operators import audit
 from veneer.operators.ordering import (best_row, global_rank, holdout_split, prefix_sizes, priority,
                                        quantile_bin, top_k)
 from veneer.operators.scoring import imbalance_penalty, search_objective, sigmoid
+from veneer.session import cut_lineage
 
 FOLDS = 5
 
@@ -71,7 +72,8 @@ def prepare(cands: DataFrame, answers: DataFrame, seeds: list[int], orders: dict
             .groupBy("example_id").agg(F.collect_set("seed").alias("hold_seeds")))  # at most len(seeds)
     ranks = rank_orders(cands, orders)
     side = ranks.join(held, "example_id", "left").withColumnRenamed("example_id", "pair_id")
-    return answers.join(side, "pair_id")
+    # every chunk of trials reads this table again
+    return cut_lineage(answers.join(side, "pair_id"))
 
 
 def separability_keys(answers: DataFrame, cands: DataFrame, seeds: list[int], features=PAIR_FEATURES,
