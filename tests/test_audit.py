@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests import reference as ref
+from tests import numpy_twins as ref
 from veneer.operators import audit, folds, metrics, scoring
 from veneer.plans import surface_audit as sa
 
