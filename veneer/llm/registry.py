@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veneer.llm import op10_lines, op3_decontaminate, op7_bpe, op9_quality
+from veneer.llm import op10_lines, op3_decontaminate, op7_bpe, op8_jaccard, op9_quality
 
-_OPERATORS = (op3_decontaminate, op7_bpe, op9_quality, op10_lines)
+_OPERATORS = (op3_decontaminate, op7_bpe, op8_jaccard, op9_quality, op10_lines)
 
 QUERIES = {k: f for m in _OPERATORS for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _OPERATORS for k, s in m.ORACLES.items()}
