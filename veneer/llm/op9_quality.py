@@ -158,23 +158,45 @@ def base_failed() -> Column:
     return (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
 
 
+def votes(metrics: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+    return metrics.withColumns({f"vote_{r}": c for r, c in (default_rules() if rules is None else rules).items()})
+
+
+def learn(voted: DataFrame) -> LabelModel:
+    """Fits the model to the vote patterns of all texts that pass the base test; one row per pattern leaves the scan."""
+    names = [c for c in voted.columns if c.startswith("vote_")]
+    # texts that fail the base test are decided already and would only teach the model that test
+    patterns = cut_lineage(voted.filter(~base_failed()).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    return fit(patterns, names)
+
+
+def verdicts(voted: DataFrame, model: LabelModel, threshold: float = 0.5) -> DataFrame:
+    return (voted.withColumn("quality", model.posterior()).withColumn("base_failed", base_failed())
+            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
+
+
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, Column] | None = None,
-            threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: counts, votes' posterior `quality`, `base_failed` and `kept`.
+            threshold: float = 0.5) -> DataFrame:
+    """One row per input row: counts, votes, their posterior `quality`, `base_failed` and `kept`.
 
     A text fails the base test with fewer than 10 words or more than 20 % repeated words; others are kept when the
     posterior reaches `threshold`. Null and empty texts fail the base test. Nothing here depends on the id, so null
     or repeated ids and repeated rows keep their own rows. An empty table gives no rows.
     """
-    rules = default_rules() if rules is None else rules
-    names = [f"vote_{r}" for r in rules]
     # the counts are read by the fit and by the verdicts: they are written once, without texts
-    voted = cut_lineage(base_metrics(df, id_col, text_col, keep).withColumns({f"vote_{r}": c for r, c in rules.items()}))
-    # texts that fail the base test are decided already and would only teach the model that test
-    patterns = cut_lineage(voted.filter(~base_failed()).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    model = fit(patterns, names)
-    return (voted.withColumn("quality", model.posterior()).withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
+    voted = cut_lineage(votes(base_metrics(df, id_col, text_col), rules))
+    return verdicts(voted, learn(voted), threshold)
+
+
+def quality_filter(df: DataFrame, text_col: str = "text", rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
+    """The input's kept rows, whole, in its own columns. The texts are read twice and never shuffled or stored.
+
+    Column names of the input can't clash with the counts: rows travel as one struct.
+    """
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("doc"), df[text_col].alias("text"))
+    model = learn(votes(base_metrics(whole.select(F.lit(None).alias("doc_id"), "text")), rules))
+    voted = votes(base_metrics(whole.withColumn("doc_id", F.lit(None)), keep=("doc",)), rules)
+    return verdicts(voted, model, threshold).filter("kept").select("doc.*")
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:
