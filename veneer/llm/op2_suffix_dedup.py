@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veneer.llm.common import cut_lineage, table
+from veneer.llm.id_filter import likely, parted
 from veneer.llm.shingles import Powers, mixed
 from veneer.llm.suffixes import repeated_starts
 
@@ -112,7 +113,9 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
     ordered = pieces.select("g", "c1", "c2", "twice", "data").repartition("g").sortWithinPartitions("g", "c1", "c2")
 
     def solve(rows):
-        starts = repeated_starts([r[3] for r in rows], [r[4] for r in rows], length)
+        starts = repeated_starts([r[3] for r in rows], length)
+        # a piece read twice or more has copies of all its strings
+        starts = [np.arange(len(r[3]) - length + 1) if r[4] else s for r, s in zip(rows, starts)]
         spans = []
         for s in starts:
             edge = np.flatnonzero(np.diff(s) > 1)
@@ -135,7 +138,7 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
                         yield solve(block)
                         block, held = [], 0
                 group.append((g, c1, c2, data, twice))
-                held += len(data) * (2 if twice else 1)
+                held += len(data)
         if block or group:
             yield solve(block + group)
 
@@ -171,21 +174,24 @@ def _finer(pieces: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def _solve(pieces: DataFrame, length: int, widths: tuple[int, ...], group_pieces: int) -> DataFrame:
-    """Spans of all pieces (g, c1, c2, twice, anchor, data; distinct by the first three)."""
+    """Spans of all pieces of all groups (g, c1, c2, twice, anchor, data; distinct by the first three)."""
     sizes = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > group_pieces).select("g")
+    large = cut_lineage(sizes.filter(F.col("n") > group_pieces).select("g"))
     if not widths or large.isEmpty():
         return _sorted_groups(pieces, length)
-    large = cut_lineage(large)
     small = _sorted_groups(pieces.join(large, "g", "left_anti"), length)
-    finer = cut_lineage(_finer(pieces.join(large, "g", "left_semi"), length, widths[0]))
+    return small.unionByName(_solve_finer(pieces.join(large, "g", "left_semi"), length, widths, group_pieces))
+
+
+def _solve_finer(pieces: DataFrame, length: int, widths: tuple[int, ...], group_pieces: int) -> DataFrame:
+    """Spans of pieces of groups that are too large for a block: cut anew, solved, and put back together."""
+    finer = cut_lineage(_finer(pieces, length, widths[0]))
     distinct = cut_lineage(finer.groupBy("g", "c1", "c2").agg(
         (F.max("twice") | (F.count(F.lit(1)) > 1)).alias("twice"), F.min("anchor").alias("anchor"), F.min("data").alias("data")))
     found = _solve(distinct, length, widths[1:], group_pieces)
     back = finer.select("pg", "pc1", "pc2", "at", "g", "c1", "c2").join(found, ["g", "c1", "c2"])
-    shifted = back.groupBy(F.col("pg").alias("g"), F.col("pc1").alias("c1"), F.col("pc2").alias("c2")).agg(
+    return back.groupBy(F.col("pg").alias("g"), F.col("pc1").alias("c1"), F.col("pc2").alias("c2")).agg(
         F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("at").cast("int")))).alias("spans"))
-    return small.unionByName(shifted)
 
 
 def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
@@ -203,21 +209,37 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
     long_docs = docs.filter(F.octet_length("text") >= length)
     pieces = _pieces(long_docs, length)
     anchors = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    distinct = pieces.groupBy("g", "c1", "c2").agg((F.count(F.lit(1)) > 1).alias("twice"),
-                                                   F.min(F.struct("id", "th", "start", "stop", "anchor")).alias("at"))
-    shared = cut_lineage(distinct.join(anchors, "g").select("g", "c1", "c2", "twice", "at.*"))
-    # the bytes of one example of each distinct piece
-    wanted = shared.groupBy("id", "th").agg(F.collect_list(F.struct("g", "c1", "c2", "twice", "start", "stop", "anchor")).alias("own"))
-    held = (long_docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.th") == F.col("w.th")))
-            .select(F.col("d.text").cast("binary").alias("bytes"), F.inline("w.own")))
-    held = held.select("g", "c1", "c2", "twice", "anchor",
-                       F.substring(F.col("bytes"), F.col("start") + 1, F.col("stop") - F.col("start") + length).alias("data"))
-    held = cut_lineage(held)
-    found = _solve(held, length, (max(1, length // 8), 1), group_pieces)
-    hits = pieces.join(found, ["g", "c1", "c2"]).groupBy("id", "th").agg(F.flatten(F.collect_set(
+    shared = cut_lineage(pieces.join(anchors, "g"))
+    kinds = shared.groupBy("g", "c1", "c2").agg((F.count(F.lit(1)) > 1).alias("twice"),
+                                               F.min(F.struct("id", "th", "start", "stop", "anchor")).alias("at"))
+    kinds = cut_lineage(kinds.select("g", "c1", "c2", "twice", "at.*"))
+    sizes = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # a group of one kind of piece needs no order: the piece was read twice, so all its strings have copies
+    ranked = kinds.join(sizes.filter("n > 1"), "g")
+    alone = kinds.join(sizes.filter("n = 1"), "g").select(
+        "g", "c1", "c2", F.array(F.lit(0), F.col("stop") - F.col("start")).alias("spans"))
+
+    def with_bytes(wanted: DataFrame) -> DataFrame:
+        """Pieces with their bytes, from one example of each; only texts that hold one are moved."""
+        own = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("g", "c1", "c2", "twice", "start", "stop", "anchor")).alias("own"))
+        held = (likely(long_docs, own, "th").alias("d")
+                .join(own.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.th") == F.col("w.th")))
+                .select(F.col("d.text").cast("binary").alias("bytes"), F.inline("w.own")))
+        return held.select("g", "c1", "c2", "twice", "anchor",
+                           F.substring(F.col("bytes"), F.col("start") + 1, F.col("stop") - F.col("start") + length).alias("data"))
+
+    found = alone.unionByName(_sorted_groups(with_bytes(ranked.filter(F.col("n") <= group_pieces)), length))
+    large = cut_lineage(ranked.filter(F.col("n") > group_pieces))
+    if not large.isEmpty():
+        found = found.unionByName(_solve_finer(with_bytes(large), length, (max(1, length // 8), 1), group_pieces))
+    hits = shared.join(found, ["g", "c1", "c2"]).groupBy("id", "th").agg(F.flatten(F.collect_set(
         F.transform("spans", lambda x: x + F.col("start")))).alias("starts"))
-    joined = docs.alias("d").join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left")
-    rows = joined.select(F.col("d.id").alias("doc_id"), "text", "starts")
+    hits = cut_lineage(hits)
+    # texts without a hit are finished where they are read
+    sides = parted(docs, hits, "th")
+    joined = sides.filter("likely").alias("d").join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left")
+    rows = joined.select(F.col("d.id").alias("doc_id"), "text", "starts").unionByName(
+        sides.filter("NOT likely").select(F.col("id").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("starts")))
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("kept_sha256", T.StringType())])
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veneer.llm.common import cut_lineage, table
+from veneer.llm.id_filter import likely
 from veneer.llm.shingles import mixed, shingle_set
 
 #: Sizes up to here may become light, if enumeration is cheaper there.
@@ -42,9 +43,9 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(x) + len(y) - common)
 
 
-def size_classes(light: int, largest: int) -> list[tuple[int, int]]:
-    """(least, largest) sizes of the greater set of a heavy pair."""
-    classes, low = [], light + 1
+def size_classes(largest: int) -> list[tuple[int, int]]:
+    """(least, largest) sizes of the greater set of a pair, as far as `largest`."""
+    classes, low = [], 1
     while low <= largest:
         high = max(low, int(low * STEP))
         classes.append((low, high))
@@ -68,10 +69,7 @@ def n_keys(n: int, light: int) -> int:
     """Keys a set of size n has when sizes up to `light` are light."""
     keys = sum(comb(n, needed(a, b)) for a, b in light_partners(n, light)) if n <= light else 0
     reach = 5 * n // 4
-    for low, high in size_classes(light, reach):
-        if low <= reach:
-            keys += parts_of(high)[1]
-    return keys
+    return keys + sum(parts_of(high)[1] for _, high in size_classes(reach) if high >= n and high > light)
 
 
 def choose_boundary(counts: dict[int, int]) -> int:
@@ -80,6 +78,16 @@ def choose_boundary(counts: dict[int, int]) -> int:
     return min(range(LIGHT_LIMIT + 1), key=lambda s: (cost(s), s))
 
 
+def _parts(spread: np.ndarray, parts: int) -> np.ndarray:
+    return ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def empty_parts(s: np.ndarray) -> int:
+    """Empty parts of a set in the class of its size."""
+    parts = parts_of(size_classes(len(s))[-1][1])[1] if len(s) else 0
+    return parts - len(np.unique(_parts(mixed(s), parts)))
+
+
 def list_keys(s: np.ndarray, light: int) -> np.ndarray:
     """Keys of the inverted lists that hold the set `s` (sorted, distinct)."""
     n, out = len(s), []
@@ -91,11 +99,11 @@ def list_keys(s: np.ndarray, light: int) -> np.ndarray:
             out.append(mixed(mixed(chosen) + salt))
     reach = 5 * n // 4
     spread = mixed(s)
-    for low, high in size_classes(light, reach):
-        if high < n:
+    for low, high in size_classes(reach):
+        if high < n or high <= light:
             continue
         most, parts = parts_of(high)
-        part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part = _parts(spread, parts)
         content = np.zeros(parts, np.uint64)
         np.add.at(content, part, spread)
         filled = np.zeros(parts, bool)
@@ -116,18 +124,27 @@ def _sets(batch, size: int):
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """rid, size of the set and two hashes of it."""
+    """rid, size of the set, its empty parts and two hashes of it."""
     def run(batches):
         for batch in batches:
-            n, a, b = [], [], []
+            n, empty, a, b = [], [], [], []
             for s in _sets(batch, size):
                 n.append(len(s))
+                empty.append(empty_parts(s))
                 a.append(int(mixed(s + np.uint64(7)).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n, pa.int32()), pa.array(a, pa.int64()),
-                                              pa.array(b, pa.int64())], ["rid", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n, pa.int32()), pa.array(empty, pa.int32()),
+                                              pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rid", "n", "empty", "h1", "h2"])
+
+    return docs.mapInArrow(run, "rid long, n int, empty int, h1 long, h2 long")
+
 
-    return docs.mapInArrow(run, "rid long, n int, h1 long, h2 long")
+def _least_shared(light: int, a, b, empty):
+    """Lists that linked sets of sizes a <= b share at least (columns); `empty` counts the greater set's empty parts."""
+    parts = F.lit(0)
+    for low, high in size_classes(1 << 30):
+        parts = F.when(b >= low, parts_of(high)[1]).otherwise(parts)
+    return F.when(b <= light, 1).otherwise(F.greatest(F.lit(1), parts - F.floor((a + b) / 9) - empty))
 
 
 _LISTS = "key long, spread long, rid long, leader long"
@@ -218,9 +235,9 @@ def _pairs(*columns) -> pa.RecordBatch:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those pairs (rid, leader) whose sets link. Texts of named documents only; the leader's comes last."""
+    """Those pairs (rid, leader) whose sets link. Only texts of named documents move; the leader's comes last."""
     needs = pairs.select("rid").union(pairs.select(F.col("leader").alias("rid"))).distinct()
-    named = cut_lineage(docs.join(needs, "rid", "left_semi").dropDuplicates(["rid"]))
+    named = likely(docs, needs).dropDuplicates(["rid"])
     one = pairs.join(named, "rid").withColumnRenamed("text", "left_text")
     both = one.join(named.select(F.col("rid").alias("leader"), F.col("text").alias("right_text")), "leader")
 
@@ -281,7 +298,18 @@ def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
                              .withColumn(c, F.coalesce("_class", c)).drop("_class"))
     listed = _leaders(_members(narrow, light, size))
     listed = cut_lineage(to_class(to_class(listed, "rid"), "leader").distinct())
-    pairs = listed.filter("rid <> leader").select("rid", "leader").distinct()
+    sized = sets.select("rid", "n", "empty").dropDuplicates(["rid"])
+
+    def enough(counted: DataFrame, share: float) -> DataFrame:
+        """(rid, leader, shared) pairs that share `share` of the lists that linked sets share at least, or more."""
+        both = (counted.join(sized, "rid").withColumnsRenamed({"n": "an", "empty": "ae"})
+                .join(sized.withColumnRenamed("rid", "leader"), "leader"))
+        a, b = F.least("an", "n"), F.greatest("an", "n")
+        empty = F.when(F.col("an") == F.col("n"), F.greatest("ae", "empty")).when(F.col("an") > F.col("n"), F.col("ae")).otherwise(F.col("empty"))
+        return both.filter((5 * a >= 4 * b) & (F.col("shared") >= share * _least_shared(light, a, b, empty))).select("rid", "leader")
+
+    # this first reading only joins what is easily found; it may pass over pairs, as the second reading does not
+    pairs = cut_lineage(enough(listed.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared")), 1.0))
     links = cut_lineage(_verified(pairs, narrow, size))
     found = components(links)
 
@@ -290,15 +318,16 @@ def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
     placed = of(of(listed, "rid", "mine"), "leader", "led")
     mixed_keys = placed.filter("mine <> led").select("key").distinct()
     rows = placed.join(mixed_keys, "key", "left_semi").select("key", "rid", "mine").distinct()
-    rows = cut_lineage(rows.join(sets.select("rid", "n").dropDuplicates(["rid"]), "rid"))
+    rows = cut_lineage(rows.join(sized.select("rid", "n"), "rid"))
     largest = rows.groupBy("key", "mine").count().groupBy("key").agg(F.max_by("mine", F.struct("count", "mine")).alias("main"))
     rows = rows.join(largest, "key")
     out, rest = rows.filter("mine <> main").alias("a"), rows.alias("b")
-    across = out.join(rest, F.expr("a.key = b.key AND a.mine <> b.mine AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
+    # each pair across components comes once: from its one outsider, or from the greater of two
+    across = out.join(rest, F.expr("a.key = b.key AND a.mine <> b.mine AND (b.mine = b.main OR a.rid > b.rid) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
+    counted = across.groupBy(F.greatest("a.rid", "b.rid").alias("rid"), F.least("a.rid", "b.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
     tried = pairs.select(F.least("rid", "leader").alias("leader"), F.greatest("rid", "leader").alias("rid"))
-    more = (across.select(F.least("a.rid", "b.rid").alias("leader"), F.greatest("a.rid", "b.rid").alias("rid")).distinct()
-            .join(tried, ["leader", "rid"], "left_anti"))
-    all_links = links.unionByName(cut_lineage(_verified(cut_lineage(more), narrow, size))).unionByName(same.filter("rid <> leader"))
+    more = cut_lineage(enough(counted, 1.0).join(tried, ["leader", "rid"], "left_anti"))
+    all_links = links.unionByName(cut_lineage(_verified(more, narrow, size))).unionByName(same.filter("rid <> leader"))
     final = components(all_links)
     known = ids.select(F.col("rid").alias("component"), "doc_id").filter("doc_id IS NULL").distinct()
     named = final.join(known.select("component", F.lit(True).alias("unnamed")), "component", "left")

@@ -25,7 +25,8 @@ def suffix_array(block: bytes, depth: int) -> np.ndarray:
     data = np.frombuffer(block, np.uint8)
     n = len(data)
     small = ascending(data)
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: block[i:i + depth]), np.int64)
+    as_text = block.decode("latin-1")  # compares as its bytes do
+    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: as_text[i:i + depth]), np.int64)
     first = data[direct] if len(direct) else np.zeros(0, np.uint8)
     bounds = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -74,18 +75,10 @@ def common_prefixes(block: bytes, order: np.ndarray, depth: int) -> np.ndarray:
     return prefix
 
 
-def repeated_starts(strings: list[bytes], copies: list[bool], length: int) -> list[np.ndarray]:
-    """For each string the starts of those of its substrings of `length` bytes that occur elsewhere in the block.
-
-    `copies` tells which strings stand for several equal ones: they are put into the block twice.
-    """
-    pieces, starts, at = [], [], 0
-    for s, twice in zip(strings, copies):
-        starts.append(at)
-        for _ in range(2 if twice else 1):
-            pieces.append(s)
-            at += len(s) + 1
-    block = bytes([SEPARATOR]).join(pieces) + bytes([SEPARATOR])
+def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
+    """For each string the starts of those of its substrings of `length` bytes that occur elsewhere in the block."""
+    starts = np.cumsum([0] + [len(s) + 1 for s in strings])
+    block = bytes([SEPARATOR]).join(strings) + bytes([SEPARATOR])
     order = suffix_array(block, length)
     same = common_prefixes(block, order, length) >= length
     found = np.zeros(len(block), bool)
