@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veneer.llm.shingles import mixed
 
@@ -48,16 +47,3 @@ def likely(docs: DataFrame, ids: DataFrame, column: str = "rid") -> DataFrame:
             yield batch.filter(pa.array(IdFilter.passing(shared.value, batch.column(column).to_numpy())))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def parted(docs: DataFrame, ids: DataFrame, column: str = "rid") -> DataFrame:
-    """`docs` with a column `likely`: false where the id is surely not among `ids`."""
-    shared = docs.sparkSession.sparkContext.broadcast(IdFilter.of(ids.select(F.col(column).alias("rid"))))
-    schema = T.StructType([*docs.schema.fields, T.StructField("likely", T.BooleanType())])
-
-    def run(batches):
-        for batch in batches:
-            passing = pa.array(IdFilter.passing(shared.value, batch.column(column).to_numpy()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, passing], schema.names)
-
-    return docs.mapInArrow(run, schema)

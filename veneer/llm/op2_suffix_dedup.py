@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veneer.llm.common import cut_lineage, table
-from veneer.llm.id_filter import likely, parted
+from veneer.llm.id_filter import IdFilter, likely
 from veneer.llm.shingles import Powers, mixed
 from veneer.llm.suffixes import repeated_starts
 
 GRAM = 32
 #: Most pieces of one group that are sorted as they are; most bytes of one block.
-GROUP_PIECES, BLOCK_BYTES = 1000, 512 * 1024
+GROUP_PIECES, BLOCK_BYTES = 1000, 256 * 1024
 _POS_BITS = np.uint64(30)
 _powers = Powers()
 
@@ -235,32 +235,41 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
     hits = shared.join(found, ["g", "c1", "c2"]).groupBy("id", "th").agg(F.flatten(F.collect_set(
         F.transform("spans", lambda x: x + F.col("start")))).alias("starts"))
     hits = cut_lineage(hits)
-    # texts without a hit are finished where they are read
-    sides = parted(docs, hits, "th")
-    joined = sides.filter("likely").alias("d").join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left")
-    rows = joined.select(F.col("d.id").alias("doc_id"), "text", "starts").unionByName(
-        sides.filter("NOT likely").select(F.col("id").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("starts")))
+    moved = likely(docs, hits, "th").alias("d").join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left")
+    rows = moved.select(F.col("d.id").alias("doc_id"), "text", "starts")
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("kept_sha256", T.StringType())])
 
+    def finished(batch, starts_of):
+        out: list[list] = [[] for _ in range(5)]
+        for text, starts in zip(batch.column("text").cast(pa.binary()), starts_of):
+            data = text.as_buffer()
+            spans = merged_spans(np.array(starts or [], np.int64), length)
+            digest, at, view = hashlib.sha256(), 0, memoryview(data)
+            for a, b in spans.tolist():
+                digest.update(view[at:a])
+                at = b
+            digest.update(view[at:])
+            for o, x in zip(out, (len(view), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.ravel().astype(np.int32), digest.hexdigest())):
+                o.append(x)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int32())),
+             pa.array(out[4], pa.string())], schema.names)
+
     def finish(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text, starts in zip(batch.column("text").cast(pa.binary()), batch.column("starts")):
-                data = text.as_py()
-                spans = merged_spans(np.array(starts.as_py() or [], np.int64), length)
-                digest, at = hashlib.sha256(), 0
-                for a, b in spans:
-                    digest.update(data[at:a])
-                    at = b
-                digest.update(data[at:])
-                for o, x in zip(out, (len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.ravel().astype(np.int32), digest.hexdigest())):
-                    o.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int32())),
-                 pa.array(out[4], pa.string())], schema.names)
+            yield finished(batch, (s.as_py() for s in batch.column("starts")))
+
+    # texts that surely have no hit are finished where they are read
+    table_of_hits = df.sparkSession.sparkContext.broadcast(IdFilter.of(hits.select(F.col("th").alias("rid"))))
+
+    def finish_untouched(batches):
+        for batch in batches:
+            kept = batch.filter(pa.array(~IdFilter.passing(table_of_hits.value, batch.column("th").to_numpy())))
+            yield finished(kept, [None] * kept.num_rows)
 
-    return rows.mapInArrow(finish, schema)
+    untouched = docs.select(F.col("id").alias("doc_id"), "th", "text").mapInArrow(finish_untouched, schema)
+    return rows.mapInArrow(finish, schema).unionByName(untouched)
 
 
 def merged_spans(starts: np.ndarray, length: int) -> np.ndarray:

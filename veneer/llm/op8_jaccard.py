@@ -29,6 +29,8 @@ from veneer.llm.shingles import mixed, shingle_set
 LIGHT_LIMIT = 24
 #: Each class of heavy sizes reaches so many times as far as the one before.
 STEP = 1.6
+#: Lists are read against one more leader while a row has more outsiders to be tested with than this, and so often at most.
+FEW_OUTSIDERS, MOST_READINGS = 8, 8
 
 
 def needed(a: int, b: int) -> int:
@@ -313,19 +315,34 @@ def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
     links = cut_lineage(_verified(pairs, narrow, size))
     found = components(links)
 
-    # lists that still hold several components: members outside the list's largest one against all others
-    of = lambda p, c, name: p.join(found.select(F.col("rid").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    placed = of(of(listed, "rid", "mine"), "leader", "led")
-    mixed_keys = placed.filter("mine <> led").select("key").distinct()
-    rows = placed.join(mixed_keys, "key", "left_semi").select("key", "rid", "mine").distinct()
-    rows = cut_lineage(rows.join(sized.select("rid", "n"), "rid"))
-    largest = rows.groupBy("key", "mine").count().groupBy("key").agg(F.max_by("mine", F.struct("count", "mine")).alias("main"))
-    rows = rows.join(largest, "key")
+    # Lists that still hold several components. While outsiders are many, each list is read against another leader,
+    # by an order of all ids that changes with every reading, so that large families join without all their pairs.
+    tried = pairs.select(F.least("rid", "leader").alias("leader"), F.greatest("rid", "leader").alias("rid"))
+    members = listed.select("key", "rid").distinct()
+    reading, progress = 0, True
+    while True:
+        of = members.join(found, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("mine"))
+        by_key = of.groupBy("key", "mine").count().groupBy("key").agg(
+            F.max_by("mine", F.struct("count", "mine")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("all"))
+        rows = cut_lineage(of.join(by_key.filter("inside < all"), "key").join(sized.select("rid", "n"), "rid"))
+        members = rows.select("key", "rid")
+        load = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("mine") != F.col("main"), F.col("all"))).alias("tests")).first()
+        if not progress or reading == MOST_READINGS or (load["tests"] or 0) <= FEW_OUTSIDERS * load["rows"]:
+            break
+        reading += 1
+        leaders = rows.groupBy("key").agg(F.min_by(F.struct("rid", "mine"), F.xxhash64("rid", F.lit(reading))).alias("first"))
+        led = rows.join(leaders, "key").filter("mine <> first.mine")
+        counted = led.groupBy(F.greatest("rid", "first.rid").alias("rid"), F.least("rid", "first.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
+        new = cut_lineage(enough(counted, 1.0).join(tried, ["leader", "rid"], "left_anti"))
+        tried = tried.unionByName(new)
+        fresh = cut_lineage(_verified(new, narrow, size))
+        progress = not fresh.isEmpty()
+        links = links.unionByName(fresh)
+        found = components(links)
     out, rest = rows.filter("mine <> main").alias("a"), rows.alias("b")
     # each pair across components comes once: from its one outsider, or from the greater of two
     across = out.join(rest, F.expr("a.key = b.key AND a.mine <> b.mine AND (b.mine = b.main OR a.rid > b.rid) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
     counted = across.groupBy(F.greatest("a.rid", "b.rid").alias("rid"), F.least("a.rid", "b.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
-    tried = pairs.select(F.least("rid", "leader").alias("leader"), F.greatest("rid", "leader").alias("rid"))
     more = cut_lineage(enough(counted, 1.0).join(tried, ["leader", "rid"], "left_anti"))
     all_links = links.unionByName(cut_lineage(_verified(more, narrow, size))).unionByName(same.filter("rid <> leader"))
     final = components(all_links)

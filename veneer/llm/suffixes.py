@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from veneer.llm.shingles import Powers
+
 #: Ends every string of a block; it occurs in no UTF-8 text.
 SEPARATOR = 0xFF
+_powers = Powers()
 
 
 def ascending(data: np.ndarray) -> np.ndarray:
@@ -16,6 +19,23 @@ def ascending(data: np.ndarray) -> np.ndarray:
     return np.repeat(up, np.diff(np.concatenate(([-1], ends))))
 
 
+def _sorted_directly(block: bytes, data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Places in order of what starts there: by words of 8 bytes all at once, and by the rest among equal words, so that
+    the keys of one such group only are held at a time."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    words = np.zeros(len(places), np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | padded[places + k]
+    order = np.argsort(words, kind="stable")
+    places, words = places[order], words[order]
+    cuts = np.concatenate(([0], np.flatnonzero(words[1:] != words[:-1]) + 1, [len(words)]))
+    text = block.decode("latin-1")  # compares as its bytes do
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a > 1:
+            places[a:b] = sorted(places[a:b].tolist(), key=lambda i: text[i + 8:i + depth])
+    return places
+
+
 def suffix_array(block: bytes, depth: int) -> np.ndarray:
     """Order of all suffixes by their first `depth` bytes.
 
@@ -25,8 +45,7 @@ def suffix_array(block: bytes, depth: int) -> np.ndarray:
     data = np.frombuffer(block, np.uint8)
     n = len(data)
     small = ascending(data)
-    as_text = block.decode("latin-1")  # compares as its bytes do
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: as_text[i:i + depth]), np.int64)
+    direct = _sorted_directly(block, data, np.flatnonzero(small), depth)
     first = data[direct] if len(direct) else np.zeros(0, np.uint8)
     bounds = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -57,21 +76,21 @@ def suffix_array(block: bytes, depth: int) -> np.ndarray:
 
 
 def common_prefixes(block: bytes, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each suffix with the next in order, compared in words of 8 bytes, up to `depth`."""
-    data = np.frombuffer(block + bytes(depth + 8), np.uint8).astype(np.uint64)
-    words = np.zeros(len(data) - 7, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | data[k:len(data) - 7 + k]
+    """Common prefix of each suffix with the next in order, up to `depth`: the longest prefixes of equal hash, by
+    halving. Equal prefixes have equal hashes, so none is too short."""
+    padded = np.frombuffer(block + bytes(depth), np.uint8)
+    up, down = _powers.to(len(padded) + 1)
+    sums = np.zeros(len(padded) + 1, np.uint64)
+    np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     left, right = order[:-1], order[1:]
+    from_left, from_right, at_left, at_right = sums[left], sums[right], down[left], down[right]
     prefix = np.zeros(len(left), np.int64)
-    active = np.arange(len(left))
-    for at in range(0, depth, 8):
-        width = min(8, depth - at)
-        drop = np.uint64(8 * (8 - width))
-        active = active[words[left[active] + at] >> drop == words[right[active] + at] >> drop]
-        if not len(active):
-            break
-        prefix[active] += width
+    step = 1 << (depth.bit_length() - 1)
+    while step:
+        longer = np.minimum(prefix + step, depth)
+        same = (sums[left + longer] - from_left) * at_left == (sums[right + longer] - from_right) * at_right
+        prefix = np.where(same, longer, prefix)
+        step >>= 1
     return prefix
 
 
@@ -80,8 +99,9 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     starts = np.cumsum([0] + [len(s) + 1 for s in strings])
     block = bytes([SEPARATOR]).join(strings) + bytes([SEPARATOR])
     order = suffix_array(block, length)
-    same = common_prefixes(block, order, length) >= length
+    same = np.flatnonzero(common_prefixes(block, order, length) >= length)
+    same = same[np.array([block[a:a + length] == block[b:b + length] for a, b in zip(order[same].tolist(), order[same + 1].tolist())], bool)]
     found = np.zeros(len(block), bool)
-    found[order[:-1][same]] = True
-    found[order[1:][same]] = True
+    found[order[same]] = True
+    found[order[same + 1]] = True
     return [np.flatnonzero(found[a:a + max(0, len(s) - length + 1)]) for a, s in zip(starts, strings)]
