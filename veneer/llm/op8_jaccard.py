@@ -29,8 +29,11 @@ from veneer.llm.shingles import mixed, shingle_set
 LIGHT_LIMIT = 24
 #: Each class of heavy sizes reaches so many times as far as the one before.
 STEP = 1.6
-#: Lists are read against one more leader while a row has more outsiders to be tested with than this, and so often at most.
-FEW_OUTSIDERS, MOST_READINGS = 8, 8
+#: Lists are read against further leaders, so many at a time, while a row has more outsiders to be tested with than the
+#: first number, and as often as the second at most.
+FEW_OUTSIDERS, MOST_READINGS, LEADERS = 8, 5, 6
+#: A reading is followed by another if one in so many of its pairs linked.
+WORTH = 20
 
 
 def needed(a: int, b: int) -> int:
@@ -244,14 +247,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     both = one.join(named.select(F.col("rid").alias("leader"), F.col("text").alias("right_text")), "leader")
 
     def run(batches):
-        known: tuple = (None, None)
+        known: dict[int, np.ndarray] = {}  # sets of ids met before, as far as some megabytes go
+        held = 0
         for batch in batches:
             keep = []
-            for leader, x, y in zip(batch.column("leader").to_pylist(), batch.column("left_text").cast(pa.binary()),
-                                    batch.column("right_text").cast(pa.binary())):
-                if known[0] != leader:
-                    known = leader, shingle_set(y.as_buffer(), size)
-                keep.append(linked(shingle_set(x.as_buffer(), size), known[1]))
+            for names, texts in zip(zip(batch.column("leader").to_pylist(), batch.column("rid").to_pylist()),
+                                    zip(batch.column("right_text").cast(pa.binary()), batch.column("left_text").cast(pa.binary()))):
+                both_sets = []
+                for name, text in zip(names, texts):
+                    own = known.get(name)
+                    if own is None:
+                        own = shingle_set(text.as_buffer(), size)
+                        if held > 4_000_000:
+                            known, held = {}, 0
+                        known[name] = own
+                        held += len(own)
+                    both_sets.append(own)
+                keep.append(linked(*both_sets))
             yield batch.select(["rid", "leader"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("rid", "leader", "left_text", "right_text").mapInArrow(run, "rid long, leader long")
@@ -330,13 +342,15 @@ def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
         if not progress or reading == MOST_READINGS or (load["tests"] or 0) <= FEW_OUTSIDERS * load["rows"]:
             break
         reading += 1
-        leaders = rows.groupBy("key").agg(F.min_by(F.struct("rid", "mine"), F.xxhash64("rid", F.lit(reading))).alias("first"))
-        led = rows.join(leaders, "key").filter("mine <> first.mine")
-        counted = led.groupBy(F.greatest("rid", "first.rid").alias("rid"), F.least("rid", "first.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
-        new = cut_lineage(enough(counted, 1.0).join(tried, ["leader", "rid"], "left_anti"))
+        orders = [F.min_by(F.struct("rid", "mine"), F.xxhash64("rid", F.lit(reading * LEADERS + k))) for k in range(LEADERS)]
+        leaders = rows.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("first"))
+        led = rows.join(leaders, "key").select("rid", "mine", F.explode("first").alias("first")).filter("mine <> first.mine")
+        met = led.groupBy(F.greatest("rid", "first.rid").alias("rid"), F.least("rid", "first.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
+        # sharing half of the lists that links surely share is enough to be tried: a leader leads only some of them
+        new = cut_lineage(enough(met, 0.5).join(tried, ["leader", "rid"], "left_anti"))
         tried = tried.unionByName(new)
         fresh = cut_lineage(_verified(new, narrow, size))
-        progress = not fresh.isEmpty()
+        progress = WORTH * fresh.count() >= new.count() > 0
         links = links.unionByName(fresh)
         found = components(links)
     out, rest = rows.filter("mine <> main").alias("a"), rows.alias("b")
