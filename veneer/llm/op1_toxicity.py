@@ -129,13 +129,13 @@ def monotone(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_words: int = 2_000, min_documents: int = 8,
-          least_z: float = 4.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_words: int = 2_000, min_documents: int = 4,
+          least_g2: float = 15.0) -> Model:
     """Learns from `labels` (doc_id, label 0/1) and the texts of `docs` (doc_id, text).
 
     At most `max_examples` labelled rows are used, chosen by a hash of their id; an id with several labels counts as 1
-    if any is. The vocabulary has at most `max_words` words: those in `min_documents` examples or more whose log odds
-    between the classes lie `least_z` standard errors from 0. Its document counts come from all of `docs`.
+    if any is. The vocabulary has at most `max_words` words: those in `min_documents` examples or more whose
+    likelihood-ratio statistic against equal use in both classes reaches `least_g2`. Its document counts come from all of `docs`.
     """
     spark = docs.sparkSession
     one = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
@@ -156,10 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_wo
     use = (examples.select("text", "label").mapInArrow(differing, "word string, label int, n long").groupBy("word")
            .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
                 F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).filter(F.col("a") + F.col("b") >= min_documents))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (n1 + 1.0 - a)) - F.log(b / (n0 + 1.0 - b))
-    z = F.abs(odds) / F.sqrt(1 / a + 1 / b)
-    chosen = use.filter((F.col("a") < n1 + 0.5) & (F.col("b") < n0 + 0.5)).withColumn("z", z).filter(F.col("z") >= least_z)
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    whole = float(n0 + n1)
+    known = sum(x * math.log(x) for x in (n0, n1) if x) - (whole * math.log(whole) if whole else 0.0)
+    g2 = 2 * (part(a) + part(b) + part(n1 - a) + part(n0 - b) - part(a + b) - part(whole - a - b) - known)
+    chosen = use.withColumn("z", g2).filter(F.col("z") >= least_g2)
     vocabulary = [r["word"] for r in chosen.orderBy(F.col("z").desc(), "word").limit(max_words).select("word").collect()]
     place = {w: i for i, w in enumerate(vocabulary)}
     shared = spark.sparkContext.broadcast(place)
