@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of least id of each component of links; of rows given twice, one."""
     found = op8_jaccard.jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    row = F.coalesce("doc_id", F.xxhash64("text"))
+    row = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text"))
     return kept.withColumn("_row", row).dropDuplicates(["_row"]).select(*docs.columns)
 
 

@@ -295,7 +295,7 @@ def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
     is replaced by its text's hash inside and by the least real id of its component (or null) in the result. Ids are
     64-bit integers. Extra columns are ignored; an empty table gives no rows.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.coalesce(text_col, F.lit("")))).alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     narrow = docs.select("rid", "text")
     ids = docs.select("doc_id", "rid")
