@@ -36,7 +36,7 @@ def p_text(p: Column) -> Column:
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
+    """Regularised incomplete beta function by its continued fraction, which takes some sqrt(a + b) terms."""
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
@@ -46,7 +46,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
     total = d
-    for m in range(1, 100_000):
+    for m in range(1, 1_000 + int(20 * math.sqrt(a + b))):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + top * d
@@ -55,8 +55,8 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * total
+            return front * total
+    raise ArithmeticError(f"incomplete beta of {a}, {b}, {x} did not converge")
 
 
 def _binomial(k: float, n: float) -> float:

@@ -63,9 +63,15 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
 def best_row(df: DataFrame, by: list[str], order: list[str | tuple[str, bool]]) -> DataFrame:
     """One row per group: smallest ``order`` tuple. A plain aggregate, so it combines map-side.
 
-    An entry may be (numeric column, True) to prefer large values.
+    An entry may be (numeric column, True) to prefer large values. NULL and NaN are undefined and
+    come after every value, in either direction.
     """
-    keys = [(-F.col(o[0]) if o[1] else F.col(o[0])) if isinstance(o, tuple) else F.col(o) for o in order]
+    real = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    keys = []
+    for entry in order:
+        column, descending = entry if isinstance(entry, tuple) else (entry, False)
+        undefined = F.col(column).isNull() | (F.isnan(column) if column in real else F.lit(False))
+        keys += [undefined, -F.col(column) if descending else F.col(column)]
     rest = [c for c in df.columns if c not in by]
     picked = F.min_by(F.struct(*rest), F.struct(*keys)).alias("__row")
     grouped = df.groupBy(*by).agg(picked) if by else df.agg(picked)

@@ -10,7 +10,8 @@ from veneer.operators.single import attach
 
 
 def sigmoid(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
+    """Logistic function; far below 0 the exponential is infinite and the result 0, nothing is cut off."""
+    return 1.0 / (1.0 + F.exp(-x))
 
 
 def model_row(model: DataFrame, features) -> DataFrame:

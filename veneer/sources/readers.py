@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,18 @@ def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
+def path_below(root: str) -> Column:
+    """Path of the source file below the fixed part of a glob: files of equal names in different folders stay apart."""
+    fixed = []
+    for part in root.split("://")[-1].split("/")[:-1]:
+        if any(c in part for c in "*?[{"):
+            break
+        fixed.append(part)
+    folder = "/".join(fixed) + "/"
+    path = F.url_decode(F.regexp_replace("_metadata.file_path", "[+]", "%2B"))
+    return F.regexp_replace(path, f"^.*?{re.escape(folder)}", "")
+
+
 def _with_source_order(reader_df: DataFrame) -> DataFrame:
     """File, block and position of every row, as the source delivered it.
 
@@ -124,17 +138,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = BILATERAL_SCHEMA) -
 
 def read_predictions(spark: SparkSession, glob: str, fallback: str | None = None,
                      exclude: str = EXAMPLE_FILE) -> DataFrame:
-    """(source_file, row_no, model_name, pair_id, correct) of all matching files but the example."""
+    """(source_file, row_no, model_name, pair_id, correct) of all matching files but the example.
+
+    `source_file` is the path below the glob's fixed folder.
+    """
     def load(pattern: str) -> DataFrame:
         raw = spark.read.options(header=True).csv(pattern)
         require_columns(raw, PREDICTION_COLUMNS, pattern)
         return (raw.select(*PREDICTION_COLUMNS, "_metadata")
-                .select(file_name().alias("source_file"),
+                .select(path_below(pattern).alias("source_file"), file_name().alias("__name"),
                         F.struct(F.col("_metadata.file_block_start").alias("block"),
                                  F.monotonically_increasing_id().alias("row")).alias("row_no"),
                         "model_name", F.col("pair_id").cast("long").alias("pair_id"),
                         F.col("correct").cast("int").alias("correct"))
-                .filter(F.col("source_file") != exclude))
+                .filter(F.col("__name") != exclude).drop("__name"))
     try:
         found = load(glob)
         if fallback is None or not found.isEmpty():

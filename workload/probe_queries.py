@@ -187,7 +187,7 @@ def model(spark):
 
 def _eta(gap):
     terms = [f"{w} * {gap if f == 'len_gap' else f}" for f, w in WEIGHTS.items() if f != "intercept"]
-    return f"1 / (1 + exp(-greatest(least({WEIGHTS['intercept']} + {' + '.join(terms)}, 30), -30)))"
+    return f"1 / (1 + exp(-({WEIGHTS['intercept']} + {' + '.join(terms)})))"
 
 
 QUERIES["score_pairs_with_model"] = lambda spark, sf: rounded(scoring.score_features(
