@@ -130,12 +130,12 @@ def monotone(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_words: int = 2_000, min_documents: int = 4,
-          least_g2: float = 15.0) -> Model:
+          least_g2: float = 15.0, least_log_odds: float = 1.0) -> Model:
     """Learns from `labels` (doc_id, label 0/1) and the texts of `docs` (doc_id, text).
 
     At most `max_examples` labelled rows are used, chosen by a hash of their id; an id with several labels counts as 1
     if any is. The vocabulary has at most `max_words` words: those in `min_documents` examples or more whose
-    likelihood-ratio statistic against equal use in both classes reaches `least_g2`. Its document counts come from all of `docs`.
+    likelihood-ratio statistic against equal use in both classes reaches `least_g2` and whose odds differ clearly. Its document counts come from all of `docs`.
     """
     spark = docs.sparkSession
     one = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_wo
     whole = float(n0 + n1)
     known = sum(x * math.log(x) for x in (n0, n1) if x) - (whole * math.log(whole) if whole else 0.0)
     g2 = 2 * (part(a) + part(b) + part(n1 - a) + part(n0 - b) - part(a + b) - part(whole - a - b) - known)
-    chosen = use.withColumn("z", g2).filter(F.col("z") >= least_g2)
+    # with many labels slight differences are certain too: only clear ones make a word part of the vocabulary
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    chosen = use.withColumn("z", g2).filter((F.col("z") >= least_g2) & (F.abs(odds) >= least_log_odds))
     vocabulary = [r["word"] for r in chosen.orderBy(F.col("z").desc(), "word").limit(max_words).select("word").collect()]
     place = {w: i for i, w in enumerate(vocabulary)}
     shared = spark.sparkContext.broadcast(place)
@@ -197,14 +199,24 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_wo
     model = Model(place, idf, [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in filled],
                   np.array([[r["n"] - r["one"], r["one"]] for r in filled], np.int64).reshape(-1, 2), [r["least"] for r in filled],
                   base, np.zeros(1), np.array([base]), empty)
-    index, x, y = model.index(), [], []
-    for i, (terms, weights) in enumerate(model.vectors):  # bounded by max_examples
-        found, cosine = index.search(terms, weights, model.k)
-        for label in (0, 1):
-            n = int(model.counts[i, label])
-            if n:
-                x += [votes(model, found, cosine, (i, label))] * n
-                y += [label] * n
+    bare_model = spark.sparkContext.broadcast(model)
+
+    def left_out(batches):
+        own = bare_model.value
+        index = own.index()
+        for batch in batches:
+            out = []
+            for i in batch.column("id").to_pylist():
+                found, cosine = index.search(*own.vectors[i], own.k)
+                out += [(label, int(own.counts[i, label]), votes(own, found, cosine, (i, label))) for label in (0, 1) if own.counts[i, label]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()),
+                                              pa.array([o[2] for o in out], pa.float64())], ["label", "n", "vote"])
+
+    # two numbers per entry come back: 2 x max_examples rows at most
+    tried = spark.range(len(model.vectors)).mapInArrow(left_out, "label int, n long, vote double").collect()
+    tried = sorted((r["vote"], r["label"], r["n"]) for r in tried)
+    x = [v for v, _, n in tried for _ in range(n)]
+    y = [label for _, label, n in tried for _ in range(n)]
     if x:
         model.knots, model.levels = monotone(np.array(x), np.array(y, float))
     return model
