@@ -33,7 +33,9 @@ def _place(pos: str = "pos") -> Column:
 def _repeated(lines: DataFrame) -> DataFrame:
     """Lines that occur twice or more, each with the first place of its class."""
     classes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return (lines.join(classes.drop("n"), ["h1", "h2"]).select("id", "th", "pos", "nw", "name")
+    # as a table of its own, so that the join can split the partitions of lines that are very common
+    classes = cut_lineage(classes.drop("n"))
+    return (lines.join(classes, ["h1", "h2"]).select("id", "th", "pos", "nw", "name")
             .repartition(*_DOC).dropDuplicates([*_DOC, "pos"]))  # rows given twice are one document
 
 

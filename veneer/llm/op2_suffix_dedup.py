@@ -209,7 +209,8 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
     long_docs = docs.filter(F.octet_length("text") >= length)
     pieces = _pieces(long_docs, length)
     anchors = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    shared = cut_lineage(pieces.join(anchors, "g"))
+    # a table of its own, so that the join can split the partitions of anchors that are very common
+    shared = cut_lineage(pieces.join(cut_lineage(anchors), "g"))
     kinds = shared.groupBy("g", "c1", "c2").agg((F.count(F.lit(1)) > 1).alias("twice"),
                                                F.min(F.struct("id", "th", "start", "stop", "anchor")).alias("at"))
     kinds = cut_lineage(kinds.select("g", "c1", "c2", "twice", "at.*"))
