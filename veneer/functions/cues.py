@@ -128,13 +128,17 @@ def length_drift(rewritten: Column, original: Column) -> Column:
 
 
 def subject_hint(text: Column, openers=lx.OPENERS, joiners=lx.SUBJECT_JOINERS,
-                 stop_words=lx.SUBJECT_STOP_WORDS) -> Column:
-    """Longest capitalised run of two or more tokens, else the first three content words."""
+                 stop_words=lx.SUBJECT_STOP_WORDS, max_tokens: int | None = 20) -> Column:
+    """Longest capitalised run of two or more tokens, else the first three content words.
+
+    The first ``max_tokens`` tokens are read, 20 by the published definition; None reads the whole text.
+    """
     base = _lstrip(F.regexp_replace(strip(text_or_blank(text)), "\\A\"+", ""))
     ordered = sorted((o + " " for o in openers), key=len, reverse=True)
     body = F.regexp_replace(base, f"(?i)\\A(?:{any_of(ordered)})", "")
     body = F.regexp_replace(body, f"\\A[,;:{SPACE}]+", "")
-    toks = F.slice(F.regexp_extract_all(body, F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0)), 1, 20)
+    toks = F.regexp_extract_all(body, F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0))
+    toks = toks if max_tokens is None else F.slice(toks, 1, max_tokens)
     run = (f"(?<![^ ])[A-Z][^ ]*(?: (?:[A-Z][^ ]*|(?:{any_of(joiners)})(?= [A-Z])))*")
     runs = F.regexp_extract_all(F.array_join(toks, " "), F.lit(run), F.lit(0))
     best = F.aggregate(runs, F.lit(""), lambda acc, r: F.when(

@@ -125,9 +125,12 @@ def _sums(rows: DataFrame, weights: np.ndarray, center: np.ndarray, scale: np.nd
 
 
 def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.ndarray | None = None,
-        l2: float = 1.0, max_iter: int = 25, tol: float = 1e-9,
+        l2: float = 1.0, max_iter: int = 100, tol: float = 1e-9,
         center=None, scale=None) -> Fit:
-    """Newton iterations over ``rows(x, y, fold)``; tasks centre and scale ``x`` before use."""
+    """Newton iterations over ``rows(x, y, fold)``; tasks centre and scale ``x`` before use.
+
+    A (trial, fold) that has not converged after ``max_iter`` steps counts as not valid: it gets no metrics.
+    """
     d = len(features)
     width = d + 1
     if width < 3:
@@ -190,6 +193,7 @@ def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.nd
         raw = _to_raw(w, mean, std)
         if done.all():
             break
+    valid = valid & done
     # fold centring and scaling into the reported raw-feature weights
     out = raw.copy()
     out[..., 1:] = raw[..., 1:] / scale
