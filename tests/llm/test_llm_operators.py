@@ -250,6 +250,33 @@ def test_block_max_index_is_exact():
         assert np.allclose(got, np.sort(cosine)[::-1][:10]) and np.allclose(cosine[found], got)
 
 
+def test_toxicity_uses_words_of_few_examples(spark):
+    texts = [(i, f"plain talk about item{chr(97 + i % 26)} and weather") for i in range(60)]
+    texts += [(60, "you blorp plain talk"), (61, "what a blorp again weather"), (70, "blorp"), (71, "talk")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = op1_toxicity.train(docs, spark.createDataFrame([(i, int(i >= 60)) for i in range(62)], "doc_id long, label int"))
+    assert set(model.place) == {w for i, t in texts[:62] for w in op1_toxicity.words(t)}
+    out = {r["doc_id"]: r for r in op1_toxicity.score(docs, model, evidence=2).collect()}
+    assert {e["doc_id"] for e in out[70]["evidence"]} == {60, 61} and all(r["evidence"] for r in out.values())
+    assert out[70]["score"] > out[71]["score"]
+
+
+def test_block_max_index_is_exact_with_common_words():
+    rng = np.random.default_rng(5)
+    dense = np.zeros((700, 300))
+    for row in dense:
+        terms = np.unique(np.append(rng.zipf(1.3, 25) % 300, rng.integers(0, 300, 4)))
+        row[terms] = rng.random(len(terms))
+        row /= np.linalg.norm(row)
+    vectors = [(np.flatnonzero(row), row[row > 0]) for row in dense]
+    index = op1_toxicity.BlockMaxIndex(vectors, 300)
+    assert 0 < len(index.most) < 300
+    for t, w in vectors[::7] + [(np.array([1]), np.ones(1)), (np.array([1, 2, 3]), np.full(3, 3 ** -0.5))]:
+        cosine = dense[:, t] @ w
+        found, got = index.search(t, w, 10)
+        assert np.allclose(got, np.sort(cosine)[::-1][:10]) and np.allclose(cosine[found], got)
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") and "_" in n and n[2:n.index("_")].isdigit()]

@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes by similarity.
 
-The vocabulary is the words whose use differs most between the classes of a bounded sample of labelled texts; how many
-documents hold each of them is counted over the whole corpus. Examples with equal vectors are one entry with a count
-per class. Entries are listed by word in blocks, with each block's greatest weight: a text visits blocks in the order
-of their bounds and stops when no further block can hold a nearer example, so the neighbours are exact. A monotone fit
-of left-one-out votes to labels turns votes into probabilities.
+The vocabulary is all words of a bounded sample of labelled texts; how many documents hold each of them is counted over
+the whole corpus, and words that tell the classes apart weigh more. Examples with equal vectors are one entry with a count per class. Rare words are looked up in inverted
+lists; what common words can add is bounded by their greatest weight in each block of entries and by their part of each
+entry's length, and only entries that can still be among the nearest get it in full, so the neighbours are exact. A
+monotone fit of left-one-out votes to labels turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -30,59 +30,91 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def vector(text: str | None, place: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, place: dict[str, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word places and weights of unit length; empty if the text has no word of the vocabulary."""
-    counts = Counter(i for i in map(place.get, words(text)) if i is not None)
+    counts = Counter(map(place.get, words(text)))
+    counts.pop(None, None)
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0)
-    terms = np.array(sorted(counts))
-    weights = (1.0 + np.log([counts[t] for t in terms.tolist()])) * idf[terms]
+    terms, times = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    order = np.argsort(terms)
+    terms = terms[order]
+    weights = (1.0 + np.log(times[order])) * weight[terms]
     return terms, weights / math.sqrt(float(weights @ weights))
 
 
+def contrast(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How clearly words tell the classes apart, 0 and up: root of the likelihood-ratio statistic against equal use in
+    both classes times the absolute log odds ratio. `a` of `n1` and `b` of `n0` examples hold a word."""
+    part = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    n = float(n0 + n1)
+    known = part(np.array([n0, n1], float)).sum() - part(np.array([n])).sum()
+    g2 = 2 * (part(a) + part(b) + part(n1 - a) + part(n0 - b) - part(a + b) - part(n - a - b) - known)
+    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+    return np.sqrt(np.maximum(g2, 0.0)) * np.abs(odds)
+
+
+def _postings(start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all postings of `keys` in lists that begin at `start`, and the length of each key's list."""
+    lengths = start[keys + 1] - start[keys]
+    return np.repeat(start[keys] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()), lengths
+
+
+def _starts(keys: np.ndarray, n: int) -> np.ndarray:
+    return np.append(0, np.cumsum(np.bincount(keys, minlength=n))).astype(np.int64)
+
+
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, cut into blocks of entries, with the greatest weight of each word in each block."""
+    """Inverted lists of unit vectors. Words that more than a share `common` of the entries hold are also listed by entry,
+    with their greatest weight in each block of entries and their part of each entry's length: both bound what they can add."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, common: float = 0.02):
         self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
+        blocks = -(-self.size // BLOCK)
+        term = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((entry, term))
-        term, self.entry, self.weight = term[order], entry[order], weight[order]
-        block = self.entry // BLOCK
-        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(term) else np.zeros(0, bool)
-        self.start = np.append(np.flatnonzero(new), len(term))  # postings of each (word, block)
-        self.block = block[self.start[:-1]]
-        self.most = np.maximum.reduceat(self.weight, self.start[:-1]) if len(term) else np.zeros(0)
-        self.of_term = np.searchsorted(term[self.start[:-1]], np.arange(n_terms + 1))  # (word, block) runs of each word
+        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
+        order = np.argsort(term, kind="stable")
+        self.start, self.entry, self.weight = _starts(term, n_terms), entry[order], weight[order]
+        often = np.diff(self.start) > common * self.size
+        self.common = np.where(often, np.cumsum(often) - 1, -1)  # number among the common words
+        mine = often[term]
+        self.common_term, self.common_weight = self.common[term[mine]], weight[mine]
+        self.of_entry = _starts(entry[mine], self.size)
+        self.common_length = np.sqrt(np.bincount(entry[mine], weight[mine] ** 2, self.size))
+        self.most = np.zeros((int(often.sum()), blocks))
+        np.maximum.at(self.most, (self.common_term, entry[mine] // BLOCK), weight[mine])
+
+    def _add(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        at, lengths = _postings(self.start, terms)
+        return score + np.bincount(self.entry[at], np.repeat(weights, lengths) * self.weight[at], self.size)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of greatest cosine above 0 (ties: least entry first) and their cosines."""
-        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.size:
-            return none
-        counts = self.of_term[terms + 1] - self.of_term[terms]
-        if not counts.sum():
-            return none
-        runs = np.repeat(self.of_term[terms] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
-        query = np.repeat(weights, counts)
-        bound = np.bincount(self.block[runs], query * self.most[runs], self.blocks)
-        best, score = none
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < score[-1] - 1e-12):
-                break
-            here = runs[self.block[runs] == b]
-            q = query[self.block[runs] == b]
-            lengths = self.start[here + 1] - self.start[here]
-            at = np.repeat(self.start[here] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
-            cosine = np.bincount(self.entry[at] - b * BLOCK, np.repeat(q, lengths) * self.weight[at], BLOCK)
-            found = np.flatnonzero(cosine > 0)
-            best, score = np.append(best, found + b * BLOCK), np.append(score, cosine[found])
-            order = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[order], score[order]
-        return best, score
+            return np.zeros(0, np.int64), np.zeros(0)
+        place = self.common[terms]
+        often = place >= 0
+        score = self._add(np.zeros(self.size), terms[~often], weights[~often])
+        found = np.arange(self.size)
+        if often.any():
+            q, place = weights[often], place[often]
+            bound = np.minimum(math.sqrt(float(q @ q)) * self.common_length, np.repeat(q @ self.most[place], BLOCK)[:self.size])
+            least = np.partition(score, self.size - k)[self.size - k] if self.size > k else 0.0
+            found = np.flatnonzero((bound + score >= least - 1e-9) & (bound + score > 0))
+            if (self.of_entry[found + 1] - self.of_entry[found]).sum() > (self.start[terms[often] + 1] - self.start[terms[often]]).sum():
+                score = self._add(score, terms[often], q)[found]
+            else:
+                dense = np.zeros(len(self.most))
+                dense[place] = q
+                at, lengths = _postings(self.of_entry, found)
+                score = score[found] + np.bincount(np.repeat(np.arange(len(found)), lengths), dense[self.common_term[at]] * self.common_weight[at], len(found))
+        if len(found) > k:
+            near = score >= np.partition(score, len(found) - k)[len(found) - k] - 1e-9
+            found, score = found[near], score[near]
+        found, score = found[score > 0], score[score > 0]
+        order = np.lexsort((found, -np.round(score, 12)))[:k]
+        return found[order], score[order]
 
 
 @dataclass
@@ -90,7 +122,7 @@ class Model:
     """All of bounded size: vocabulary, examples by vector, and the steps from votes to probabilities."""
 
     place: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray  # of each word: idf, raised by how clearly it tells the classes apart
     vectors: list[tuple[np.ndarray, np.ndarray]]
     counts: np.ndarray  # (entry, class) examples
     example: list  # least id of each entry's examples
@@ -101,7 +133,10 @@ class Model:
     k: int = 15
 
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(self.vectors, len(self.place))
+        """Built once for each Python process that the model was sent to."""
+        if "_index" not in self.__dict__:
+            self._index = BlockMaxIndex(self.vectors, len(self.place))
+        return self._index
 
 
 def votes(model: Model, found: np.ndarray, cosine: np.ndarray, without: tuple[int, int] | None = None) -> float:
@@ -129,13 +164,12 @@ def monotone(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_words: int = 2_000, min_documents: int = 4,
-          least_g2: float = 15.0, least_log_odds: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Model:
     """Learns from `labels` (doc_id, label 0/1) and the texts of `docs` (doc_id, text).
 
     At most `max_examples` labelled rows are used, chosen by a hash of their id; an id with several labels counts as 1
-    if any is. The vocabulary has at most `max_words` words: those in `min_documents` examples or more whose
-    likelihood-ratio statistic against equal use in both classes reaches `least_g2` and whose odds differ clearly. Its document counts come from all of `docs`.
+    if any is. The vocabulary is all words of their texts; its document counts come from all of `docs`. A
+    word weighs as its idf, and more by the clearer it tells the classes apart; none is left out for telling little.
     """
     spark = docs.sparkSession
     one = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
@@ -143,28 +177,22 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_wo
     # at most max_examples rows of two numbers
     examples = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
 
-    def differing(batches):
+    def used(batches):
+        c: Counter = Counter()
         for batch in batches:
-            c: Counter = Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 c.update((w, label) for w in set(words(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in c], pa.string()), pa.array([x[1] for x in c], pa.int32()),
-                                              pa.array(list(c.values()), pa.int64())], ["word", "label", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in c], pa.string()), pa.array([x[1] for x in c], pa.int32()),
+                                          pa.array(list(c.values()), pa.int64())], ["word", "label", "n"])
 
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    use = (examples.select("text", "label").mapInArrow(differing, "word string, label int, n long").groupBy("word")
+    # the words of max_examples texts
+    use = (examples.select("text", "label").mapInArrow(used, "word string, label int, n long").groupBy("word")
            .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
-                F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).filter(F.col("a") + F.col("b") >= min_documents))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
-    whole = float(n0 + n1)
-    known = sum(x * math.log(x) for x in (n0, n1) if x) - (whole * math.log(whole) if whole else 0.0)
-    g2 = 2 * (part(a) + part(b) + part(n1 - a) + part(n0 - b) - part(a + b) - part(whole - a - b) - known)
-    # with many labels slight differences are certain too: only clear ones make a word part of the vocabulary
-    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
-    chosen = use.withColumn("z", g2).filter((F.col("z") >= least_g2) & (F.abs(odds) >= least_log_odds))
-    vocabulary = [r["word"] for r in chosen.orderBy(F.col("z").desc(), "word").limit(max_words).select("word").collect()]
+                F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).toArrow().sort_by("word"))
+    vocabulary = use.column("word").to_pylist()
+    clear = contrast(use.column("a").to_numpy().astype(float), use.column("b").to_numpy().astype(float), n1, n0)
     place = {w: i for i, w in enumerate(vocabulary)}
     shared = spark.sparkContext.broadcast(place)
 
@@ -173,32 +201,36 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_wo
         for batch in batches:
             for text in batch.column("text"):
                 n += 1
-                for i in {i for i in map(shared.value.get, words(text.as_py())) if i is not None}:
-                    counts[i] += 1
+                held = set(map(shared.value.get, words(text.as_py())))
+                held.discard(None)
+                counts[np.fromiter(held, np.int64, len(held))] += 1
         rows = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1), pa.int32()), pa.array(np.append(counts[rows], n), pa.int64())], ["word", "n"])
 
-    held = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(holding, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    total = held.pop(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + held.get(i, 0))) + 0.1 for i in range(len(vocabulary))])
+    counted = docs.select("text").mapInArrow(holding, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(len(vocabulary) + 1)
+    held[counted.column("word").to_numpy()] = counted.column("n").to_numpy()  # the last one, -1, is the number of texts
+    weight = (np.log((1 + held[-1]) / (1 + held[:-1])) + 0.1) * (1 + clear)
+    sent = spark.sparkContext.broadcast(weight)
 
-    # the examples' vectors, not their texts, come together: max_examples rows of max_words numbers at most, in fact few
+    # the examples' vectors, not their texts, come together as Arrow columns: a number and a weight for each distinct word of a text
     def vectors(batches):
         for batch in batches:
-            v = [vector(t.as_py(), shared.value, idf) for t in batch.column("text")]
+            v = [vector(t.as_py(), shared.value, sent.value) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([x[0] for x in v], pa.list_(pa.int64())),
                                               pa.array([np.round(x[1], 9) for x in v], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
 
     rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>")
     grouped = rows.groupBy("terms", "weights").agg(F.sum("label").alias("one"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    entries = sorted(grouped.collect(), key=lambda r: (list(r["terms"]), list(r["weights"])))
-    filled = [r for r in entries if r["terms"]]
+    table_ = grouped.toArrow()
+    terms, weights = ([np.asarray(x.values) for x in table_.column(c)] for c in ("terms", "weights"))
+    one, n, least = (table_.column(c).to_pylist() for c in ("one", "n", "least"))
+    entries = sorted(range(len(one)), key=lambda i: least[i])
+    filled, bare = [i for i in entries if len(terms[i])], [i for i in entries if not len(terms[i])]
     base = (n1 + 0.5) / (n0 + n1 + 1.0)
-    bare = [r for r in entries if not r["terms"]]
-    empty = (sum(r["one"] for r in bare) + base) / (sum(r["n"] for r in bare) + 1.0)
-    model = Model(place, idf, [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in filled],
-                  np.array([[r["n"] - r["one"], r["one"]] for r in filled], np.int64).reshape(-1, 2), [r["least"] for r in filled],
-                  base, np.zeros(1), np.array([base]), empty)
+    empty = (sum(one[i] for i in bare) + base) / (sum(n[i] for i in bare) + 1.0)
+    model = Model(place, weight, [(terms[i], weights[i]) for i in filled], np.array([[n[i] - one[i], one[i]] for i in filled], np.int64).reshape(-1, 2),
+                  [least[i] for i in filled], base, np.zeros(1), np.array([base]), empty)
     bare_model = spark.sparkContext.broadcast(model)
 
     def left_out(batches):
@@ -225,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_wo
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, evidence: int = 3) -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: id, similarity, share of class 1); one row per row.
 
-    Null texts, empty texts and those without a word of the vocabulary get the share of class 1 among such examples.
+    Words that no example holds are left out: they are in no example's vector. Null texts, empty texts and those without a word of the vocabulary get the share of class 1 among such examples.
     Ids are only carried. No examples at all: every score is 0.5, the share with nothing known.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -239,7 +271,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             scores, why = [], []
             for text in batch.column("text"):
-                terms, weights = vector(text.as_py(), own.place, own.idf)
+                terms, weights = vector(text.as_py(), own.place, own.weight)
                 found, cosine = index.search(terms, weights, own.k)
                 if len(found):
                     v = votes(own, found, cosine)
