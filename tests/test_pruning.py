@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests import numpy_twins as ref
 from veneer.operators import folds
 from veneer.plans import pruning
+from workload import audit_queries
 
 NAMES = list("abcd")
 
@@ -80,3 +81,27 @@ def test_swap_takes_the_first_improvement(spark, data):
     kept = spark.createDataFrame([(i,) for i in sorted(start)], "pair_id long")
     got = pruning.swap_refine(df, kept, 1.0, pruning.PruneTrial("confidence", 1.0, "accuracy"), NAMES, rounds=1, probe=4, chunk=16)
     assert {r["pair_id"] for r in got.collect()} == want
+
+
+def test_registered_loops_have_no_caps(spark, data, monkeypatch):
+    """The registered calls leave rounds and passes to the operators; the refinement returns the kept ids."""
+    df = data[3]
+    calls = {}
+
+    def recorded(name, result):
+        def run(*args, **kwargs):
+            calls.setdefault(name, []).append((len(args), set(kwargs)))
+            return result
+        monkeypatch.setattr(pruning, name, run)
+    some, more = (spark.createDataFrame([(i,) for i in ids], "pair_id long") for ids in ([1, 2], [1, 2, 5]))
+    none = spark.createDataFrame([], "trial int, step int, pair_id long")
+    recorded("prune", pruning.PruneResult([], spark.createDataFrame([(0, 0.5, 0.5)], "trial int, auc double, accuracy double"), none))
+    recorded("add_back", some)
+    recorded("swap_refine", more)
+    monkeypatch.setattr(audit_queries, "_search_inputs", lambda spark, sf: (df, df))
+    audit_queries.QUERIES["greedy_prune_trajectories"](spark, "")
+    rows = audit_queries.QUERIES["prune_add_back_and_swap"](spark, "").collect()
+    assert calls["prune"] == [(2, {"batch"}), (2, {"batch", "start"})]
+    assert calls["add_back"] == [(4, set())] and calls["swap_refine"] == [(4, set())]
+    kept = {s: sorted(r["pair_id"] for r in rows if r["stage"] == s) for s in ("pruned", "added_back", "swapped")}
+    assert kept == {"pruned": list(range(18)), "added_back": [1, 2], "swapped": [1, 2, 5]}

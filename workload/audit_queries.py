@@ -180,12 +180,12 @@ QUERIES["near_random_grid"] = _near_random
 
 
 def _prune(spark, sf):
-    """Three strategies pruned together; batches of a twentieth of the pairs."""
+    """Three strategies pruned together to the threshold or the floor; batches of a twentieth of the pairs."""
     _, a = _search_inputs(spark, sf)
     n = a.count() // 2
     trials = [pruning.PruneTrial("confidence", 0.45), pruning.PruneTrial("imbalance", 0.45),
               pruning.PruneTrial("hybrid", 0.45, alpha=0.5, pool=2 * (n // 20), seed=7)]
-    result = pruning.prune(a, trials, batch=max(1, n // 20), max_rounds=4)
+    result = pruning.prune(a, trials, batch=max(1, n // 20))
     return rounded(result.trajectory, ["auc", "accuracy"])
 
 
@@ -193,17 +193,19 @@ QUERIES["greedy_prune_trajectories"] = _prune
 
 
 def _refine(spark, sf):
-    """Prune, then add back and swap while the accuracy limit holds."""
+    """Prune to the floor, then add back and swap while the accuracy limit holds: the ids each stage keeps."""
     _, a = _search_inputs(spark, sf)
     n = a.count() // 2
     trial = pruning.PruneTrial("imbalance", 0.0, "accuracy")
-    result = pruning.prune(a, [trial], batch=max(1, n // 100), max_rounds=2, start=pruning.random_kick(a, 0.02, 9))
+    result = pruning.prune(a, [trial], batch=max(1, n // 100), start=pruning.random_kick(a, 0.02, 9))
     kept = result.kept(a, 0)
-    back = pruning.add_back(a, kept, 0.52, "accuracy", block=8, max_passes=1)
-    swapped = pruning.swap_refine(a, back, 0.52, trial, rounds=1, probe=4)
-    return (kept.agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("stage", F.lit("pruned"))
-            .unionByName(back.agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("stage", F.lit("added_back")))
-            .unionByName(swapped.agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("stage", F.lit("swapped"))))
+    back = pruning.add_back(a, kept, 0.52, "accuracy")
+    swapped = pruning.swap_refine(a, back, 0.52, trial)
+    out = None
+    for stage, ids in (("pruned", kept), ("added_back", back), ("swapped", swapped)):
+        part = ids.select(F.lit(stage).alias("stage"), "pair_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 QUERIES["prune_add_back_and_swap"] = _refine
