@@ -430,6 +430,16 @@ QUERIES["union_with_source"] = _union
 ORACLES["union_with_source"] = "SELECT event_type AS source, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1"
 
 
+def _union_all(spark, sf):
+    p = predictions(spark, sf)
+    names = [r[0] for r in p.select("model_name").distinct().orderBy("model_name").collect()]  # one row per event type
+    return merge.source_distribution(merge.union_sources({s: p.filter(F.col("model_name") == s).select("pair_id", "correct") for s in names}))
+
+
+QUERIES["union_with_source_all"] = _union_all
+ORACLES["union_with_source_all"] = "SELECT event_type AS source, count(*) AS n FROM events GROUP BY 1"
+
+
 def _aligned(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "lang")
     f = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")

@@ -425,6 +425,20 @@ QUERIES["two_answer_split"] = _two_answers
 ORACLES["two_answer_split"] = """WITH k AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pair_id, lang, source FROM documents WHERE lang <> 'es')
 SELECT pair_id, lang AS claim_text, 1 AS label FROM k UNION ALL SELECT pair_id, source, 0 FROM k"""
 
+def _two_texts(spark, sf):
+    """Texts of even and odd ids as the two answers; digests of the claims."""
+    d = table(spark, sf, "documents").groupBy(F.expr("doc_id div 2").alias("k")).agg(
+        F.max(F.when(F.col("doc_id") % 2 == 0, F.col("text"))).alias("right_answer"), F.max(F.when(F.col("doc_id") % 2 == 1, F.col("text"))).alias("hallucinated_answer"))
+    out = reshape.split_two_answers(d, "k", "right_answer", "hallucinated_answer")
+    return out.select("pair_id", F.md5(F.col("claim_text").cast("binary")).alias("claim_md5"), "label")
+
+
+QUERIES["two_answer_split_texts"] = _two_texts
+ORACLES["two_answer_split_texts"] = r"""WITH t AS (SELECT doc_id, coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS c FROM documents),
+p AS (SELECT doc_id // 2 AS k, max(c) FILTER (doc_id % 2 = 0) AS r, max(c) FILTER (doc_id % 2 = 1) AS w FROM t GROUP BY 1),
+k AS (SELECT row_number() OVER (ORDER BY k) - 1 AS pair_id, r, w FROM p WHERE r <> '' AND w <> '')
+SELECT pair_id, md5(r) AS claim_md5, 1 AS label FROM k UNION ALL SELECT pair_id, md5(w), 0 FROM k"""
+
 QUERIES["label_mapping"] = lambda spark, sf: reshape.map_labels(
     table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label")), "label", {"EN": 1, "FR": 0}).select("doc_id", "label")
 ORACLES["label_mapping"] = "SELECT doc_id, (lang = 'en')::INT AS label FROM documents WHERE lang IN ('en', 'fr')"

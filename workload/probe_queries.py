@@ -106,13 +106,17 @@ SELECT family, variant, round(l.v, 6) AS left_value, round(r.v, 6) AS right_valu
 
 # --- score shapes ---------------------------------------------------------------------
 FAMILIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+ALL_FAMILIES = FAMILIES + ["4-NOT SPECIFIED", "5-LOW"]
 
 
-def _pivot(s):
-    out = reshape.pivot_scores(s.withColumn("family", F.lower(F.replace("family", F.lit("-"), F.lit("")))), [f.lower().replace("-", "") for f in FAMILIES])
+def _pivot(s, families=FAMILIES):
+    out = reshape.pivot_scores(s.withColumn("family", F.lower(F.replace("family", F.lit("-"), F.lit("")))), [f.lower().replace("-", "") for f in families])
     return rounded(out, [c for c in out.columns if c != "pair_id"])
 
 
+_q("pivot_scores_all_families", lambda s: _pivot(s, ALL_FAMILIES), "SELECT pair_id, " + ", ".join(
+    f"round(max({side}) FILTER (family = '{f}' AND variant = '{v}'), 6) AS \"{f.lower().replace('-', '')}_{v}_{side}\""
+    for f in ALL_FAMILIES for v in ("full", "cleaned") for side in ("p_a", "p_b")) + " FROM s GROUP BY 1")
 _q("pivot_scores", _pivot, "SELECT pair_id, " + ", ".join(
     f"round(max({side}) FILTER (family = '{f}' AND variant = '{v}'), 6) AS \"{f.lower().replace('-', '')}_{v}_{side}\""
     for f in FAMILIES for v in ("full", "cleaned") for side in ("p_a", "p_b")) + " FROM s GROUP BY 1")
@@ -176,6 +180,19 @@ def _unit(spark, sf):
 QUERIES["l2_normalized_vectors"] = _unit
 ORACLES["l2_normalized_vectors"] = """SELECT vec_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first FROM embeddings"""
 
+
+
+def _whole_unit(spark, sf):
+    """Every entry tells: the sum of the entries times their place beside the norm."""
+    e = table(spark, sf, "embeddings").select("vec_id", scoring.l2_normalized("embedding").alias("u"))
+    placed = F.aggregate(F.transform("u", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(placed, 4).alias("placed"))
+
+
+QUERIES["l2_normalized_vectors_whole"] = _whole_unit
+ORACLES["l2_normalized_vectors_whole"] = """SELECT vec_id, 1.0::DOUBLE AS norm, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i))
+  / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS placed FROM embeddings"""
+
 # --- scoring with a stored model ------------------------------------------------------
 WEIGHTS = {"intercept": -0.4, "neg_lead": 0.5, "neg_cnt": 0.02, "hedge_rate": 3.0, "auth_rate": -2.0, "len_gap": 0.3,
            "word_count": 0.001, "sent_count": -0.01, "avg_token_len": 0.2, "type_token": -0.8, "punc_rate": 1.5}

@@ -137,6 +137,11 @@ SELECT doc_id, pos, CASE WHEN len(nn) > 0 AND list_max(nn) >= 2 THEN rr[list_pos
   ELSE array_to_string(CASE WHEN len(content) > 0 THEN content[1:3] ELSE toks[1:3] END, ' ') END AS subject FROM be"""
 
 
+QUERIES["subject_hints_whole"] = lambda spark, sf: statements(spark, sf).select(
+    "doc_id", "pos", cues.subject_hint(F.col("statement"), OPENERS, ("of", "the", "de", "la", "und"), _STOP, None).alias("subject"))
+ORACLES["subject_hints_whole"] = ORACLES["subject_hints"].replace("[1:20] AS toks", " AS toks")
+
+
 def _usage(spark, sf):
     return probe.cue_usage(statements(spark, sf), cues.substring_hits(F.col("statement"), FLAGS + STARTS), 3000)
 
@@ -392,17 +397,21 @@ ORACLES["score_completions"] = f"""WITH c AS (SELECT conv_id, turn, nullif(upper
 SELECT conv_id, turn, choice, coalesce((choice = CASE WHEN true_is_a THEN 'A' ELSE 'B' END)::INT, 0) AS correct FROM c"""
 
 
-def _choices(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", F.struct(F.array("lang", "source", F.substring_index("text", " ", 3)).alias("choices"),
-                           F.array(F.lit(1), "toxic", F.lit(0)).alias("labels")).alias("mc1_targets"))
-    out = reshape.parse_choices(d)
-    return out.select("doc_id", "correct_norm", F.array_join("wrong_norm", "|").alias("wrong"), "choice_error")
+def _choices(text):
+    def run(spark, sf):
+        d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+            "doc_id", F.struct(F.array("lang", "source", text()).alias("choices"),
+                               F.array(F.lit(1), "toxic", F.lit(0)).alias("labels")).alias("mc1_targets"))
+        out = reshape.parse_choices(d)
+        return out.select("doc_id", "correct_norm", F.array_join("wrong_norm", "|").alias("wrong"), "choice_error")
+    return run
 
 
-QUERIES["parse_choice_targets"] = _choices
+QUERIES["parse_choice_targets"] = _choices(lambda: F.substring_index("text", " ", 3))
+QUERIES["parse_choice_targets_whole"] = _choices(lambda: F.col("text"))
 ORACLES["parse_choice_targets"] = r"""WITH n AS (SELECT doc_id, toxic, lang, source, regexp_replace(replace(regexp_replace(regexp_replace(lower(
   array_to_string(string_split(text, ' ')[1:3], ' ')), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), ' in the california', ' in california'), '\.+$', '') AS k
   FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, CASE WHEN toxic = 0 THEN lang END AS correct_norm, CASE WHEN toxic = 0 THEN source || '|' || k ELSE k END AS wrong,
   CASE WHEN toxic = 1 THEN 'multiple correct labels' END AS choice_error FROM n"""
+ORACLES["parse_choice_targets_whole"] = ORACLES["parse_choice_targets"].replace("array_to_string(string_split(text, ' ')[1:3], ' ')", "text")

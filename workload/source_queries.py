@@ -248,6 +248,32 @@ QUERIES["vector_scan"] = _vectors
 ORACLES["vector_scan"] = "SELECT vec_id, len(embedding) AS dim, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings"
 
 
+def _whole_vectors(spark, sf):
+    """Every entry tells: the sum, and the sum of entries times their place."""
+    v = readers.read_vectors(spark, f"{sf}/embeddings.parquet")
+    add = lambda a: F.round(F.aggregate(a, F.lit(0.0).cast("double"), lambda t, x: t + x), 4)
+    number = F.transform("embedding", lambda x: x.cast("double"))
+    return v.select("vec_id", F.size("embedding").alias("dim"), add(number).alias("total"),
+                    add(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))).alias("placed"))
+
+
+QUERIES["vector_scan_whole"] = _whole_vectors
+ORACLES["vector_scan_whole"] = """SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total,
+  round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 4) AS placed FROM embeddings"""
+
+
+def _legacy_texts(spark, sf):
+    legacy = documents(spark, sf).select(F.col("doc_id").alias("pair_id"), F.col("source").alias("question"), F.col("text").alias("BestAnswer"),
+                                         F.concat(F.lit(" ; "), F.regexp_replace("text", ";", ","), F.lit(" ;"), F.col("lang")).alias("Incorrect Answers"))
+    out = reshape.coalesce_incorrect(legacy)
+    return out.select("pair_id", "question", *digest(("best_answer", "best_md5"), ("best_incorrect", "incorrect_md5")))
+
+
+QUERIES["pair_column_fallback_texts"] = _legacy_texts
+ORACLES["pair_column_fallback_texts"] = r"""SELECT doc_id AS pair_id, source AS question, md5(text) AS best_md5,
+  md5(coalesce(nullif(regexp_replace(replace(text, ';', ','), '^\s+|\s+$', '', 'g'), ''), lang)) AS incorrect_md5 FROM documents"""
+
+
 def _feature_sink(spark, sf):
     from workload.common import doc_features
     path = scratch_path(spark, "features")
