@@ -47,7 +47,7 @@ def _vector_audit(spark, sf):
 
 QUERIES["vector_probe_audit"] = _vector_audit
 QUERIES["audit_with_null_and_interval"] = lambda spark, sf: rounded(
-    sa.audit_with_null(stored(folded(spark, sf)), n_null=20, n_boot=60),
+    sa.audit_with_null(stored(folded(spark, sf)), n_null=100, n_boot=500),
     ["auc", "accuracy", "ci_lo", "ci_hi", "null_mean", "null_std", "p_value"])
 
 
@@ -58,12 +58,12 @@ def _claims(spark, sf):
 
 
 QUERIES["claim_audit_summary"] = lambda spark, sf: rounded(
-    sa.claim_summary(stored(_claims(spark, sf)), "documents by quality", n_null=10, n_boot=30),
+    sa.claim_summary(stored(_claims(spark, sf)), "documents by quality", n_null=100, n_boot=1000),
     ["auc", "accuracy", "ci_lo", "ci_hi", "null_mean", "null_std", "p_value", "auc_drop", "confound_pct"])
 QUERIES["random_label_control"] = lambda spark, sf: rounded(sa.control_summary(
-    sa.random_label_control(stored(_claims(spark, sf)), CLAIM_FEATURES, "row_id", 20)), ["mean_auc", "std_auc"])
+    sa.random_label_control(stored(_claims(spark, sf)), CLAIM_FEATURES, "row_id", 101)), ["mean_auc", "std_auc"])
 QUERIES["ablation_by_dropping"] = lambda spark, sf: rounded(
-    sa.ablation(stored(folded(spark, sf)), FEATURES, sa.PAIR_ABLATIONS, n_null=4), ["auc", "accuracy", "null_mean"])
+    sa.ablation(stored(folded(spark, sf)), FEATURES, sa.PAIR_ABLATIONS, n_null=100), ["auc", "accuracy", "null_mean"])
 
 
 def _zeroed(spark, sf):
@@ -112,7 +112,7 @@ QUERIES["refit_and_score_texts"] = _refit_scores
 def _anchors(spark, sf):
     rows = stored(folded(spark, sf))
     anchors = table(spark, sf, "labels").filter("quality = 1").select(F.expr("doc_id div 2").alias("pair_id")).distinct()
-    return rounded(sa.anchor_summary(sa.anchor_audit(rows, anchors, FEATURES, controls=6)),
+    return rounded(sa.anchor_summary(sa.anchor_audit(rows, anchors, FEATURES, controls=10)),
                    ["auc_mean", "auc_std", "accuracy_mean", "accuracy_std"])
 
 
@@ -133,7 +133,7 @@ SEARCHED = ["search_time_auc", "heldout_auc", "optimism_gap", "confounded_fracti
 def _search(spark, sf):
     c, a = _search_inputs(spark, sf)
     n = c.count()
-    best = ss.best_by_method(ss.search(c, a, [42, 43], n // 2, steps=3, starts=2))
+    best = ss.best_by_method(ss.search(c, a, list(range(42, 52)), n // 2))
     return rounded(best, SEARCHED)
 
 
@@ -157,7 +157,7 @@ def _scan(spark, sf):
     n = c.count()
     orders = {"feature_balanced/all": ss.order_definitions()["feature_balanced/all_features"]}
     prepared = ss.prepare(c, a, [42], orders)
-    scan = ss.prefix_scan(prepared, "feature_balanced/all", od.prefix_sizes(n, n // 4, 0.75, steps=12))
+    scan = ss.prefix_scan(prepared, "feature_balanced/all", od.prefix_sizes(n, n // 4, 0.75))
     return od.largest_feasible(scan.withColumn("order", F.lit("feature_balanced")), ["order"], "keep_n", "auc", [0.5, 0.52, 0.55, 0.6])
 
 

@@ -127,11 +127,11 @@ SHUFFLES = 60
 CALIBRATION = ["delta_mean_observed", "null_mean", "null_std", "p_value_one_sided_ge", "null_p90", "null_p95"]
 
 
-def _calibration(spark, sf):
-    return rounded(impact.permutation_calibration(single_runs(spark, sf), run_flags(spark, sf), SHUFFLES), CALIBRATION)
+def _calibration(shuffles):
+    return lambda spark, sf: rounded(impact.permutation_calibration(single_runs(spark, sf), run_flags(spark, sf), shuffles), CALIBRATION)
 
 
-QUERIES["permutation_calibration"] = _calibration
+QUERIES["permutation_calibration"] = _calibration(SHUFFLES)
 ORACLES["permutation_calibration"] = f"""WITH {RUN_FLAGS}, {SINGLE_SQL}, m AS ({LAST_FILE}),
 k AS (SELECT m.* FROM m JOIN rf USING (pair_id)),
 full_runs AS (SELECT source_file, model_name FROM k GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM rf)),
@@ -150,12 +150,16 @@ FROM g JOIN (SELECT model_name, obs, n_runs AS n_runs_o FROM o) USING (model_nam
 WHERE seed >= 0 AND (SELECT count(*) FROM full_runs) >= 3 GROUP BY 1"""
 
 
-def _report(spark, sf):
+QUERIES["permutation_calibration_300"] = _calibration(300)
+ORACLES["permutation_calibration_300"] = ORACLES["permutation_calibration"].replace(f"range({SHUFFLES})", "range(300)")
+
+
+def _report(spark, sf, shuffles=20):
     """Impact, seed stability and calibration side by side for reporting."""
     f = run_flags(spark, sf)
     main = impact.impact_by_model(single_runs(spark, sf), f).select("model_name", "acc_all", "delta_conf_clean")
     seeds = impact.seed_summary(impact.impact_by_file(wide_runs(spark, sf), f, "last")).select("model_name", "n_runs", "delta_std")
-    cal = impact.permutation_calibration(single_runs(spark, sf), f, 20).select("model_name", "p_value_one_sided_ge")
+    cal = impact.permutation_calibration(single_runs(spark, sf), f, shuffles).select("model_name", "p_value_one_sided_ge")
     out = main.join(cal, "model_name", "left").join(seeds, "model_name", "left")
     label = F.when(F.col("p_value_one_sided_ge") <= 0.05, "beyond null").otherwise("within null")
     return rounded(out.withColumn("verdict", label).withColumn("label", reshape.short_label(F.concat(F.lit("hub/"), "model_name"))),
@@ -177,6 +181,8 @@ ws AS (SELECT model_name, count(delta) AS n_runs, stddev_samp(delta) AS delta_st
 SELECT model_name, round(acc_all, 6) AS acc_all, round(main.delta, 6) AS delta_conf_clean, round(p, 6) AS p_value_one_sided_ge,
   n_runs, round(delta_std, 6) AS delta_std, CASE WHEN p <= 0.05 THEN 'beyond null' ELSE 'within null' END AS verdict, model_name AS label
 FROM main LEFT JOIN cal USING (model_name) LEFT JOIN ws USING (model_name)"""
+QUERIES["impact_report_300"] = lambda spark, sf: _report(spark, sf, 300)
+ORACLES["impact_report_300"] = ORACLES["impact_report"].replace("range(20)", "range(300)")
 
 
 # --- rank preservation ----------------------------------------------------------------

@@ -365,6 +365,13 @@ QUERIES["bootstrap_interval"] = lambda spark, sf: rounded(metrics.interval(
 ORACLES["bootstrap_interval"] = _boot_sql + """ SELECT round(quantile_cont(auc, 0.025), 6) AS ci_lo, round(quantile_cont(auc, 0.975), 6) AS ci_hi,
   count(*) AS n_replicates FROM ba"""
 
+for _n, _name, _pick in ((500, "auc", None), (1000, "interval", ["ci_lo", "ci_hi"])):
+    def _many(spark, sf, n=_n, pick=_pick):
+        drawn = metrics.bootstrap_auc(scored(spark, sf), "pair_id", n, 42)
+        return rounded(metrics.interval(drawn), pick) if pick else rounded(drawn, ["auc"])
+    QUERIES[f"bootstrap_{_name}_{_n}"] = _many
+    ORACLES[f"bootstrap_{_name}_{_n}"] = ORACLES[f"bootstrap_{_name}"].replace(f"range({REPLICATES})", f"range({_n})")
+
 
 # --- pair scores ----------------------------------------------------------------------
 QUERIES["pair_deltas"] = lambda spark, sf: rounded(reshape.to_pairs(answers(spark, sf), FEATURES), [f"d_{f}" for f in FEATURES])
