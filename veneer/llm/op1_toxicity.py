@@ -138,6 +138,29 @@ class Model:
             self._index = BlockMaxIndex(self.vectors, len(self.place))
         return self._index
 
+    def send(self, spark: SparkSession):
+        """One broadcast serves training and scoring; the steps (`knots`, `levels`) travel by themselves."""
+        context = spark.sparkContext
+        if self.__dict__.get("_sent", (None,))[0] is not context:
+            self._sent = context, context.broadcast(self)
+        return self._sent[1]
+
+    def __getstate__(self) -> dict:
+        """Packed: example weights have nine digits, so they are whole numbers of 1e-9."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("_index", "_sent")}
+        state["place"] = "\n".join(self.place)  # in order of places; words hold letters only
+        term, weight = ([v[i] for v in self.vectors] or [np.zeros(0)] for i in (0, 1))
+        state["vectors"] = ([len(v[0]) for v in self.vectors], np.concatenate(term).astype(np.int32),
+                            np.rint(np.concatenate(weight) * 1e9).astype(np.int32))
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.place = {w: i for i, w in enumerate(state["place"].split("\n"))} if state["place"] else {}
+        lengths, term, weight = state["vectors"]
+        cuts = np.cumsum(lengths)[:-1]
+        self.vectors = list(zip(np.split(term.astype(np.int64), cuts), np.split(weight / 1e9, cuts))) if lengths else []
+
 
 def votes(model: Model, found: np.ndarray, cosine: np.ndarray, without: tuple[int, int] | None = None) -> float:
     """Share of class 1 among the neighbours, each weighing as its cosine, squared, over the examples it stands for, and
@@ -223,6 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Mod
     rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>")
     grouped = rows.groupBy("terms", "weights").agg(F.sum("label").alias("one"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     table_ = grouped.toArrow()
+    shared.destroy()
+    sent.destroy()
     terms, weights = ([np.asarray(x.values) for x in table_.column(c)] for c in ("terms", "weights"))
     one, n, least = (table_.column(c).to_pylist() for c in ("one", "n", "least"))
     entries = sorted(range(len(one)), key=lambda i: least[i])
@@ -231,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Mod
     empty = (sum(one[i] for i in bare) + base) / (sum(n[i] for i in bare) + 1.0)
     model = Model(place, weight, [(terms[i], weights[i]) for i in filled], np.array([[n[i] - one[i], one[i]] for i in filled], np.int64).reshape(-1, 2),
                   [least[i] for i in filled], base, np.zeros(1), np.array([base]), empty)
-    bare_model = spark.sparkContext.broadcast(model)
+    bare_model = model.send(spark)
 
     def left_out(batches):
         own = bare_model.value
@@ -261,7 +286,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     Ids are only carried. No examples at all: every score is 0.5, the share with nothing known.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, knots, levels = model.send(df.sparkSession), model.knots, model.levels
     near = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("share", T.DoubleType())]))
     schema = T.StructType([base.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", near)])
 
@@ -275,7 +300,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 found, cosine = index.search(terms, weights, own.k)
                 if len(found):
                     v = votes(own, found, cosine)
-                    p = float(own.levels[max(0, np.searchsorted(own.knots, v, "right") - 1)])
+                    p = float(levels[max(0, np.searchsorted(knots, v, "right") - 1)])
                     # votes order texts within a step
                     scores.append(min(1.0, max(0.0, p + 0.01 * (v - 0.5))))
                 else:
