@@ -262,11 +262,11 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
             yield finished(batch, (s.as_py() for s in batch.column("starts")))
 
     # texts that surely have no hit are finished where they are read
-    table_of_hits = df.sparkSession.sparkContext.broadcast(IdFilter.of(hits.select(F.col("th").alias("rid"))))
+    table_of_hits = df.sparkSession.sparkContext.broadcast(IdFilter.of(hits, "th"))
 
     def finish_untouched(batches):
         for batch in batches:
-            kept = batch.filter(pa.array(~IdFilter.passing(table_of_hits.value, batch.column("th").to_numpy())))
+            kept = batch.filter(pa.array(~table_of_hits.value.passing(batch.column("th").to_numpy())))
             yield finished(kept, [None] * kept.num_rows)
 
     untouched = docs.select(F.col("id").alias("doc_id"), "th", "text").mapInArrow(finish_untouched, schema)
