@@ -117,3 +117,25 @@ def byte_strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Ar
     np.cumsum(size, out=offsets[1:])
     data = raw[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data.tobytes())).cast(pa.string())
+
+
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every `width` neighbours, by ranges that double."""
+    n, reach = len(values) - width + 1, 1
+    if n <= 0:
+        return values[:0]
+    while 2 * reach <= width:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    return np.minimum(values[:n], values[width - reach:width - reach + n])
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the runs [first, end) of words."""
+    up, down = _powers.to(len(hashes) + 1)
+    found = []
+    for own in (hashes, mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))):
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[:-1], out=sums[1:])
+        found.append(mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)))
+    return found[0], found[1]
