@@ -5,6 +5,7 @@ rotation and every word that differs in that character alone has the same rest:
 that skips the edited character. A word that lacks the character has the prefix as a whole rotation. Prefixes are sorted
 and scanned range by range. Words of one range differ in a single character, so a range is never larger than the
 alphabet, whatever the number of words; each member emits what it found there (a count and its best neighbour), not pairs.
+Rotations of very long words are named by two hashes each, so that a word takes room in proportion to its length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veneer.llm.common import scratch_path, table
+from veneer.llm.shingles import Powers, mixed
 from veneer.llm.word_arrays import LOWER, byte_strings, counted, parts, span_hashes, spans
 
 # fixed values: which runs lose a code point, least length and count of a word, how much commoner its form is
@@ -26,6 +28,8 @@ END = "$"
 _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
 _LEAD = 0xC3  # first byte of U+00C0 to U+00FF; what follows it is one of them
+#: Words from this length on have their rotations hashed instead of written out.
+HASHED = 256
 #: Runs that a task counts before it sends them on; bytes from which on a run's checksum is taken by itself.
 HELD, LONG = 1 << 20, 64
 
@@ -174,12 +178,78 @@ def near_words(words: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))],
                                           ["word", "n_near", "best_n", "best"])
 
-    sorted_rotations = words.select("word", "n").mapInArrow(turned, "prefix string, skipped string, n long").repartition("prefix").sortWithinPartitions("prefix")
+    short = words.filter(F.length("word") <= HASHED).select("word", "n")
+    sorted_rotations = short.mapInArrow(turned, "prefix string, skipped string, n long").repartition("prefix").sortWithinPartitions("prefix")
     found = sorted_rotations.mapInArrow(scan, "word string, n_near long, best_n long, best string")
+    # words of the border length meet shorter ones and their like above, longer ones below
+    long = words.filter(F.length("word") >= HASHED)
+    if not long.isEmpty():
+        found = found.unionByName(_near_long_words(long))
     best = F.min(F.struct((-F.col("best_n")).alias("down"), "best")).alias("first")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", (-F.col("first.down")).alias("best_n"), "first.best")
 
 
+_powers = Powers()
+
+
+def hashed_rotations(word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each prefix, its skipped code point (-1: nothing) and whether that one begins a run of equal ones."""
+    points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+    n = len(points)
+    cut = np.concatenate((np.arange(n + 1), np.arange(n)))       # letters before the cut
+    rest = np.concatenate((np.arange(n + 1), np.arange(1, n + 1)))  # where the letters after it begin
+    up, down = _powers.to(n + 2)
+    keys = []
+    for salt in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(salt)) * up[:n], out=sums[1:])
+        tail = (sums[n] - sums[rest]) * down[rest]
+        keys.append(mixed(tail + np.uint64(salt ^ 0xFF) * up[n - rest] + sums[cut] * up[n - rest + 1] + (cut + n - rest).astype(np.uint64)))
+    skipped = np.concatenate((np.full(n + 1, -1), points.astype(np.int64)))
+    begins = np.concatenate((np.ones(n + 2, bool), points[1:] != points[:-1]))
+    return keys[0], keys[1], skipped, begins
+
+
+def _near_long_words(words: DataFrame) -> DataFrame:
+    """The same as `near_words`, a row or more per word, for words from the border length on (those of just that length
+    only as far as longer ones are concerned)."""
+    named = _written(words.select("word", "n", F.xxhash64("word").alias("i1"), F.xxhash64(F.lit(1), "word").alias("i2")), "long-words")
+    fields = "k1 long, k2 long, skipped long, begins boolean, i1 long, i2 long, n long"
+
+    def turned(batches):
+        for batch in batches:
+            for word, n, i1, i2 in zip(*[batch.column(c).to_pylist() for c in ("word", "n", "i1", "i2")]):
+                k1, k2, skipped, begins = (x[:len(word) + 1] if len(word) == HASHED else x for x in hashed_rotations(word))
+                same = [pa.array(np.full(len(k1), x, np.int64)) for x in (i1, i2, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(skipped), pa.array(begins), *same],
+                                                 [f.split()[0] for f in fields.split(", ")])
+
+    ranges = (named.mapInArrow(turned, fields).groupBy("k1", "k2")  # no larger than the alphabet
+              .agg(F.collect_list(F.struct("skipped", "begins", "n", "i1", "i2")).alias("members")).filter(F.size("members") > 1).select("members"))
+
+    def scan(batches):
+        for batch in batches:
+            out = []
+            for members in batch.column("members").to_pylist():
+                for one in members:
+                    near = [x for x in members if x["skipped"] != one["skipped"]
+                            and (one["begins"] or x["skipped"] >= 0) and (x["begins"] or one["skipped"] >= 0)]
+                    if near:
+                        most = max(x["n"] for x in near)
+                        out.append((one["i1"], one["i2"], len(near), most, [{"i1": x["i1"], "i2": x["i2"]} for x in near if x["n"] == most]))
+            ties = pa.list_(pa.struct([("i1", pa.int64()), ("i2", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], ties if k == 4 else pa.int64()) for k in range(5)],
+                                             ["i1", "i2", "n_near", "best_n", "ties"])
+
+    found = _written(ranges.mapInArrow(scan, "i1 long, i2 long, n_near long, best_n long, ties array<struct<i1: long, i2: long>>"), "long-ranges")
+    sums = found.groupBy("i1", "i2").agg(F.sum("n_near").alias("n_near"), F.max("best_n").alias("best_n"))
+    tied = found.select("i1", "i2", "best_n", F.explode("ties").alias("tie")).join(sums, ["i1", "i2", "best_n"])
+    text = named.select("i1", "i2", "word")
+    best = (tied.join(text.select(F.struct("i1", "i2").alias("tie"), F.col("word").alias("best")), "tie")
+            .groupBy("i1", "i2", "n_near", "best_n").agg(F.min("best").alias("best")))
+    return best.join(text, ["i1", "i2"]).select("word", "n_near", "best_n", "best")
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
