@@ -28,7 +28,7 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _WORD = word_bytes(BREAKS + BLANKS)
 _BREAK = ~word_bytes(BREAKS)
 #: Words (or n-grams) that a task counts before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Suffixes of a group.
 BUDGET = 1 << 20
 
@@ -182,21 +182,19 @@ def _triple_counts(docs: DataFrame, pairs: DataFrame, min_count: int, budget: in
     names = ["g", "h1", "h2", "h3", "n"]
 
     def rows(found):
-        (h1, h2, h3, k), n = found
-        own = groups.value.of(k.view(np.int64), h3)
+        (h1, h2, h3), n = found
+        own = groups.value.of(joined(h1, h2).view(np.int64), h3)
         return pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(h.view(np.int64)) for h in (h1, h2, h3)], pa.array(n, pa.int64())], names)
 
     def suffixes(batches):
-        held = _Counter(4)
+        held = _Counter(3)
         for batch in batches:
             for _, _, _, h, piece, _, _ in _words(batch):
                 same = np.flatnonzero(piece[1:] == piece[:-1])
-                k = np.zeros(len(h), np.uint64)
-                k[same] = joined(h[same], h[same + 1])
                 ok = np.zeros(len(h) + 1, bool)
-                ok[same] = known.value.passing(k[same].view(np.int64))
+                ok[same] = known.value.passing(joined(h[same], h[same + 1]).view(np.int64))
                 at = np.flatnonzero(ok[:-1] & ok[1:])
-                if full := held.add([h[at], h[at + 1], h[at + 2], k[at]]):
+                if full := held.add([h[at], h[at + 1], h[at + 2]]):
                     yield rows(full)
         yield rows(held.take())
 
