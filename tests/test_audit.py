@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import numpy_twins as ref
-from veneer.operators import audit, folds, metrics, scoring
+from veneer.functions.draws import WORD_BITS, coin_flips
+from veneer.operators import audit, folds, logistic, metrics, ordering, scoring, trial_labels
+from veneer.operators.single import attach
 from veneer.plans import surface_audit as sa
 
 NAMES = list("abcd")
@@ -83,12 +85,81 @@ def test_wide_vectors(spark):
     assert np.abs(scores(run) - ref.oof(x.astype("float32").astype(float), y, np.arange(200) % 5)).max() < 1e-7
 
 
-def test_null_labels_keep_structure(data):
+def unpacked(df, n, *keys):
+    """(keys..., run, y) rows of null words."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(
+        F.element_at("null_words", F.floor(i / WORD_BITS).cast("int") + 1), (i % WORD_BITS).cast("int")).cast("int"))
+    return df.select(*keys, F.posexplode(bits).alias("run", "y"))
+
+
+@pytest.mark.parametrize("n", [1, 9, 52, 53, 130])
+def test_null_labels_keep_structure(data, n):
     _, _, _, df = data
-    swapped = df.select("pair_id", F.posexplode(F.array(*sa.swapped_labels(9, 5))).alias("run", "y"))
+    swapped = unpacked(sa.null_labels(df, "row_id", "pair_id", n, 5, "within_group"), n, "pair_id")
     assert swapped.groupBy("run", "pair_id").agg(F.sum("y").alias("s")).filter("s <> 1").count() == 0
-    dealt = sa.shuffled_labels(df, "row_id", 4, 5).select(F.posexplode("null_labels").alias("run", "y"))
+    flips = df.filter("label = 1").select("pair_id", F.posexplode(coin_flips(5, n, "pair_id")).alias("run", "flip"))
+    ones = unpacked(sa.null_labels(df.filter("label = 1"), "row_id", "pair_id", n, 5, "within_group"), n, "pair_id")
+    assert ones.join(flips, ["pair_id", "run"]).filter("y <> 1 - flip").count() == 0
+    dealt = unpacked(sa.null_labels(df, "row_id", None, n, 5, "global"), n, "row_id").cache()
     assert {r["s"] for r in dealt.groupBy("run").agg(F.sum("y").alias("s")).collect()} == {60}
+    drawn = ordering.hash_sample(df.select("row_id"), "row_id", [5 + i for i in range(n)], F.lit(60), stream="label")
+    assert {(r["row_id"], r["seed"] - 5) for r in drawn.collect()} == {(r["row_id"], r["run"]) for r in dealt.filter("y = 1").collect()}
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 59, 60, 200])
+def test_cuts_are_exact_samples(spark, size):
+    df = spark.range(60).withColumnRenamed("id", "k")
+    cuts = ordering.hash_cuts(df, "k", [3, 4], [size, min(size, 5)], 60)
+    got = attach(df, cuts).select("k", ordering.before_cut(F.col("cuts"), "k", [3, 4]).alias("in")).collect()
+    for i, n in ((0, size), (1, min(size, 5))):
+        want = {r["k"] for r in ordering.hash_sample(df, "k", [3 + i], F.lit(n)).collect()}
+        assert {r["k"] for r in got if r["in"][i]} == want and len(want) == min(n, 60)
+
+
+def test_far_scores_keep_their_order(spark):
+    """Logits of 31 to 136: probabilities are all 1, ranks are not."""
+    logits = np.array([136.0, 31.0, 90.0, 36.9, 50.0, 120.0, -80.0, -790.0])
+    label = np.array([1, 0, 1, 0, 0, 1, 1, 0])
+    rows = spark.createDataFrame([(i, float(x), int(y)) for i, (x, y) in enumerate(zip(logits, label))], "row_id long, a double, label int")
+    labels = trial_labels.stored(F.array("label"), 1)
+    fitted = logistic.Fit(("a",), 2, np.tile([0.0, 1.0], (1, 2, 1)), None, None, None, np.ones((1, 2), bool))
+    run = audit.Audit(rows.select("row_id", F.lit(0).alias("fold"), F.array("a").alias("x"), F.array("label").alias("y")), fitted, ["row_id"], labels, np.array([0]))
+    pos, neg = logits[label == 1], logits[label == 0]
+    assert run.metrics().first()["auc"] == (pos[:, None] > neg).mean() < 1
+    assert metrics.auc(run.long(), "logit", cut=0.0).first()["auc"] == (pos[:, None] > neg).mean()
+    pairs = run.long().withColumn("pair_id", F.floor(F.col("row_id") / 2))
+    got = {r["pair_id"]: r["confidence"] for r in scoring.pair_confidence(pairs, ["pair_id"]).collect()}
+    for i in range(4):
+        hi, lo = max(logits[2 * i:2 * i + 2]), min(logits[2 * i:2 * i + 2])
+        want = np.exp(-lo) / (1 + np.exp(-lo)) / (1 + np.exp(-hi)) * -np.expm1(lo - hi) if lo > -700 else 1 / (1 + np.exp(-hi))
+        assert got[i] == pytest.approx(want, rel=1e-12)
+    assert got[0] < 1e-12 and got[0] > 0 and got[1] != got[0]
+
+
+def test_active_models_leave_the_passes(data, monkeypatch):
+    """Passes shrink as models converge, and a start from known weights saves passes."""
+    _, _, _, df = data
+    sizes = []
+    plain = logistic._sums
+    monkeypatch.setattr(logistic, "_sums", lambda rows, models, *rest: (sizes.append(len(models.fold)), plain(rows, models, *rest))[1])
+    labels = [F.col("label"), F.when(F.col("pair_id") < 30, F.col("label")).otherwise(-1), F.lit(1)]
+    first = audit.run_audit(df, NAMES, ["row_id"], F.array(*labels), 3)
+    assert sizes[0] == 18 and sizes[1] == 12 and sizes == sorted(sizes, reverse=True)  # the third has one class
+    cold = len(sizes)
+    again = audit.run_audit(df, NAMES, ["row_id"], F.array(*labels), 3, start=first.fit.weights)
+    assert len(sizes) - cold <= 3 < cold
+    assert np.abs(again.fit.weights[:2] - first.fit.weights[:2]).max() < 1e-9
+
+
+def test_quasi_newton_equals_the_dense_fit(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64)) @ rng.normal(size=(64, 64)) / 8
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    pdf = pd.DataFrame({"row_id": np.arange(400), "label": y, "v": list(x)})
+    df = spark.createDataFrame(pdf, "row_id long, label int, v array<double>").withColumn("fold", folds.dense_fold("row_id")).coalesce(4)
+    dense, light = (audit.run_vector_audit(df, "v", 64, ["row_id"], F.array("label"), method=m) for m in ("newton", "quasi-newton"))
+    assert light.fit.valid.all() and np.abs(dense.fit.z_weights - light.fit.z_weights).max() < 1e-6
+    assert np.abs(scores(dense) - scores(light)).max() < 1e-6
 
 
 def test_auc_brute_force(spark):

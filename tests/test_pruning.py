@@ -79,7 +79,7 @@ def test_swap_takes_the_first_improvement(spark, data):
             want = (start - {hit}) | {r}
             break
     kept = spark.createDataFrame([(i,) for i in sorted(start)], "pair_id long")
-    got = pruning.swap_refine(df, kept, 1.0, pruning.PruneTrial("confidence", 1.0, "accuracy"), NAMES, rounds=1, probe=4, chunk=16)
+    got = pruning.swap_refine(df, kept, 1.0, pruning.PruneTrial("confidence", 1.0, "accuracy"), NAMES, rounds=1, probe=4)
     assert {r["pair_id"] for r in got.collect()} == want
 
 

@@ -1,16 +1,14 @@
 """Batched out-of-fold logistic audit.
 
-Many trials (label shuffles, feature masks, row subsets) are fitted together. A row holds
-its features once and one small label per trial (-1: not in the trial), so trials never
-multiply the rows. Every Newton step is one Spark aggregation: each task turns its Arrow
-batches into partial gradient and Hessian sums per (trial, fold), Spark adds them up, and
-the driver only solves the (features+1)-sized systems. Row data stays on the executors.
+Many trials (label shuffles, feature masks, row subsets) are fitted together. A row holds its features once and what
+its labels follow from in a compact form, so trials never multiply the rows. Row data stays on the executors; scores
+are logits, which keep far rows apart where probabilities would all be 0 or 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,305 +17,189 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veneer.operators import metrics
+from veneer.operators import logistic, metrics, trial_labels
+from veneer.operators.scoring import sigmoid
+from veneer.operators.trial_labels import ABSENT, Labels, matrix
 
-ABSENT = -1
-_CLIP = 30.0
-_WIDE = 32
-_ROWS_PER_STEP = 4096
-
-
-@dataclass
-class Fit:
-    """Fitted weights on raw features, index [trial, fold]; fold ``n_folds`` is the full fit."""
-
-    features: tuple
-    n_folds: int
-    weights: np.ndarray          # trials x (folds + 1) x (1 + d), raw-feature scale
-    z_weights: np.ndarray        # same, on standardised features
-    means: np.ndarray
-    scales: np.ndarray
-    valid: np.ndarray            # trials x (folds + 1)
-    iterations: int = 0
-    n_rows: np.ndarray = field(default=None)
+#: Trials that share the passes.
+CHUNK = 512
 
 
 def feature_vector(features) -> Column:
     return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
 
 
-def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
-
-
-def _batch_parts(batch: pa.RecordBatch, center, scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for start in range(0, batch.num_rows, _ROWS_PER_STEP):
-        part = batch.slice(start, _ROWS_PER_STEP)
-        n = part.num_rows
-        x = (_matrix(part.column("x"), n) - center) / scale
-        yield (np.hstack([np.ones((n, 1)), x]), _matrix(part.column("y"), n),
-               part.column("fold").to_numpy(zero_copy_only=False))
+def _logits(batch: pa.RecordBatch, weights: np.ndarray, valid: np.ndarray, n_folds: int) -> np.ndarray:
+    """Rows x trials, each row by the models that were fitted without its fold; NaN where there is none.
 
-
-def _partial_sums(weights: np.ndarray, center: np.ndarray, scale: np.ndarray):
-    """Task body: partial [Hessian rows | gradient | (loss, rows, positives)] per model."""
-    n_trials, n_models, width = weights.shape
-    flat = weights.reshape(-1, width)
-    first, second = np.triu_indices(width)
-    wide = width > _WIDE
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = n_trials * n_models
-        hess = np.zeros((count, width, width)) if wide else np.zeros((len(first), count))
-        grad = np.zeros((width, count))
-        tail = np.zeros((3, count))
-        seen = False
-        for batch in batches:
-            for x, labels, fold in _batch_parts(batch, center, scale):
-                seen = True
-                trains = fold[:, None] != np.arange(n_models)[None, :]
-                member = ((labels >= 0)[:, :, None] & trains[:, None, :]).reshape(len(x), count)
-                y = np.repeat(np.maximum(labels, 0), n_models, axis=1)
-                eta = np.clip(x @ flat.T, -_CLIP, _CLIP)
-                p = 1.0 / (1.0 + np.exp(-eta))
-                grad += x.T @ np.where(member, y - p, 0.0)
-                curve = np.where(member, p * (1.0 - p), 0.0)
-                if wide:
-                    for m in range(count):
-                        hess[m] += (x * curve[:, m:m + 1]).T @ x
-                else:
-                    hess += (x[:, first] * x[:, second]).T @ curve
-                tail[0] += np.where(member, np.logaddexp(0.0, eta) - y * eta, 0.0).sum(axis=0)
-                tail[1] += member.sum(axis=0)
-                tail[2] += np.where(member, y, 0).sum(axis=0)
-        if not seen:
-            return
-        rows = np.zeros((count, width + 2, width))
-        if wide:
-            rows[:, :width, :] = hess
-        else:
-            rows[:, first, second] = hess.T
-            rows[:, second, first] = hess.T
-        rows[:, width, :] = grad.T
-        rows[:, width + 1, :3 if width >= 3 else width] = tail.T[:, :width]
-        cells = rows.reshape(count * (width + 2), width)
-        model = np.repeat(np.arange(count, dtype=np.int32), width + 2)
-        line = np.tile(np.arange(width + 2, dtype=np.int32), count)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(model), pa.array(line), *[pa.array(cells[:, j]) for j in range(width)]],
-            names=["model", "line", *[f"c{j}" for j in range(width)]])
-
-    return run
-
-
-def _sums(rows: DataFrame, weights: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    n_trials, n_models, width = weights.shape
-    schema = "model int, line int, " + ", ".join(f"c{j} double" for j in range(width))
-    total = (rows.select("x", "y", "fold").mapInArrow(_partial_sums(weights, center, scale), schema)
-             .groupBy("model", "line").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(width)]))
-    out = np.zeros((n_trials * n_models, width + 2, width))
-    # trials x folds x (width + 2) small rows, whatever the size of the data
-    table = total.toPandas()
-    cells = table[[f"c{j}" for j in range(width)]].to_numpy()
-    out[table["model"].to_numpy(), table["line"].to_numpy()] = cells
-    return out.reshape(n_trials, n_models, width + 2, width)
-
-
-def fit(rows: DataFrame, features, n_trials: int, n_folds: int = 5, masks: np.ndarray | None = None,
-        l2: float = 1.0, max_iter: int = 100, tol: float = 1e-9,
-        center=None, scale=None) -> Fit:
-    """Newton iterations over ``rows(x, y, fold)``; tasks centre and scale ``x`` before use.
-
-    A (trial, fold) that has not converged after ``max_iter`` steps counts as not valid: it gets no metrics.
+    Added up feature by feature, so that equal rows get equal bits wherever they stand.
     """
-    d = len(features)
-    width = d + 1
-    if width < 3:
-        raise ValueError("at least two features are needed")
-    models = n_folds + 1
-    masks = np.ones((n_trials, d), bool) if masks is None else np.asarray(masks, bool)
-    center = np.zeros(d) if center is None else np.asarray(center, float)
-    scale = np.ones(d) if scale is None else np.asarray(scale, float)
-    shape = (n_trials, models)
-    w = np.zeros((*shape, width))          # on standardised features of each training part
-    raw = np.zeros((*shape, width))        # on the centred and scaled x
-    mean, std = np.zeros((*shape, d)), np.ones((*shape, d))
-    active = np.broadcast_to(masks[:, None, :], (*shape, d)).copy()
-    valid = np.ones(shape, bool)
-    best = np.full(shape, np.inf)
-    step = np.zeros((*shape, width))
-    done = np.zeros(shape, bool)
-    n_rows = np.zeros(shape)
-    it = 0
-    for it in range(1, max_iter + 1):
-        total = _sums(rows, raw, center, scale)
-        if it == 1:
-            # at zero weights the Hessian is a quarter of the Gram matrix: the moments
-            gram = total[:, :, :width, :] * 4.0
-            n_rows = gram[..., 0, 0]
-            safe = np.maximum(n_rows, 1.0)
-            mean = gram[..., 0, 1:] / safe[..., None]
-            var = np.einsum("tmii->tmi", gram[..., 1:, 1:]) / safe[..., None] - mean ** 2
-            flat = var <= 1e-12 * (1.0 + mean ** 2)
-            std = np.sqrt(np.where(flat, 1.0, var))
-            active &= ~flat
-            pos = total[..., width + 1, 2]
-            valid = (n_rows > 0) & (pos > 0) & (pos < n_rows)
-        shift = np.zeros((*shape, width, width))
-        shift[..., 0, 0] = 1.0
-        shift[..., 1:, 0] = -mean / std
-        idx = np.arange(1, width)
-        shift[..., idx, idx] = 1.0 / std
-        hess = shift @ total[:, :, :width, :] @ np.swapaxes(shift, -1, -2)
-        grad = np.einsum("tmij,tmj->tmi", shift, total[..., width, :])
-        loss = total[..., width + 1, 0] + 0.5 * l2 * (w[..., 1:] ** 2).sum(-1)
-        worse = loss > best + 1e-9 * (1.0 + np.abs(best))
-        use = np.concatenate([np.ones((*shape, 1), bool), active], axis=-1)
-        ridge = np.full(width, l2)
-        ridge[0] = 0.0
-        g = np.where(use, grad - ridge * w, 0.0)
-        h = np.where(use[..., :, None] & use[..., None, :], hess, 0.0)
-        diag = np.arange(width)
-        h[..., diag, diag] += np.where(use, ridge + 1e-12, 1.0)
-        h[~valid] = np.eye(width)
-        g[~valid] = 0.0
-        newton = np.linalg.solve(h, g[..., None])[..., 0]
-        # a step that raised the loss is taken back by half instead of being followed
-        halved = worse[..., None] & ~done[..., None]
-        move = np.where(halved, -0.5 * step, newton)
-        step = np.where(halved, 0.5 * step, newton)
-        best = np.where(worse, best, loss)
-        done |= ~valid | (np.abs(move).max(axis=-1) < tol)
-        w = w + np.where(done[..., None] & (np.abs(move).max(axis=-1) >= tol)[..., None], 0.0, move)
-        raw = _to_raw(w, mean, std)
-        if done.all():
-            break
-    valid = valid & done
-    # fold centring and scaling into the reported raw-feature weights
-    out = raw.copy()
-    out[..., 1:] = raw[..., 1:] / scale
-    out[..., 0] = raw[..., 0] - (raw[..., 1:] * center / scale).sum(-1)
-    return Fit(tuple(features), n_folds, out, w, mean * scale + center, std * scale, valid, it, n_rows)
-
-
-def _to_raw(w: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
-    raw = w.copy()
-    raw[..., 1:] = w[..., 1:] / std
-    raw[..., 0] = w[..., 0] - (w[..., 1:] * mean / std).sum(-1)
-    return raw
-
-
-def _score_batches(weights: np.ndarray, valid: np.ndarray, digits: int):
-    n_trials = weights.shape[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            x = np.hstack([np.ones((n, 1)), _matrix(batch.column("x"), n)]) if n else np.zeros((0, 1))
-            fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(int)
-            p = np.empty((n, n_trials))
-            for t in range(n_trials):
-                eta = np.einsum("ij,ij->i", x, weights[t, fold]) if n else np.zeros(0)
-                p[:, t] = np.where(valid[t, fold], 1.0 / (1.0 + np.exp(-np.clip(eta, -_CLIP, _CLIP))), np.nan)
-            flat = pa.array(np.round(p, digits).ravel(), from_pandas=True)
-            offsets = pa.array(np.arange(0, n * n_trials + 1, n_trials, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(offsets, flat)],
-                names=[*batch.schema.names, "proba"])
-
-    return run
+    n = batch.num_rows
+    x = matrix(batch.column("x"), n)
+    fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(int)
+    out = np.full((n, len(weights)), np.nan)
+    for f in range(n_folds):
+        rows = np.flatnonzero(fold == f)
+        if not len(rows):
+            continue
+        eta = np.repeat(weights[None, :, f, 0], len(rows), axis=0)
+        for j in range(x.shape[1]):
+            eta += x[rows, j:j + 1] * weights[None, :, f, j + 1]
+        out[rows] = np.where(valid[None, :, f], eta, np.nan)
+    return out
 
 
 @dataclass
 class Audit:
-    """Scored rows of a batch of trials: key columns, ``fold``, ``y``, ``proba`` arrays."""
+    """A fitted batch of trials over stored rows: key columns, fold, x and what the labels are read from."""
 
     rows: DataFrame
-    fit: Fit
+    fit: logistic.Fit
     keys: list
+    labels: Labels
+    plane: np.ndarray
     cached: DataFrame | None = None
+    names: np.ndarray | None = None  # what the trials are called in results, if not 0, 1, 2...
+
+    def _scored(self, schema: T.StructType, make) -> DataFrame:
+        """`make(batch, rows, trials, labels, logits)` of the scored (row, trial) couples, some thousand rows at a time."""
+        fit, reader, plane = self.fit, self.labels.reader, self.plane
+        names = np.arange(len(plane)) if self.names is None else np.asarray(self.names)
+        weights, valid, n_folds = fit.weights, fit.valid, fit.n_folds
+        size = max(64, (1 << 20) // len(plane))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, size):
+                    batch = whole.slice(at, size)
+                    logit, y = _logits(batch, weights, valid, n_folds), reader.take(batch, plane)
+                    row, trial = np.nonzero((y >= 0) & ~np.isnan(logit))
+                    yield make(batch, row, names[trial], y[row, trial], logit[row, trial])
+
+        return self.rows.mapInArrow(run, schema)
 
     def long(self) -> DataFrame:
-        """(keys..., trial, label, score): one row per trial the row belongs to."""
-        zipped = F.transform(F.arrays_zip("y", "proba"), lambda v, i: F.struct(
-            i.alias("trial"), v["y"].alias("label"), v["proba"].alias("score")))
-        inside = F.filter(zipped, lambda v: v["label"] >= 0)
-        return (self.rows.select(*self.keys, F.explode(inside).alias("v"))
-                .select(*self.keys, "v.trial", F.col("v.label").cast("int").alias("label"), "v.score"))
+        """(keys..., trial, label, logit, score): one row per trial the row belongs to; score is the probability."""
+        keys = list(self.keys)
+        names = [*keys, "trial", "label", "logit"]
+        schema = T.StructType([self.rows.schema[k] for k in keys] + [
+            T.StructField("trial", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("logit", T.DoubleType())])
+
+        def make(batch, row, trial, y, logit):
+            take = pa.array(row)
+            return pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in keys], pa.array(trial.astype(np.int32)),
+                                               pa.array(y.astype(np.int32)), pa.array(logit)], names)
+
+        return self._scored(schema, make).withColumn("score", sigmoid(F.col("logit")))
 
     def metrics(self) -> DataFrame:
-        """(trial, auc, accuracy, n_rows)."""
-        return metrics.auc(self.long(), by=["trial"], cut=0.5).select("trial", "auc", "accuracy", "n_rows")
+        """(trial, auc, accuracy, n_rows). Rows of one trial and logit are counted in the task before they travel."""
+        def make(batch, row, trial, y, logit):
+            order = np.lexsort((logit, trial))
+            trial, logit, y = trial[order], logit[order], y[order].astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], (trial[1:] != trial[:-1]) | (logit[1:] != logit[:-1])))[:len(trial)])
+            positive = np.add.reduceat(y, new) if len(new) else y
+            count = np.diff(np.append(new, len(y)))
+            return pa.RecordBatch.from_arrays([pa.array(trial[new].astype(np.int32)), pa.array(logit[new]), pa.array(positive),
+                                               pa.array(count - positive)], ["trial", "logit", "pos", "neg"])
+
+        counts = self._scored(T._parse_datatype_string("trial int, logit double, pos long, neg long"), make)
+        return metrics.auc_of_counts(counts, "logit", "pos", "neg", ["trial"], cut=0.0).select("trial", "auc", "accuracy", "n_rows")
 
     def release(self) -> None:
         if self.cached is not None:
             self.cached.unpersist()
 
 
-def run_audit(df: DataFrame, features, keys: list[str], trials: Column, n_trials: int,
-              n_folds: int = 5, masks=None, l2: float = 1.0, digits: int = 12,
-              persist: bool = True) -> Audit:
-    """Fit and score ``n_trials`` trials at once.
+def _prepared(df: DataFrame, x: Column, labels: Labels, keys: list[str], persist: bool) -> DataFrame:
+    rows = df.select(*keys, F.col("fold").cast("int").alias("fold"), x.alias("x"), *[c.alias(n) for n, c in labels.columns.items()])
+    # re-read in each pass; lost blocks are recomputed from the source
+    return rows.persist(StorageLevel.MEMORY_AND_DISK) if persist else rows
 
-    ``df`` needs the feature columns, ``fold`` and ``keys``; ``trials`` is an ARRAY column
-    with the row's label (0/1) per trial or -1.
+
+def _common_scale(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of all rows, for numerical ease; models are standardised on their own rows afterwards."""
+    def run(batches):
+        n, one, two = 0, np.zeros(d), np.zeros(d)
+        for batch in batches:
+            x = matrix(batch.column("x"), batch.num_rows)
+            if not len(x):
+                continue
+            own, spread, m = x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0), len(x)
+            two += spread + (own - one) ** 2 * n * m / (n + m)
+            one += (own - one) * m / (n + m)
+            n += m
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([one.tolist()], pa.list_(pa.float64())), pa.array([two.tolist()], pa.list_(pa.float64()))],
+                                             ["n", "mean", "spread"])
+
+    found = rows.select("x").mapInArrow(run, "n long, mean array<double>, spread array<double>").collect()  # a row per task
+    if not found:
+        return np.zeros(d), np.ones(d)
+    n = np.array([r["n"] for r in found], float)
+    mean, spread = np.array([r["mean"] for r in found]), np.array([r["spread"] for r in found])
+    center = (mean * n[:, None]).sum(0) / n.sum()
+    std = np.sqrt((spread + (mean - center) ** 2 * n[:, None]).sum(0) / n.sum())
+    return center, np.where(std > 1e-12 * (1.0 + np.abs(center)), std, 1.0)
+
+
+def _fitted(rows, features, keys, labels, plane, n_folds, masks, l2, persist, full, start, center, scale, method=None, names=None) -> Audit:
+    fitted = logistic.fit(rows, features, labels.reader, plane, n_folds, masks, l2, center=center, scale=scale, full=full, start=start, method=method)
+    return Audit(rows, fitted, list(keys), labels, plane, rows if persist else None, names)
+
+
+def run_audit(df: DataFrame, features, keys: list[str], trials: Column | Labels, n_trials: int | None = None, n_folds: int = 5, masks=None,
+              l2: float = 1.0, persist: bool = True, full: bool = True, start: np.ndarray | None = None, plane: list[int] | None = None) -> Audit:
+    """Fit and score many trials at once.
+
+    ``df`` needs the feature columns, ``fold`` and ``keys``; ``trials`` is a Labels, or an ARRAY column with the row's
+    label (0/1) per trial or -1. ``start`` are weights of a similar audit. ``plane`` picks some of the trials.
     """
-    rows = df.select(*keys, F.col("fold").cast("int").alias("fold"), feature_vector(features).alias("x"),
-                     F.transform(trials, lambda v: v.cast("tinyint")).alias("y"))
-    return _run(rows, features, keys, n_trials, n_folds, masks, l2, digits, persist)
+    labels = trials if isinstance(trials, Labels) else trial_labels.stored(trials, n_trials)
+    rows = _prepared(df, feature_vector(features), labels, keys, persist)
+    center, scale = _common_scale(rows, len(features))
+    picked = np.arange(labels.n) if plane is None else np.asarray(plane)
+    return _fitted(rows, features, keys, labels, picked, n_folds, masks, l2, persist, full, start, center, scale, names=picked)
 
 
-def run_vector_audit(df: DataFrame, vector: str, dim: int, keys: list[str], trials: Column,
-                     n_trials: int = 1, n_folds: int = 5, l2: float = 1.0, digits: int = 12) -> Audit:
+def run_vector_audit(df: DataFrame, vector: str, dim: int, keys: list[str], trials: Column, n_trials: int = 1, n_folds: int = 5,
+                     l2: float = 1.0, method: str | None = None) -> Audit:
     """The same audit on stored vectors (ARRAY of floats with ``dim`` entries)."""
-    rows = df.select(*keys, F.col("fold").cast("int").alias("fold"),
-                     F.transform(vector, lambda v: v.cast("double")).alias("x"),
-                     F.transform(trials, lambda v: v.cast("tinyint")).alias("y"))
-    names = [f"v{i}" for i in range(dim)]
-    return _run(rows, names, keys, n_trials, n_folds, None, l2, digits, True)
-
-
-def _run(rows, features, keys, n_trials, n_folds, masks, l2, digits, persist) -> Audit:
-    if persist:  # re-read once per Newton step; lost blocks are recomputed from the source
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    d = len(features)
-    at = [F.element_at("x", i + 1) for i in range(d)]
-    moments = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(at)],
-                       *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at)]).first()
-    center = np.array([moments[i] or 0.0 for i in range(d)])
-    spread = np.array([moments[d + i] or 0.0 for i in range(d)])
-    scale = np.where(spread > 1e-12 * (1.0 + np.abs(center)), spread, 1.0)
-    fitted = fit(rows, features, n_trials, n_folds, masks, l2, center=center, scale=scale)
-    schema = T.StructType(rows.schema.fields + [T.StructField("proba", T.ArrayType(T.DoubleType()))])
-    scored = rows.mapInArrow(_score_batches(fitted.weights, fitted.valid, digits), schema)
-    return Audit(scored.drop("x"), fitted, list(keys), rows if persist else None)
-
-
-def trial_metrics(df: DataFrame, features, labels: list[Column], n_folds: int = 5, masks=None,
-                  l2: float = 1.0, chunk: int = 64, min_rows: int = 10) -> list[dict]:
-    """Metrics of any number of trials, ``chunk`` at a time: one dict per trial.
-
-    ``labels`` holds one 0/1/-1 column per trial. A trial with fewer than ``min_rows`` rows
-    has no metrics.
+    labels = trial_labels.stored(trials, n_trials)
+    rows = _prepared(df, F.transform(vector, lambda v: v.cast("double")), labels, keys, True)
+    center, scale = _common_scale(rows, dim)
+    return _fitted(rows, [f"v{i}" for i in range(dim)], keys, labels, np.arange(n_trials), n_folds, None, l2, True, False, None, center, scale, method)
+
+
+def trial_metrics(df: DataFrame, features, labels: Labels | list[Column], n_folds: int = 5, masks=None, l2: float = 1.0,
+                  chunk: int = CHUNK, min_rows: int = 10, plane: np.ndarray | None = None, start: np.ndarray | None = None) -> list[dict]:
+    """Metrics of any number of trials over rows that are stored once: one dict per trial, with its weights.
+
+    ``plane`` names the labels each trial uses (default: its own); ``start`` has weights to begin all trials from. A trial
+    with fewer than ``min_rows`` rows has no metrics.
     """
+    labels = labels if isinstance(labels, Labels) else trial_labels.stored(labels)
+    plane = np.arange(labels.n) if plane is None else np.asarray(plane)
+    rows = _prepared(df, feature_vector(features), labels, [], True)
+    center, scale = _common_scale(rows, len(features))
     out = []
-    for start in range(0, len(labels), chunk):
-        part = labels[start:start + chunk]
-        mask = None if masks is None else masks[start:start + chunk]
-        audit = run_audit(df, features, [], F.array(*part), len(part), n_folds, mask, l2)
+    for at in range(0, len(plane), chunk):
+        part = plane[at:at + chunk]
+        mask = None if masks is None else masks[at:at + chunk]
+        begin = None if start is None else np.repeat(start[None], len(part), axis=0)
+        audit = _fitted(rows, features, [], labels, part, n_folds, mask, l2, False, False, begin, center, scale)
         found = {r["trial"]: r for r in audit.metrics().collect()}  # at most `chunk` rows
-        audit.release()
         for t in range(len(part)):
             r = found.get(t)
             n = int(r["n_rows"]) if r else 0
             good = r is not None and n >= min_rows and r["auc"] is not None
-            out.append({"trial": start + t, "auc": float(r["auc"]) if good else None,
-                        "accuracy": float(r["accuracy"]) if good else None, "n_rows": n})
+            out.append({"trial": at + t, "auc": float(r["auc"]) if good else None, "accuracy": float(r["accuracy"]) if good else None,
+                        "n_rows": n, "weights": audit.fit.weights[t]})
+    rows.unpersist()
     return out
 
 
-def model_table(spark, fitted: Fit, trial: int = 0, fold: int | None = None) -> DataFrame:
+def model_table(spark, fitted: logistic.Fit, trial: int = 0, fold: int | None = None) -> DataFrame:
     """(feature, position, mean, scale, coefficient, raw_weight); position 0 is the intercept."""
     k = fitted.n_folds if fold is None else fold
     rows = [("intercept", 0, 0.0, 1.0, float(fitted.z_weights[trial, k, 0]),

@@ -10,6 +10,7 @@ from veneer.operators import merge
 from veneer.operators.metrics import midranks
 from veneer.operators.ordering import hash_sample
 from veneer.operators.reshape import style_violation
+from veneer.operators.selection import quantiles
 from veneer.operators.single import attach
 
 # fixed values: (variant, length gap, hedge gap, authority gap)
@@ -82,9 +83,9 @@ def heuristic_confound(features: DataFrame, question_form: bool = False) -> Data
     cue = (F.col("neg_lead") == 1) | (F.col("neg_cnt") >= 2) | (F.col("neg_bigram_refutes") >= 1)
     if question_form:
         return features.withColumn("confounded", (cue | (F.col("question_neg") >= 1)).cast("int"))
-    tails = features.agg(F.percentile("word_count", 0.2).alias("__p20"), F.percentile("word_count", 0.8).alias("__p80"))
-    outer = (F.col("word_count") <= F.col("__p20")) | (F.col("word_count") >= F.col("__p80"))
-    return attach(features, tails).withColumn("confounded", (cue | outer).cast("int")).drop("__p20", "__p80")
+    low, high = quantiles(features, "word_count", [0.2, 0.8])
+    outer = (F.col("word_count") <= low) | (F.col("word_count") >= high)
+    return features.withColumn("confounded", (cue | outer).cast("int"))
 
 
 def coverage_by_label(answers: DataFrame, feature: str, label: str = "label") -> DataFrame:

@@ -51,16 +51,22 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str]
     are joined by the totals of the ranges below. Exact for any choice of edges.
     With ``cut`` the accuracy at that score and the row count come from the same counts.
     """
-    by = by or []
     w = weight if weight is not None else F.lit(1)
-    tied = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-            .groupBy(*by, F.col(score).alias("__s"))
-            .agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("__pos"),
-                 F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("__neg")))
+    one = F.col(label) == 1
+    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
+        *(by or []), score, F.when(one, w).otherwise(0).alias("__pos"), F.when(one, 0).otherwise(w).alias("__neg"))
+    return auc_of_counts(counts, score, "__pos", "__neg", by, 0.5 if cut is None else cut).select(
+        *(by or []), "auc", "n_pos", "n_neg", *([] if cut is None else ["accuracy", "n_rows"]))
+
+
+def auc_of_counts(df: DataFrame, score: str, pos: str, neg: str, by: list[str] | None = None, cut: float = 0.5) -> DataFrame:
+    """The same from rows that count positives and negatives of a score: adds accuracy at ``cut`` and n_rows."""
+    by = by or []
+    tied = df.groupBy(*by, F.col(score).alias("__s")).agg(F.sum(pos).alias("__pos"), F.sum(neg).alias("__neg"))
     ranged = _in_ranges(tied, "__s")
     inside = (Window.partitionBy(*by, "__range").orderBy("__s")
               .rowsBetween(Window.unboundedPreceding, -1))
-    hit = F.when(F.col("__s") >= (0.5 if cut is None else cut), F.col("__pos")).otherwise(F.col("__neg"))
+    hit = F.when(F.col("__s") >= cut, F.col("__pos")).otherwise(F.col("__neg"))
     # negatives below a positive count 1, tied negatives 1/2
     per_range = (ranged.withColumn("__below", F.coalesce(F.sum("__neg").over(inside), F.lit(0)))
                  .groupBy(*by, "__range")
@@ -75,8 +81,7 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str]
     # factors are divided apart: their product can pass the integer range
     value = F.when(both, F.col("__u") / F.col("n_pos").cast("double") / F.col("n_neg").cast("double"))
     rows = F.col("n_pos") + F.col("n_neg")
-    extra = [] if cut is None else [(F.col("__hits") / rows).alias("accuracy"), rows.alias("n_rows")]
-    return out.select(*by, value.alias("auc"), "n_pos", "n_neg", *extra)
+    return out.select(*by, value.alias("auc"), "n_pos", "n_neg", F.try_divide("__hits", rows).alias("accuracy"), rows.alias("n_rows"))
 
 
 def accuracy(df: DataFrame, score: str = "score", label: str = "label",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veneer.functions.draws import WORD_BITS, draw_word
+from veneer.operators.selection import quantiles
 from veneer.operators.single import attach
 from veneer.session import cut_lineage
 
@@ -112,6 +113,44 @@ def hash_sample(df: DataFrame, key: str, seeds: list[int], size: Column,
     return inside.unionByName(on_edge).drop("__draw", "__class", "__edge", "__quota")
 
 
+def hash_cuts(df: DataFrame, key: str, seeds: list[int], sizes: list, total: int, stream: str = "sample") -> DataFrame:
+    """One row (cuts): per seed, in their order, the draw and key of the last of the ``size`` rows with the smallest draws.
+
+    A row belongs to a seed's sample when (draw, key) is at or before the cut, so samples need no rows of their own:
+    `before_cut` decides it where the row is. Draws are counted in classes, about as many as a class has rows, and only
+    the class where a quota runs out is ranked. ``sizes`` has a number per seed, ``total`` rows are in ``df``.
+    """
+    bits = min(26, max(0, (total.bit_length() + 1) // 2))
+    wanted = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in sizes]), F.col("__i") + 1)
+    drawn = (df.select(key, F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("__i", "__seed"))
+             .withColumn("__draw", draw_word(F.col("__seed"), stream, key)).withColumn("__class", F.shiftright("__draw", WORD_BITS - bits)))
+    counts = drawn.groupBy("__i", "__class").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__i").orderBy("__class"))
+    edges = (counts.withColumn("__cum", upto).withColumn("__size", wanted)
+             .filter((F.col("__cum") >= F.col("__size")) & (F.col("__cum") - F.col("__n") < F.col("__size")))
+             .select("__i", "__class", (F.col("__size") - F.col("__cum") + F.col("__n")).alias("__quota")))
+    inside = drawn.join(F.broadcast(edges), ["__i", "__class"])  # one row per seed
+    last = (inside.withColumn("__rn", F.row_number().over(Window.partitionBy("__i").orderBy("__draw", key)))
+            .filter(F.col("__rn") == F.col("__quota")).select("__i", F.struct(F.col("__draw").alias("draw"), F.col(key).alias("key")).alias("cut")))
+    found = F.map_from_entries(F.collect_list(F.struct("__i", "cut")))
+    none = F.when(F.try_element_at(F.array(*[F.lit(int(n) >= total) for n in sizes]), F.col("i") + 1), F.lit(1 << WORD_BITS)).otherwise(F.lit(-1))
+    slots = df.sparkSession.range(len(seeds)).select(F.col("id").cast("int").alias("i"))
+    # a sample of nothing ends before every draw, one of everything after
+    whole = slots.select("i", F.struct(none.cast("long").alias("draw"), F.lit(None).cast(df.schema[key].dataType).alias("key")).alias("bound"))
+    return (attach(whole, last.agg(found.alias("found")))
+            .select(F.struct("i", F.coalesce(F.try_element_at("found", F.col("i")), F.col("bound")).alias("cut")).alias("c"))
+            .agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["cut"]).alias("cuts")))
+
+
+def before_cut(cuts: Column, key: str, seeds: list[int], stream: str = "sample") -> Column:
+    """ARRAY<INT> with 1 for each seed in whose sample the row is; ``cuts`` is what `hash_cuts` found."""
+    def one(seed, i):
+        cut, draw = F.get(cuts, i), draw_word(seed, stream, key)
+        return ((draw < cut["draw"]) | ((draw == cut["draw"]) & (F.col(key) <= cut["key"]))).cast("int")
+
+    return F.transform(F.array(*[F.lit(s) for s in seeds]), lambda s, i: F.coalesce(one(s, i), F.lit(0)))
+
+
 def holdout_split(groups: DataFrame, key: str, seeds: list[int], fraction: float = 0.25) -> DataFrame:
     """(seed, key) rows of the hold-out side: ceil(fraction * n) groups per seed."""
     n = groups.agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction))).scalar()
@@ -120,13 +159,10 @@ def holdout_split(groups: DataFrame, key: str, seeds: list[int], fraction: float
 
 def quantile_bin(df: DataFrame, value: str, bins: int = 4, name: str = "bin") -> DataFrame:
     """Equal-frequency bin by interpolated quantiles: right-closed, lowest included,
-    repeated edges merged."""
-    probs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(value, probs)).alias("__edges"))
-    inner = F.slice("__edges", 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
-    below = F.size(F.filter(inner, lambda e: e < F.col(value)))
-    return attach(df, edges).withColumn(
-        name, F.when(F.col(value).isNotNull(), below)).drop("__edges")
+    repeated edges merged. The edges are found by counting, so no task sees all values."""
+    edges = list(dict.fromkeys(quantiles(df, value, [i / bins for i in range(bins + 1)])))
+    below = sum(((F.col(value) > e).cast("int") for e in edges[1:-1]), F.lit(0))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), below))
 
 
 PRIORITY_MODES = ("negation_only", "length_only", "neg_len", "all_features", "negation_first")

@@ -14,18 +14,27 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def probability_gap(a: Column, b: Column) -> Column:
+    """|P(a) - P(b)| of two logits, to full precision where both probabilities are all but 0 or 1."""
+    high, low = F.greatest(a, b), F.least(a, b)
+    return F.when(a.isNotNull() & b.isNotNull(), sigmoid(high) * sigmoid(-low) * -F.expm1(low - high))
+
+
 def model_row(model: DataFrame, features) -> DataFrame:
     """A model table as one row: intercept and one raw weight per feature."""
     pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("raw_weight")))
     return model.agg(pick("intercept").alias("__w"), *[pick(f).alias(f"__w_{f}") for f in features])
 
 
-def score_features(df: DataFrame, model: DataFrame, features, name: str = "p") -> DataFrame:
-    """P(label 1) from feature columns and a model table (features + 1 rows)."""
+def score_features(df: DataFrame, model: DataFrame, features, name: str = "p", logit: str | None = None) -> DataFrame:
+    """P(label 1) from feature columns and a model table (features + 1 rows). ``logit`` names a column for what the
+    probability comes from: it ranks rows whose probabilities are all 1."""
     joined = attach(df, model_row(model, features))
     eta = F.col("__w")
     for f in features:
         eta = eta + F.col(f"__w_{f}") * F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+    if logit:
+        joined = joined.withColumn(logit, eta)
     return joined.withColumn(name, sigmoid(eta)).drop("__w", *[f"__w_{f}" for f in features])
 
 
@@ -63,10 +72,11 @@ def pair_imbalance_wide(pairs: DataFrame, features, key: str = "pair_id") -> Dat
     return joined.select(key, total.alias("imbalance"))
 
 
-def pair_confidence(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """|p(true answer) - p(false answer)| per pair."""
-    side = lambda v: F.max(F.when(F.col(label) == v, F.col(score)))
-    return scored.groupBy(*by).agg(F.abs(side(1) - side(0)).alias("confidence"))
+def pair_confidence(scored: DataFrame, by: list[str], score: str | None = None, label: str = "label", logit: str = "logit") -> DataFrame:
+    """|p(true answer) - p(false answer)| per pair, from logits, or from a column of probabilities where only these are left."""
+    side = lambda v: F.max(F.when(F.col(label) == v, F.col(score or logit)))
+    gap = F.abs(side(1) - side(0)) if score else probability_gap(side(1), side(0))
+    return scored.groupBy(*by).agg(gap.alias("confidence"))
 
 
 def pair_separability(scored: DataFrame, by: list[str], score: str = "score") -> DataFrame:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veneer.functions.draws import uniform
 from veneer.functions.text import PAIR_FEATURES
-from veneer.operators import audit
+from veneer.operators import audit, trial_labels
 from veneer.operators.ordering import (best_row, global_rank, holdout_split, prefix_sizes, priority,
                                        quantile_bin, top_k)
 from veneer.operators.scoring import imbalance_penalty, search_objective, sigmoid
@@ -57,12 +58,17 @@ class Trial:
     seed: int
     side: str  # train, hold or all
 
-    def label(self) -> Column:
-        inside = F.try_element_at("ranks", F.lit(self.order)) <= self.keep_n
-        held = F.coalesce(F.array_contains("hold_seeds", self.seed), F.lit(False))
-        if self.side != "all":
-            inside = inside & (held if self.side == "hold" else ~held)
-        return F.when(F.coalesce(inside, F.lit(False)), F.col("label")).otherwise(audit.ABSENT)
+
+def prefix_labels(trials: list[Trial]) -> trial_labels.Labels:
+    """Labels of trials on `prepare`'d rows: each row's ranks and held-out splits decide, no trial adds a column."""
+    orders, seeds = sorted({t.order for t in trials}), sorted({t.seed for t in trials})
+    ranks = F.array(*[F.coalesce(F.try_element_at("ranks", F.lit(o)).cast("int"), F.lit(0)) for o in orders])
+    held = F.transform(F.array(*[F.lit(s) for s in seeds]), lambda s: F.coalesce(F.array_contains("hold_seeds", s).cast("int"), F.lit(0)))
+    reader = trial_labels.Prefixes(
+        np.array([orders.index(t.order) for t in trials]), np.array([t.keep_n for t in trials]),
+        np.array([-1 if t.side == "all" else seeds.index(t.seed) for t in trials]), np.array([t.side == "hold" for t in trials]))
+    columns = {"y": F.col("label").cast("tinyint"), "ranks": ranks, "held": trial_labels.packed(held, len(seeds))}
+    return trial_labels.Labels(columns, reader, len(trials))
 
 
 def prepare(cands: DataFrame, answers: DataFrame, seeds: list[int], orders: dict[str, list[Column]],
@@ -72,28 +78,29 @@ def prepare(cands: DataFrame, answers: DataFrame, seeds: list[int], orders: dict
             .groupBy("example_id").agg(F.collect_set("seed").alias("hold_seeds")))  # at most len(seeds)
     ranks = rank_orders(cands, orders)
     side = ranks.join(held, "example_id", "left").withColumnRenamed("example_id", "pair_id")
-    # every chunk of trials reads this table again
+    # every pass of the fits reads this table again
     return cut_lineage(answers.join(side, "pair_id"))
 
 
 def separability_keys(answers: DataFrame, cands: DataFrame, seeds: list[int], features=PAIR_FEATURES,
                       holdout: float = 0.25) -> DataFrame:
-    """Candidates with ``sep_<seed>``: mean |p - 1/2| under a fit on the training side, else 0."""
+    """Candidates with ``sep_<seed>``: mean |p - 1/2| under a fit on the training side, else 0; minus 1/2, as the
+    distance to certainty keeps pairs apart whose probabilities are all but 0 or 1."""
     held = (holdout_split(cands.select("example_id"), "example_id", seeds, holdout)
             .groupBy(F.col("example_id").alias("pair_id")).agg(F.collect_set("seed").alias("hold_seeds")))
     rows = answers.join(held, "pair_id", "left")
     train = [~F.coalesce(F.array_contains("hold_seeds", s), F.lit(False)) for s in seeds]
-    labels = [F.when(t, F.col("label")).otherwise(audit.ABSENT) for t in train]
-    run = audit.run_audit(rows, features, [], F.array(*labels), len(seeds), FOLDS)
+    labels = [F.when(t, F.col("label")).otherwise(trial_labels.ABSENT) for t in train]
+    run = audit.run_audit(rows, features, [], trial_labels.stored(labels), n_folds=FOLDS)
     run.release()
     scored = {}
     for i, s in enumerate(seeds):
         w = run.fit.weights[i, FOLDS]
         eta = sum((F.col(f).cast("double") * float(w[j + 1]) for j, f in enumerate(features)), F.lit(float(w[0])))
-        scored[f"sep_{s}"] = F.when(train[i], F.round(F.abs(sigmoid(eta) - 0.5), 12)).otherwise(0.0)
+        scored[f"sep_{s}"] = F.when(train[i], -sigmoid(-F.abs(eta))).otherwise(-0.5)
     per_pair = rows.select(F.col("pair_id").alias("example_id"), *[c.alias(n) for n, c in scored.items()]).groupBy(
         "example_id").agg(*[F.avg(n).alias(n) for n in scored])
-    return cands.join(per_pair, "example_id", "left").na.fill(0.0, list(scored))
+    return cands.join(per_pair, "example_id", "left").na.fill(-0.5, list(scored))
 
 
 def raise_to_minimum(prepared: DataFrame, trials: list[Trial], minimum: int = FOLDS) -> dict[tuple[str, int], int]:
@@ -111,13 +118,13 @@ def raise_to_minimum(prepared: DataFrame, trials: list[Trial], minimum: int = FO
 
 
 def evaluate(prepared: DataFrame, plan: list[tuple[str, int, int]], features=PAIR_FEATURES,
-             chunk: int = 64, raise_small: bool = False) -> DataFrame:
+             chunk: int = audit.CHUNK, raise_small: bool = False) -> DataFrame:
     """(method, mode, target_kept, keep_n, seed, search_auc, heldout_auc, optimism_gap, train/hold pairs)."""
     base = [Trial(o, k, s, side) for o, k, s in plan for side in ("train", "hold")]
     floor = raise_to_minimum(prepared, base) if raise_small else {}
     sized = [(o, max(k, floor.get((o, s), k)), s, k) for o, k, s in plan]
     trials = [Trial(o, k, s, side) for o, k, s, _ in sized for side in ("train", "hold")]
-    rows = audit.trial_metrics(prepared, features, [t.label() for t in trials], FOLDS, chunk=chunk, min_rows=2 * FOLDS)
+    rows = audit.trial_metrics(prepared, features, prefix_labels(trials), FOLDS, chunk=chunk, min_rows=2 * FOLDS)
     out = []
     for i, (order, k, seed, target) in enumerate(sized):
         tr, ho = rows[2 * i], rows[2 * i + 1]
@@ -148,7 +155,7 @@ def best_by_method(enriched: DataFrame) -> DataFrame:
 
 
 def search(cands: DataFrame, answers: DataFrame, seeds: list[int], min_keep: int, max_drop: float = 0.5,
-           steps: int = 80, starts: int = 5, features=PAIR_FEATURES, chunk: int = 64) -> DataFrame:
+           steps: int = 80, starts: int = 5, features=PAIR_FEATURES, chunk: int = audit.CHUNK) -> DataFrame:
     """Multi-seed search over all five methods; one enriched row per tried prefix."""
     with_sep = separability_keys(answers, cands, seeds, features)
     orders = order_definitions({s: starts for s in seeds})
@@ -205,7 +212,7 @@ def method_stability(best: DataFrame) -> DataFrame:
 def prefix_scan(prepared: DataFrame, order: str, sizes: list[int], features=PAIR_FEATURES) -> DataFrame:
     """(keep_n, auc, accuracy) of many prefixes of one order; every threshold reads this table."""
     trials = [Trial(order, k, -1, "all") for k in sizes]
-    rows = audit.trial_metrics(prepared, features, [t.label() for t in trials], FOLDS, min_rows=2 * FOLDS)
+    rows = audit.trial_metrics(prepared, features, prefix_labels(trials), FOLDS, min_rows=2 * FOLDS)
     return prepared.sparkSession.createDataFrame(
         [(k, r["auc"], r["accuracy"]) for k, r in zip(sizes, rows)], "keep_n int, auc double, accuracy double")
 

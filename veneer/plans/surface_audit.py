@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veneer.functions.draws import coin_flips
+from veneer.functions.draws import WORD_BITS, draw_word
 from veneer.functions.text import CLAIM_FEATURES, PAIR_FEATURES
-from veneer.operators import audit, metrics
+from veneer.operators import audit, metrics, trial_labels
 from veneer.operators.impact import heuristic_confound
-from veneer.operators.ordering import hash_sample
+from veneer.operators.ordering import before_cut, hash_cuts
 from veneer.operators.single import attach
+from veneer.session import cut_lineage
 
 # fixed values: ablation groups of the labelled-claim audit
 CLAIM_ABLATIONS = {
@@ -31,28 +32,27 @@ FULL_MODEL = "None (full model)"
 MIN_PAIRS = 5
 
 
-def swapped_labels(n: int, seed: int, pair: str = "pair_id", label: str = "label") -> list[Column]:
-    """One label column per null run: the two answers of a pair trade labels on a fair coin."""
-    flips = coin_flips(seed, n, pair)
-    return [F.when(F.element_at(flips, i + 1) == 1, 1 - F.col(label)).otherwise(F.col(label)) for i in range(n)]
+def swapped_words(n: int, seed: int, pair: str = "pair_id", label: str = "label") -> Column:
+    """Bit words of n null labels: the two answers of a pair trade labels on a fair coin. One md5 feeds a word."""
+    words = [draw_word(seed, block, pair) for block in range(max(1, -(-n // WORD_BITS)))]
+    return F.array(*[F.when(F.col(label) == 1, F.bitwise_not(w).bitwiseAND(F.lit((1 << WORD_BITS) - 1))).otherwise(w) for w in words])
 
 
 def shuffled_labels(df: DataFrame, key: str, n: int, seed: int, label: str = "label") -> DataFrame:
-    """Add ARRAY ``null_labels``: labels re-dealt over all rows, keeping the number of ones."""
-    ones = df.agg(F.sum(label)).scalar()
+    """Add ``null_words``: bit words of labels re-dealt over all rows, keeping the number of ones."""
+    total, ones = df.agg(F.count(F.lit(1)), F.sum(label)).first()
     seeds = [seed + i for i in range(n)]
-    dealt = hash_sample(df.select(key), key, seeds, ones, stream="label")
-    per_row = dealt.groupBy(key).agg(F.collect_set("seed").alias("__ones"))  # at most n entries
-    return df.join(per_row, key, "left").withColumn("null_labels", F.array(*[
-        F.coalesce(F.array_contains("__ones", s), F.lit(False)).cast("int") for s in seeds])).drop("__ones")
+    cuts = cut_lineage(hash_cuts(df.select(key), key, seeds, [int(ones or 0)] * n, total, stream="label"))
+    dealt = before_cut(F.col("cuts"), key, seeds, stream="label")
+    return attach(df, cuts).withColumn("null_words", trial_labels.packed(dealt, n)).drop("cuts")
 
 
 def null_labels(df: DataFrame, key: str, group: str | None, n: int, seed: int, mode: str) -> DataFrame:
-    """Add ARRAY ``null_labels`` in one of the two null modes."""
+    """Add ``null_words`` in one of the two null modes, written once: no trial draws a label again."""
     if mode == "within_group":
-        return df.withColumn("null_labels", F.array(*swapped_labels(n, seed, group or key)))
+        return cut_lineage(df.withColumn("null_words", swapped_words(n, seed, group or key)))
     if mode == "global":
-        return shuffled_labels(df, key, n, seed)
+        return cut_lineage(shuffled_labels(df, key, n, seed))
     raise ValueError(f"null mode {mode!r}: expected global or within_group")
 
 
@@ -71,10 +71,10 @@ def audit_with_null(df: DataFrame, features=PAIR_FEATURES, key: str = "row_id",
     spark = df.sparkSession
     run = observed(df, features, list(dict.fromkeys([key, group or key])), n_folds)
     scored = run.long()
-    point = metrics.auc(scored, cut=0.5)
-    ci = metrics.interval(metrics.bootstrap_auc(scored, group or key, n_boot, seed))
+    point = metrics.auc(scored, "logit", cut=0.0)
+    ci = metrics.interval(metrics.bootstrap_auc(scored, group or key, n_boot, seed, "logit"))
     labelled = null_labels(df, key, group, n_null, seed, mode)
-    nulls = audit.trial_metrics(labelled, features, [F.element_at("null_labels", i + 1) for i in range(n_null)], n_folds)
+    nulls = audit.trial_metrics(labelled, features, trial_labels.words("null_words", n_null), n_folds, plane=np.arange(1, n_null + 1))
     table = spark.createDataFrame([(r["trial"], r["auc"]) for r in nulls], "run int, auc double")  # n_null rows
     seen = attach(table, point.select(F.col("auc").alias("__seen")))
     null = seen.agg(F.avg("auc").alias("null_mean"), F.stddev_pop("auc").alias("null_std"),
@@ -85,8 +85,8 @@ def audit_with_null(df: DataFrame, features=PAIR_FEATURES, key: str = "row_id",
 def random_label_control(df: DataFrame, features, key: str, runs: int, seed: int = 0,
                          n_folds: int = 5) -> DataFrame:
     """(run, auc) under global label shuffles: the floor without signal."""
-    labelled = shuffled_labels(df, key, runs, seed)
-    rows = audit.trial_metrics(labelled, features, [F.element_at("null_labels", i + 1) for i in range(runs)], n_folds)
+    labelled = null_labels(df, key, None, runs, seed, "global")
+    rows = audit.trial_metrics(labelled, features, trial_labels.words("null_words", runs), n_folds, plane=np.arange(1, runs + 1))
     return df.sparkSession.createDataFrame([(r["trial"], r["auc"]) for r in rows], "run int, auc double")
 
 
@@ -99,13 +99,13 @@ def ablation(df: DataFrame, features, groups: dict[str, tuple], key: str = "row_
     """(ablation, auc, accuracy, null_mean): each group dropped in turn, all trials in shared passes."""
     names = [FULL_MODEL] + [n for n, cols in groups.items() if set(features) - set(cols)]
     masks = [_mask(features, groups.get(n, ())) for n in names]
-    labelled = null_labels(df, key, group, n_null, seed, mode) if n_null else df
-    labels = [F.col("label")] + [F.element_at("null_labels", i + 1) for i in range(n_null)]
-    trials = [(n, lab, m) for n, m in zip(names, masks) for lab in labels]
-    rows = audit.trial_metrics(labelled, features, [t[1] for t in trials], n_folds, np.array([t[2] for t in trials]))
+    labelled = null_labels(df, key, group, n_null, seed, mode) if n_null else df.withColumn("null_words", F.array(F.lit(0).cast("long")))
+    planes = n_null + 1  # the row's own label and the nulls; every mask uses the same ones
+    rows = audit.trial_metrics(labelled, features, trial_labels.words("null_words", n_null), n_folds, np.repeat(masks, planes, axis=0),
+                               plane=np.tile(np.arange(planes), len(names)))
     out = []
     for i, name in enumerate(names):
-        block = rows[i * len(labels):(i + 1) * len(labels)]
+        block = rows[i * planes:(i + 1) * planes]
         nulls = [r["auc"] for r in block[1:] if r["auc"] is not None]
         out.append((i, name, block[0]["auc"], block[0]["accuracy"], float(np.mean(nulls)) if nulls else None))
     return df.sparkSession.createDataFrame(
@@ -157,15 +157,13 @@ def baseline_gate(value: float, expected: float, tolerance: float, what: str = "
 def anchor_audit(answers: DataFrame, anchors: DataFrame, features, controls: int = 10, seed: int = 0,
                  key: str = "pair_id", n_folds: int = 5) -> DataFrame:
     """Audit of all pairs, the anchor pairs and random controls of the anchors' size, in one batch."""
-    size = anchors.agg(F.count(F.lit(1))).scalar()
+    pairs = answers.select(key).distinct()
+    size, total = anchors.count(), pairs.count()
     seeds = [seed + i for i in range(controls)]
-    drawn = hash_sample(answers.select(key).distinct(), key, seeds, size, stream="control")
-    per_pair = drawn.groupBy(key).agg(F.collect_set("seed").alias("__seeds"))  # at most `controls` entries
-    marked = (answers.join(anchors.select(key).withColumn("__anchor", F.lit(True)), key, "left")
-              .join(per_pair, key, "left"))
-    only = lambda cond: F.when(F.coalesce(cond, F.lit(False)), F.col("label")).otherwise(audit.ABSENT)
-    labels = [F.col("label"), only(F.col("__anchor"))] + [only(F.array_contains("__seeds", s)) for s in seeds]
-    rows = audit.trial_metrics(marked, features, labels, n_folds)
+    cuts = cut_lineage(hash_cuts(pairs, key, seeds, [size] * controls, total, stream="control"))
+    marked = attach(answers.join(anchors.select(key).withColumn("__anchor", F.lit(1)), key, "left"), cuts)
+    inside = F.concat(F.array(F.lit(1), F.coalesce("__anchor", F.lit(0))), before_cut(F.col("cuts"), key, seeds, stream="control"))
+    rows = audit.trial_metrics(marked, features, trial_labels.members(trial_labels.packed(inside, controls + 2), controls + 2), n_folds)
     names = ["full", "anchors"] + [f"control_{s}" for s in seeds]
     return answers.sparkSession.createDataFrame(
         [(n, r["auc"], r["accuracy"], r["n_rows"] // 2) for n, r in zip(names, rows)],

@@ -388,7 +388,7 @@ ORACLES["pair_imbalance_scores"] = _imb_sql
 QUERIES["pair_imbalance_long_form"] = lambda spark, sf: rounded(scoring.pair_imbalance(answers(spark, sf), FEATURES), ["imbalance"])
 ORACLES["pair_imbalance_long_form"] = _imb_sql
 
-QUERIES["pair_confidence_scores"] = lambda spark, sf: rounded(scoring.pair_confidence(scored(spark, sf), ["pair_id"]), ["confidence"])
+QUERIES["pair_confidence_scores"] = lambda spark, sf: rounded(scoring.pair_confidence(scored(spark, sf), ["pair_id"], "score"), ["confidence"])
 ORACLES["pair_confidence_scores"] = SCORED + " SELECT pair_id, round(abs(max(s) FILTER (label = 1) - max(s) FILTER (label = 0)), 6) AS confidence FROM sc GROUP BY 1"
 QUERIES["pair_separability"] = lambda spark, sf: rounded(scoring.pair_separability(scored(spark, sf), ["pair_id"]), ["separability"])
 ORACLES["pair_separability"] = SCORED + " SELECT pair_id, round(avg(abs(s - 0.5)), 6) AS separability FROM sc GROUP BY 1"
