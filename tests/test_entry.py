@@ -1,5 +1,11 @@
 """The driver contract, and every SQL twin at the smallest scale."""
 
+import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -20,6 +26,26 @@ def test_keys():
     assert len(ORACLES) > 150
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    """Without the operators' folders, and without the pipeline, both functions still give everything else."""
+    root = Path(entry.__file__).parent
+    for part in ("veneer", "workload"):
+        shutil.copytree(root / part, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), set(o) <= set(q), any(k.startswith('op1_') for k in q), 'pipeline' in q)"
+
+    def counts():
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
+        return done.stdout.split()
+
+    rest = [k for k in QUERIES if not re.match(r"op\d+_|pipeline$", k)]
+    assert counts() == [str(len(rest)), "True", "False", "False"]
+    (tmp_path / "corpus_pipeline.py").unlink()
+    assert counts() == [str(len(rest)), "True", "False", "False"]
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["pair_id", "imbalance"] and df.count() > 0
