@@ -117,7 +117,7 @@ def _prepared(df: DataFrame, x: Column, labels: Labels, keys: list[str], persist
     return rows.persist(StorageLevel.MEMORY_AND_DISK) if persist else rows
 
 
-def _common_scale(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+def common_scale(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and spread of all rows, for numerical ease; models are standardised on their own rows afterwards."""
     def run(batches):
         n, one, two = 0, np.zeros(d), np.zeros(d)
@@ -148,16 +148,23 @@ def _fitted(rows, features, keys, labels, plane, n_folds, masks, l2, persist, fu
     return Audit(rows, fitted, list(keys), labels, plane, rows if persist else None, names)
 
 
+def spread_of(df: DataFrame, features) -> tuple[np.ndarray, np.ndarray]:
+    """Means and scales of the features of all rows, for audits of many parts of them."""
+    return common_scale(df.select(feature_vector(features).alias("x")), len(features))
+
+
 def run_audit(df: DataFrame, features, keys: list[str], trials: Column | Labels, n_trials: int | None = None, n_folds: int = 5, masks=None,
-              l2: float = 1.0, persist: bool = True, full: bool = True, start: np.ndarray | None = None, plane: list[int] | None = None) -> Audit:
+              l2: float = 1.0, persist: bool = True, full: bool = True, start: np.ndarray | None = None, plane: list[int] | None = None,
+              spread: tuple | None = None) -> Audit:
     """Fit and score many trials at once.
 
     ``df`` needs the feature columns, ``fold`` and ``keys``; ``trials`` is a Labels, or an ARRAY column with the row's
-    label (0/1) per trial or -1. ``start`` are weights of a similar audit. ``plane`` picks some of the trials.
+    label (0/1) per trial or -1. ``start`` are weights of a similar audit, ``spread`` the means and scales of its rows
+    (numerical ease only). ``plane`` picks some of the trials.
     """
     labels = trials if isinstance(trials, Labels) else trial_labels.stored(trials, n_trials)
     rows = _prepared(df, feature_vector(features), labels, keys, persist)
-    center, scale = _common_scale(rows, len(features))
+    center, scale = spread or common_scale(rows, len(features))
     picked = np.arange(labels.n) if plane is None else np.asarray(plane)
     return _fitted(rows, features, keys, labels, picked, n_folds, masks, l2, persist, full, start, center, scale, names=picked)
 
@@ -167,12 +174,13 @@ def run_vector_audit(df: DataFrame, vector: str, dim: int, keys: list[str], tria
     """The same audit on stored vectors (ARRAY of floats with ``dim`` entries)."""
     labels = trial_labels.stored(trials, n_trials)
     rows = _prepared(df, F.transform(vector, lambda v: v.cast("double")), labels, keys, True)
-    center, scale = _common_scale(rows, dim)
+    center, scale = common_scale(rows, dim)
     return _fitted(rows, [f"v{i}" for i in range(dim)], keys, labels, np.arange(n_trials), n_folds, None, l2, True, False, None, center, scale, method)
 
 
 def trial_metrics(df: DataFrame, features, labels: Labels | list[Column], n_folds: int = 5, masks=None, l2: float = 1.0,
-                  chunk: int = CHUNK, min_rows: int = 10, plane: np.ndarray | None = None, start: np.ndarray | None = None) -> list[dict]:
+                  chunk: int = CHUNK, min_rows: int = 10, plane: np.ndarray | None = None, start: np.ndarray | None = None,
+                  spread: tuple | None = None) -> list[dict]:
     """Metrics of any number of trials over rows that are stored once: one dict per trial, with its weights.
 
     ``plane`` names the labels each trial uses (default: its own); ``start`` has weights to begin all trials from. A trial
@@ -181,7 +189,7 @@ def trial_metrics(df: DataFrame, features, labels: Labels | list[Column], n_fold
     labels = labels if isinstance(labels, Labels) else trial_labels.stored(labels)
     plane = np.arange(labels.n) if plane is None else np.asarray(plane)
     rows = _prepared(df, feature_vector(features), labels, [], True)
-    center, scale = _common_scale(rows, len(features))
+    center, scale = spread or common_scale(rows, len(features))
     out = []
     for at in range(0, len(plane), chunk):
         part = plane[at:at + chunk]

@@ -63,13 +63,18 @@ def _blocks(batch: pa.RecordBatch, reader, models: Models, center, scale):
 
 
 def _add_up(models: Models, reader, center, scale, kind: str):
-    """Task body: the sums of each model in lines of `_LINE` cells; `kind` is moments, gradient or newton."""
+    """Task body: the sums of each model in lines of `_LINE` cells.
+
+    `kind` is gradient or newton (with the upper half of the Hessian); "first " before it adds the moments of the rows.
+    """
     width = models.weights.shape[1]
     first, second = np.triu_indices(width)
     count = len(models.fold)
+    moments, newton = kind.startswith("first"), kind.endswith("newton")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, tail = np.zeros((width, count)), np.zeros((len(first) if kind == "newton" else width, count)), np.zeros((3, count))
+        one, tail = np.zeros((width, count)), np.zeros((3, count))
+        curves, sums = np.zeros((len(first) if newton else 0, count)), np.zeros((2 * width if moments else 0, count))
         seen = False
         for batch in batches:
             for x, labels, member in _blocks(batch, reader, models, center, scale):
@@ -77,21 +82,20 @@ def _add_up(models: Models, reader, center, scale, kind: str):
                 y = np.maximum(labels, 0)
                 tail[1] += member.sum(axis=0)
                 tail[2] += np.where(member, y, 0).sum(axis=0)
-                if kind == "moments":
+                if moments:
                     inside = member.astype(float)
-                    one += x.T @ inside
-                    two += (x * x).T @ inside
-                    continue
+                    sums[:width] += x.T @ inside
+                    sums[width:] += (x * x).T @ inside
                 eta = x @ models.weights.T
                 with np.errstate(over="ignore"):
                     p = 1.0 / (1.0 + np.exp(-eta))
                 one += x.T @ np.where(member, y - p, 0.0)
                 tail[0] += np.where(member, np.logaddexp(0.0, eta) - y * eta, 0.0).sum(axis=0)
-                if kind == "newton":
-                    two += (x[:, first] * x[:, second]).T @ np.where(member, p * (1.0 - p), 0.0)
+                if newton:
+                    curves += (x[:, first] * x[:, second]).T @ np.where(member, p * (1.0 - p), 0.0)
         if not seen:
             return
-        cells = np.vstack([one, tail] + ([two] if kind != "gradient" else [])).T
+        cells = np.vstack([one, tail, curves, sums]).T
         lines = -(-cells.shape[1] // _LINE)
         cells = np.pad(cells, ((0, 0), (0, lines * _LINE - cells.shape[1]))).reshape(count * lines, _LINE)
         yield pa.RecordBatch.from_arrays(
@@ -102,19 +106,19 @@ def _add_up(models: Models, reader, center, scale, kind: str):
 
 
 def _sums(rows: DataFrame, models: Models, reader, center, scale, kind: str):
-    """(first sums, tail of loss, rows and positives, second sums) per model."""
+    """(gradient, tail of loss, rows and positives, Hessian, moments) per model."""
     count, width = models.weights.shape
     schema = "model int, line int, " + ", ".join(f"c{j} double" for j in range(_LINE))
     total = (rows.mapInArrow(_add_up(models, reader, center, scale, kind), schema)
              .groupBy("model", "line").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(_LINE)]))
-    second = {"moments": width, "gradient": 0, "newton": width * (width + 1) // 2}[kind]
-    size = width + 3 + second
+    curves = width * (width + 1) // 2 if kind.endswith("newton") else 0
+    size = width + 3 + curves + (2 * width if kind.startswith("first") else 0)
     lines = -(-size // _LINE)
     out = np.zeros((count, lines, _LINE))
     found = total.toPandas()  # a few small rows per model, whatever the size of the data
     out[found["model"].to_numpy(), found["line"].to_numpy()] = found[[f"c{j}" for j in range(_LINE)]].to_numpy()
     out = out.reshape(count, lines * _LINE)
-    return out[:, :width], out[:, width:width + 3], out[:, width + 3:size]
+    return out[:, :width], out[:, width:width + 3], out[:, width + 3:width + 3 + curves], out[:, width + 3 + curves:size]
 
 
 def to_raw(w: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
@@ -126,31 +130,45 @@ def to_raw(w: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
 
 
 class _State:
-    """What the driver keeps of all models between passes."""
+    """What the driver keeps of all models between passes.
 
-    def __init__(self, rows, reader, plane, fold, masks, center, scale, l2):
+    The first pass is at given raw weights (zeros, or those of a similar fit) and also gives the moments by which each
+    model is standardised, so a good start is not a pass more but several less.
+    """
+
+    def __init__(self, rows, reader, plane, fold, masks, center, scale, l2, raw, kind):
         self.rows, self.reader, self.plane, self.fold = rows, reader, plane, fold
         self.center, self.scale, self.l2 = center, scale, l2
-        count, d = masks.shape
-        one, tail, two = self.pass_over(np.arange(count), np.zeros((count, d + 1)), "moments")
+        count, width = raw.shape
+        raw = np.where(np.concatenate([np.ones((count, 1), bool), masks], axis=1), raw, 0.0)
+        one, tail, two, sums = _sums(rows, Models(raw, plane, fold), reader, center, scale, f"first {kind}")
         self.n_rows = tail[:, 1]
         safe = np.maximum(self.n_rows, 1.0)[:, None]
-        self.mean = one[:, 1:] / safe
-        var = two[:, 1:] / safe - self.mean ** 2
+        self.mean = sums[:, 1:width] / safe
+        var = sums[:, width + 1:] / safe - self.mean ** 2
         flat = var <= 1e-12 * (1.0 + self.mean ** 2)
         self.std = np.sqrt(np.where(flat, 1.0, var))
         self.use = np.concatenate([np.ones((count, 1), bool), masks & ~flat], axis=1)
         self.valid = (tail[:, 1] > 0) & (tail[:, 2] > 0) & (tail[:, 2] < tail[:, 1])
+        self.start = np.concatenate([raw[:, :1] + (raw[:, 1:] * self.mean).sum(-1, keepdims=True), raw[:, 1:] * self.std], axis=1)
+        # weights of features that turned out constant are part of the first pass, but not of the model: begin anew there
+        moved = (flat & (raw[:, 1:] != 0)).any(axis=1)
+        self.start[moved] = 0.0
+        self.first = {m: k for k, m in enumerate(np.flatnonzero(~moved).tolist())}
+        keep = np.flatnonzero(~moved)
+        self.sums = one[keep], tail[keep], two[keep]
         self.passes = 1
 
-    def pass_over(self, which, raw, kind):
-        return _sums(self.rows, Models(raw, self.plane[which], self.fold[which]), self.reader, self.center, self.scale, kind)
-
     def loss_and_slope(self, which, w, kind):
         """Penalised loss, its gradient (downhill positive) and what the pass gave of second order, at weights w."""
-        raw = to_raw(w, self.mean[which], self.std[which])
-        one, tail, two = self.pass_over(which, raw, kind)
-        self.passes += 1
+        if self.first and all(m in self.first for m in which.tolist()):
+            at = [self.first[m] for m in which.tolist()]
+            one, tail, two = (x[at] for x in self.sums)
+        else:
+            raw = to_raw(w, self.mean[which], self.std[which])
+            one, tail, two, _ = _sums(self.rows, Models(raw, self.plane[which], self.fold[which]), self.reader, self.center, self.scale, kind)
+            self.passes += 1
+        self.first = {}
         slope = one.copy()
         slope[:, 1:] = (one[:, 1:] - self.mean[which] * one[:, :1]) / self.std[which]
         slope[:, 1:] -= self.l2 * w[:, 1:]
@@ -256,16 +274,16 @@ def fit(rows: DataFrame, features, reader, plane: np.ndarray, n_folds: int = 5,
     masks = np.ones((n_trials, d), bool) if masks is None else np.asarray(masks, bool)
     center = np.zeros(d) if center is None else np.asarray(center, float)
     scale = np.ones(d) if scale is None else np.asarray(scale, float)
-    state = _State(rows, reader, np.repeat(np.asarray(plane), models), np.tile(np.arange(models), n_trials),
-                   np.repeat(masks, models, axis=0), center, scale, l2)
-    w = np.zeros((n_trials * models, d + 1))
-    if start is not None:
-        raw = np.array(start, float).reshape(w.shape)
-        raw[:, 0] += raw[:, 1:] @ center
-        raw[:, 1:] *= scale
-        z = np.concatenate([raw[:, :1] + (raw[:, 1:] * state.mean).sum(-1, keepdims=True), raw[:, 1:] * state.std], axis=1)
-        w = np.where(np.isfinite(z).all(-1, keepdims=True) & state.use, z, 0.0)
     dense = (method or ("newton" if d <= DENSE else "quasi-newton")) == "newton"
+    begin = np.zeros((n_trials * models, d + 1))
+    if start is not None:
+        begin = np.array(start, float).reshape(begin.shape)
+        begin[~np.isfinite(begin).all(-1)] = 0.0
+        begin[:, 0] += begin[:, 1:] @ center
+        begin[:, 1:] *= scale
+    state = _State(rows, reader, np.repeat(np.asarray(plane), models), np.tile(np.arange(models), n_trials),
+                   np.repeat(masks, models, axis=0), center, scale, l2, begin, "newton" if dense else "gradient")
+    w = np.where(state.valid[:, None], state.start, 0.0)
     done = (_newton if dense else _quasi_newton)(state, w, max_iter if dense else 20 * max_iter)
     raw = to_raw(w, state.mean, state.std)
     # fold centring and scaling into the reported raw-feature weights
