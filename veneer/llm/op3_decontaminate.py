@@ -131,7 +131,8 @@ def _window_rows(benchmark: DataFrame, size: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 50_000,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (merged [start, end) word positions, flat), n_hit, items, contaminated; one row per row.
+    """doc_id, row_hash (of the text), n_words, spans (merged [start, end) word positions, flat), n_hit, items,
+    contaminated; one row per row.
 
     Null and empty texts have no words and no hits; items without words have no windows; a null item id is listed as
     "null"; no benchmark at all leaves everything clean. Repeated rows get one result each. At most `block_windows`
@@ -165,10 +166,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             (F.size(a) > 0) & (x["s"] <= F.element_at(F.concat(F.array(F.lit(-1)), a), -1)),
             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.greatest(F.element_at(F.concat(F.array(F.lit(-1)), a), -1), x["e"]))))
             .otherwise(F.concat(a, F.array(x["s"], x["e"]))))
-        result = left.select(F.col("l.doc_id").alias("doc_id"), "n_words", joined.alias("spans"),
+        result = left.select(F.col("l.doc_id").alias("doc_id"), F.col("l.row_hash").alias("row_hash"), "n_words", joined.alias("spans"),
                              F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))).alias("items"))
     length = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, b: a + b)
-    return result.select("doc_id", "n_words", "spans", length.cast("long").alias("n_hit"),
+    return result.select("doc_id", "row_hash", "n_words", "spans", length.cast("long").alias("n_hit"),
                          F.array_sort("items").alias("items"), (F.size("spans") > 0).alias("contaminated"))
 
 

@@ -6,8 +6,11 @@ subset is a link. For heavy pairs the hash space is cut into more parts than a l
 then equal and not empty, and the parts' contents are the keys of inverted lists.
 
 Lists can be long. Each is first read once against its least member only, which is linear; what is verified joins a
-component, and only lists that still hold several components are read again, for pairs across components. So every link
-between components is verified, and no group is expanded into all its pairs.
+component, and only lists that still hold several components go on. Of these, sets are set aside that share fewer lists
+with others than any link needs, or too few shingles: a link's common members are shingles that both sets share with
+somebody. What is left is read against the most central member of each list, the one whose shingles are the commonest
+there, until that links nothing new; near copies of one text meet in it. Pairs across components that may still link by
+sizes, shared shingles and shared lists are then compared. So every link between components is verified.
 """
 
 from __future__ import annotations
@@ -29,13 +32,6 @@ from veneer.llm.shingles import mixed, shingle_set
 LIGHT_LIMIT = 24
 #: Each class of heavy sizes reaches so many times as far as the one before.
 STEP = 1.6
-#: Lists are read against further leaders, so many at a time, while a row has more outsiders to be tested with than the
-#: first number, and as often as the second at most.
-FEW_OUTSIDERS, MOST_READINGS, LEADERS = 8, 5, 6
-#: A reading is followed by another if one in so many of its pairs linked.
-WORTH = 20
-
-
 def needed(a: int, b: int) -> int:
     """Common members from which on sets of these sizes link."""
     return -(-4 * (a + b) // 9)
@@ -288,17 +284,117 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("rid", "component")
 
 
-def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links, itself included); one row per row.
+def _shingle_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """rid, s: the shingles of some documents."""
+    def run(batches):
+        for batch in batches:
+            sets = list(_sets(batch, size))
+            shingles = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rid").to_numpy(), [len(x) for x in sets])), pa.array(shingles.view(np.int64))], ["rid", "s"])
 
-    Null, empty and wordless texts have empty sets and link with nothing. Rows that share an id are one node; a null id
-    is replaced by its text's hash inside and by the least real id of its component (or null) in the result. Ids are
-    64-bit integers. Extra columns are ignored; an empty table gives no rows.
+    return likely(docs, ids).join(ids, "rid").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(run, "rid long, s long")
+
+
+class _Lists:
+    """Lists that hold several components, as rows (key, rid, mine, n, main, all); `main` is a list's largest component."""
+
+    def __init__(self, sized: DataFrame, light: int):
+        self.sized, self.light = sized, light
+
+    def mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        of = members.join(found, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("mine"))
+        by_key = of.groupBy("key", "mine").count().groupBy("key").agg(
+            F.max_by("mine", F.struct("count", "mine")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("all"))
+        return cut_lineage(of.join(by_key.filter("inside < all").drop("inside"), "key").join(self.sized.select("rid", "n"), "rid"))
+
+    def least_lists(self) -> DataFrame:
+        """n, t: lists that a set of this size shares with any set it links with, at least."""
+        most_empty = {r["n"]: r["empty"] for r in self.sized.groupBy("n").agg(F.max("empty").alias("empty")).collect()}  # a row per size
+        surely = {b: parts_of(size_classes(b)[-1][1])[1] - e for b, e in most_empty.items()}
+        sizes = sorted(surely)
+        ends = np.searchsorted(sizes, [5 * n // 4 for n in sizes], "right")
+        rows = [(n, 1 if n <= self.light else max(1, min(surely[b] - (n + b) // 9 for b in sizes[k:end]))) for k, (n, end) in enumerate(zip(sizes, ends))]
+        return self.sized.sparkSession.createDataFrame(rows or [(0, 1)], "n int, t int")
+
+    def enough(self, counted: DataFrame, share: float) -> DataFrame:
+        """(rid, leader, shared) pairs that share `share` of the lists that linked sets share at least, or more."""
+        both = (counted.join(self.sized, "rid").withColumnsRenamed({"n": "an", "empty": "ae"})
+                .join(self.sized.withColumnRenamed("rid", "leader"), "leader"))
+        return both.filter((5 * F.least("an", "n") >= 4 * F.greatest("an", "n"))
+                           & (F.col("shared") >= share * self.needed(("an", "ae"), ("n", "empty")))).select("rid", "leader")
+
+    def needed(self, x: tuple[str, str], y: tuple[str, str]):
+        """Lists that sets of (size, empty parts) x and y share at least if they link."""
+        (an, ae), (bn, be) = x, y
+        empty = F.when(F.col(an) == F.col(bn), F.greatest(ae, be)).when(F.col(an) > F.col(bn), F.col(ae)).otherwise(F.col(be))
+        return _least_shared(self.light, F.least(an, bn), F.greatest(an, bn), empty)
+
+
+def _met(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(rid, leader, shared): members of other components with the most central member of each list."""
+    led = rows.join(weights, "rid")
+    central = led.groupBy("key").agg(F.max(F.struct("centre", "rid", "mine")).alias("first"))
+    pairs = led.join(central, "key").filter("mine <> first.mine")
+    return pairs.groupBy(F.greatest("rid", "first.rid").alias("rid"), F.least("rid", "first.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _links_across(listed: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, lists: _Lists, size: int) -> DataFrame:
+    """Links between components, added to `links` (rid, leader)."""
+    found = components(links)
+    rows = lists.mixed(listed.select("key", "rid").distinct(), found)
+    least = F.broadcast(lists.least_lists())  # a row per set size
+    for _ in range(2):  # sets that share too few lists with others, twice as it thins out the lists
+        alive = rows.groupBy("rid", "n").agg(F.count(F.lit(1)).alias("k")).join(least, "n").filter("k >= t").select("rid")
+        rows = lists.mixed(rows.join(alive, "rid").select("key", "rid"), found)
+    if rows.isEmpty():
+        return links
+    shingles = cut_lineage(_shingle_rows(docs, cut_lineage(rows.select("rid").distinct()), size))
+    for _ in range(2):  # sets most of whose shingles nobody else has
+        common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        weights = shingles.join(common, "s").groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("df").alias("sum"))
+        weights = cut_lineage(weights.join(lists.sized, "rid").filter("10 * m >= 8 * n").select("rid", "m", "empty", (F.col("sum") / F.col("n")).alias("centre")))
+        shingles = cut_lineage(shingles.join(weights.select("rid"), "rid"))
+        rows = lists.mixed(rows.join(weights.select("rid"), "rid").select("key", "rid"), found)
+    while True:
+        # sharing half of the lists that links surely share is enough to be tried: a member is central in some of them only
+        new = cut_lineage(lists.enough(_met(rows, weights.select("rid", "centre")), 0.5).join(tried, ["leader", "rid"], "left_anti"))
+        fresh = cut_lineage(_verified(new, docs, size))
+        tried = cut_lineage(tried.unionByName(new))
+        if fresh.isEmpty():
+            break
+        links = links.unionByName(fresh)
+        found = components(links)
+        rows = lists.mixed(rows.select("key", "rid"), found)
+    held = rows.groupBy("rid").agg(F.first("mine").alias("mine"), F.first("n").alias("n"), F.array_sort(F.collect_set("key")).alias("keys"))  # a set's own lists
+    family = cut_lineage(rows.select("rid", "main").distinct().join(held, "rid").join(weights.select("rid", "m", "empty"), "rid"))
+    one, other = family.filter("mine <> main").alias("a"), family.alias("b")
+    # each pair across components comes from its one outsider, or from the greater of two
+    may = F.expr("a.main = b.main AND a.mine <> b.mine AND (b.mine = b.main OR a.rid > b.rid) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
+                 " AND 9 * least(a.m, b.m) >= 4 * (a.n + b.n)")
+    share = F.size(F.array_intersect("a.keys", "b.keys")) >= lists.needed(("a.n", "a.empty"), ("b.n", "b.empty"))
+    across = one.join(other, may & share).select(F.greatest("a.rid", "b.rid").alias("rid"), F.least("a.rid", "b.rid").alias("leader")).distinct()
+    more = cut_lineage(cut_lineage(across).join(tried, ["leader", "rid"], "left_anti"))
+    return links.unionByName(cut_lineage(_verified(more, docs, size)))
+
+
+def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, keep; one row per row.
+
+    A node is an id with a text: rows that repeat both are one node, an id with two texts is two. Null, empty and
+    wordless texts have empty sets and link with nothing. component_id is the least id reachable by links (a null id is
+    none; null if there is no other). One node of each component has `keep`: that of the least id, of these the least
+    text hash; null ids come last. Ids are 64-bit integers. Extra columns are ignored; an empty table gives no rows.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.coalesce(text_col, F.lit("")))).alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
-                     F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    several = docs.groupBy("doc_id").agg((F.min("th") < F.max("th")).alias("several")).filter("several")
+    several = cut_lineage(several.filter("doc_id IS NOT NULL"))
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")), "text")
+    if several.isEmpty():
+        docs = docs.withColumn("rid", F.coalesce("doc_id", own))
+    else:
+        docs = docs.join(several, "doc_id", "left").withColumn("rid", F.when(F.col("several") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id")))
     narrow = docs.select("rid", "text")
-    ids = docs.select("doc_id", "rid")
+    ids = docs.select("doc_id", "th", "rid")
     profile = cut_lineage(_profile(narrow, size))
     sets = profile.filter("n > 0")
     counts = {r["n"]: r["count"] for r in sets.filter(F.col("n") <= LIGHT_LIMIT).groupBy("n").count().collect()}
@@ -312,61 +408,27 @@ def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
                              .withColumn(c, F.coalesce("_class", c)).drop("_class"))
     listed = _leaders(_members(narrow, light, size))
     listed = cut_lineage(to_class(to_class(listed, "rid"), "leader").distinct())
-    sized = sets.select("rid", "n", "empty").dropDuplicates(["rid"])
+    lists = _Lists(cut_lineage(sets.select("rid", "n", "empty").dropDuplicates(["rid"])), light)
 
-    def enough(counted: DataFrame, share: float) -> DataFrame:
-        """(rid, leader, shared) pairs that share `share` of the lists that linked sets share at least, or more."""
-        both = (counted.join(sized, "rid").withColumnsRenamed({"n": "an", "empty": "ae"})
-                .join(sized.withColumnRenamed("rid", "leader"), "leader"))
-        a, b = F.least("an", "n"), F.greatest("an", "n")
-        empty = F.when(F.col("an") == F.col("n"), F.greatest("ae", "empty")).when(F.col("an") > F.col("n"), F.col("ae")).otherwise(F.col("empty"))
-        return both.filter((5 * a >= 4 * b) & (F.col("shared") >= share * _least_shared(light, a, b, empty))).select("rid", "leader")
-
-    # this first reading only joins what is easily found; it may pass over pairs, as the second reading does not
-    pairs = cut_lineage(enough(listed.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared")), 1.0))
+    # this first reading only joins what is easily found; it may pass over pairs, as what follows does not
+    pairs = cut_lineage(lists.enough(listed.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared")), 1.0))
     links = cut_lineage(_verified(pairs, narrow, size))
-    found = components(links)
-
-    # Lists that still hold several components. While outsiders are many, each list is read against another leader,
-    # by an order of all ids that changes with every reading, so that large families join without all their pairs.
     tried = pairs.select(F.least("rid", "leader").alias("leader"), F.greatest("rid", "leader").alias("rid"))
-    members = listed.select("key", "rid").distinct()
-    reading, progress = 0, True
-    while True:
-        of = members.join(found, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("mine"))
-        by_key = of.groupBy("key", "mine").count().groupBy("key").agg(
-            F.max_by("mine", F.struct("count", "mine")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("all"))
-        rows = cut_lineage(of.join(by_key.filter("inside < all"), "key").join(sized.select("rid", "n"), "rid"))
-        members = rows.select("key", "rid")
-        load = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("mine") != F.col("main"), F.col("all"))).alias("tests")).first()
-        if not progress or reading == MOST_READINGS or (load["tests"] or 0) <= FEW_OUTSIDERS * load["rows"]:
-            break
-        reading += 1
-        orders = [F.min_by(F.struct("rid", "mine"), F.xxhash64("rid", F.lit(reading * LEADERS + k))) for k in range(LEADERS)]
-        leaders = rows.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("first"))
-        led = rows.join(leaders, "key").select("rid", "mine", F.explode("first").alias("first")).filter("mine <> first.mine")
-        met = led.groupBy(F.greatest("rid", "first.rid").alias("rid"), F.least("rid", "first.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
-        # sharing half of the lists that links surely share is enough to be tried: a leader leads only some of them
-        new = cut_lineage(enough(met, 0.5).join(tried, ["leader", "rid"], "left_anti"))
-        tried = tried.unionByName(new)
-        fresh = cut_lineage(_verified(new, narrow, size))
-        progress = WORTH * fresh.count() >= new.count() > 0
-        links = links.unionByName(fresh)
-        found = components(links)
-    out, rest = rows.filter("mine <> main").alias("a"), rows.alias("b")
-    # each pair across components comes once: from its one outsider, or from the greater of two
-    across = out.join(rest, F.expr("a.key = b.key AND a.mine <> b.mine AND (b.mine = b.main OR a.rid > b.rid) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
-    counted = across.groupBy(F.greatest("a.rid", "b.rid").alias("rid"), F.least("a.rid", "b.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
-    more = cut_lineage(enough(counted, 1.0).join(tried, ["leader", "rid"], "left_anti"))
-    all_links = links.unionByName(cut_lineage(_verified(more, narrow, size))).unionByName(same.filter("rid <> leader"))
+    all_links = _links_across(listed, links, tried, narrow, lists, size).unionByName(same.filter("rid <> leader"))
     final = components(all_links)
-    known = ids.select(F.col("rid").alias("component"), "doc_id").filter("doc_id IS NULL").distinct()
-    named = final.join(known.select("component", F.lit(True).alias("unnamed")), "component", "left")
-    least = named.join(ids.filter("doc_id IS NOT NULL").select("rid", "doc_id").distinct(), "rid", "left").groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    result = final.join(least, "component").select("rid", "least_id", F.lit(True).alias("in_one"))
-    return (ids.join(profile.select("rid", "n").dropDuplicates(["rid"]), "rid").join(result, "rid", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("in_one"), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+    nodes = cut_lineage(ids.distinct())
+    grouped = nodes.join(final, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"),
+                                             F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "rid")).alias("first"))
+    chosen = grouped.join(first, "component").select("rid", "component_id", (F.col("first.rid") == F.col("rid")).alias("keep"))
+    return (ids.join(profile.select("rid", "n").dropDuplicates(["rid"]), "rid").join(chosen, "rid")
+            .select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "keep"))
+
+
+def jaccard_join(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links, itself included); see `jaccard_nodes`."""
+    return jaccard_nodes(df, size, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf: str) -> DataFrame:
