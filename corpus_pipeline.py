@@ -26,18 +26,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component of links; of rows given twice, one."""
-    found = op8_jaccard.jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    row = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text"))
-    return kept.withColumn("_row", row).dropDuplicates(["_row"]).select(*docs.columns)
+    """Keeps one document of each component of links: that of the least id, null ids last.
+
+    An id with two texts is two documents; of rows that repeat id and text one stays. Null and empty texts link with
+    nothing; of those that share an id (or have none) one of each stays.
+    """
+    nodes = op8_jaccard.jaccard_nodes(docs)
+    gone = nodes.filter("NOT keep").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    row = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = row.join(gone, F.col("_id").eqNullSafe(F.col("gone_id")) & (F.col("_th") == F.col("gone_th")), "left_anti")
+    return kept.dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item; others stay, whatever id they share with one of these.
+
+    Null and empty texts hold none.
+    """
     hit = op3_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
-    hit = hit.select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(*docs.columns)
+    hit = hit.select(F.col("doc_id").alias("hit_id"), "row_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("row_hash"))
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
