@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veneer.functions.stats import correlation_p
-from veneer.operators import merge
+from veneer.operators import merge, trial_labels
 from veneer.operators.metrics import midranks
-from veneer.operators.ordering import hash_sample
+from veneer.operators.ordering import before_cut, hash_cuts
 from veneer.operators.reshape import style_violation
 from veneer.operators.selection import quantiles
 from veneer.operators.single import attach
+from veneer.session import cut_lineage
 
 # fixed values: (variant, length gap, hedge gap, authority gap)
 THRESHOLD_VARIANTS = (
@@ -105,16 +108,47 @@ def complete_runs(runs: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def permuted_flags(flags: DataFrame, seeds: list[int]) -> DataFrame:
-    """(seed, pair_id) of the pairs flagged in each shuffle; the number flagged is kept."""
-    flagged = flags.agg(F.sum("style_violation")).scalar()
-    return hash_sample(flags.select("pair_id"), "pair_id", seeds, flagged, stream="flag").select("seed", "pair_id")
+    """(pair_id, words): bit words with a bit per shuffle in which the pair is flagged; the number flagged is kept."""
+    total, flagged = flags.agg(F.count(F.lit(1)), F.sum("style_violation")).first()
+    ids = flags.select("pair_id")
+    cuts = cut_lineage(hash_cuts(ids, "pair_id", seeds, [int(flagged or 0)] * len(seeds), total, stream="flag"))
+    dealt = before_cut(F.col("cuts"), "pair_id", seeds, stream="flag")
+    return attach(ids, cuts).select("pair_id", trial_labels.packed(dealt, len(seeds)).alias("words"))
+
+
+def _hits(rows: DataFrame, seeds: list[int]) -> DataFrame:
+    """(source_file, model_name, seed, __hit) from (source_file, model_name, right, words): the runs' correctness times
+    the shuffles' flag bits. A task adds up a row of counts per run; no row stands for a run, pair and shuffle."""
+    n = len(seeds)
+    which = np.arange(n)
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                bits = trial_labels.bit(trial_labels.matrix(part.column("words"), part.num_rows), which)
+                bits = bits * part.column("right").to_numpy(zero_copy_only=False)[:, None]
+                names = list(zip(part.column("source_file").to_pylist(), part.column("model_name").to_pylist()))
+                runs = {name: k for k, name in enumerate(dict.fromkeys(names))}
+                code = np.array([runs[x] for x in names])
+                order = np.argsort(code, kind="stable")
+                starts = np.searchsorted(code[order], np.arange(len(runs)))
+                for name, found in zip(runs, np.add.reduceat(bits[order], starts, axis=0)):
+                    sums[name] = sums.get(name, 0) + found
+        for (file, model), found in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([model] * n, pa.string()), pa.array(seeds, pa.int32()),
+                                              pa.array(found.astype(np.int64))], ["source_file", "model_name", "seed", "hit"])
+
+    counts = rows.mapInArrow(run, "source_file string, model_name string, seed int, hit long")
+    return counts.groupBy("source_file", "model_name", "seed").agg(F.sum("hit").alias("__hit"))
 
 
 def permutation_calibration(preds: DataFrame, flags: DataFrame, shuffles: int = 300, first_seed: int = 0,
                             min_runs: int = 3) -> DataFrame:
     """Observed mean delta per model against shuffles of the style flag.
 
-    Only flagged (seed, pair) rows are joined; the clean side follows from run totals.
+    Each pair carries its flags of all shuffles as bits; the clean side follows from run totals.
     Fewer than ``min_runs`` complete runs give an empty result.
     """
     runs = complete_runs(merge.merge_predictions(preds, "last", "keep"), flags)
@@ -123,9 +157,9 @@ def permutation_calibration(preds: DataFrame, flags: DataFrame, shuffles: int =
     totals = runs.groupBy("source_file", "model_name").agg(F.sum(right).alias("__right"))
     observed = (with_flags(runs, flags).filter("style_violation = 1").groupBy("source_file", "model_name")
                 .agg(F.sum(right).alias("__hit")).withColumn("seed", F.lit(-1)))
-    shuffled = (runs.join(permuted_flags(flags, list(range(first_seed, first_seed + shuffles))), "pair_id")
-                .groupBy("source_file", "model_name", "seed").agg(F.sum(right).alias("__hit")))
-    every = observed.unionByName(shuffled).join(totals, ["source_file", "model_name"])
+    seeds = list(range(first_seed, first_seed + shuffles))
+    flagged = runs.join(permuted_flags(flags, seeds), "pair_id").select("source_file", "model_name", right.cast("long").alias("right"), "words")
+    every = observed.unionByName(_hits(flagged, seeds).select("source_file", "model_name", "__hit", "seed")).join(totals, ["source_file", "model_name"])
     # no flagged or no clean pairs: undefined
     delta = (F.try_divide(F.col("__hit"), F.col("__flagged"))
              - F.try_divide(F.col("__right") - F.col("__hit"), F.col("__pairs") - F.col("__flagged")))

@@ -61,8 +61,15 @@ def duplicate_report(preds: DataFrame) -> DataFrame:
                        (F.sum("n") - F.count(F.lit(1))).alias("rows_dropped"))
 
 
+def first_positions(df: DataFrame, text: str, order: str) -> DataFrame:
+    """The least ``order`` of every distinct text; texts meet by their 256-bit digests, not by themselves."""
+    digest = F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("__d")
+    return df.groupBy(digest).agg(F.min(order).alias(order)).select(order)
+
+
 def first_seen(df: DataFrame, text: str, order: str) -> DataFrame:
-    return _keep(df, [text], F.col(order), last=False)
+    """The first row of every distinct text (NULL is one); ``order`` is unique."""
+    return df.join(first_positions(df, text, order), order, "left_semi").select(*df.columns)
 
 
 def distinct_ignoring_case(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -101,10 +108,12 @@ def match_status(matches: DataFrame, row: str, matched: str) -> DataFrame:
 def match_anchors(queries: DataFrame, pairs: DataFrame, row: str = "row_id") -> DataFrame:
     """First pair with equal question and answer keys whose incorrect answer is in the wrong list.
 
-    queries(row, q_key, a_key, wrongs), pairs(pair_id, q_key, a_key, incorrect_key).
+    queries(row, q_key, a_key, wrongs), pairs(pair_id, q_key, a_key, incorrect_key). The wrong answers are postings:
+    each meets the one least pair of its three keys, so no row is made that doesn't fit, however common a question is.
     """
-    fits = queries.join(pairs, ["q_key", "a_key"]).filter(F.array_contains("wrongs", F.col("incorrect_key")))
-    first = fits.groupBy(row).agg(F.min("pair_id").alias("pair_id"))
+    least = pairs.groupBy("q_key", "a_key", "incorrect_key").agg(F.min("pair_id").alias("pair_id"))
+    postings = queries.select(row, "q_key", "a_key", F.explode(F.array_distinct("wrongs")).alias("incorrect_key"))
+    first = postings.join(least, ["q_key", "a_key", "incorrect_key"]).groupBy(row).agg(F.min("pair_id").alias("pair_id"))
     return match_status(queries.select(row).join(first, row, "left"), row, "pair_id")
 
 

@@ -9,25 +9,33 @@ from veneer.functions.draws import draw_word, poisson_weight
 from veneer.functions.stats import student_two_sided_p
 from veneer.operators.single import attach
 
-_LEVELS = 8  # 2**8 - 1 edges split every trial's scores into at most 256 ranges
+#: Scores are cut into 2**8 ranges at least, 2**13 at most.
+_LEVELS = 8, 13
 
 
-def _range_of(score: Column, edges: Column) -> Column:
+def _levels(df: DataFrame) -> int:
+    """Bits of the number of ranges: several per shuffle partition, so ranges shrink as a job is given more partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max((4 * partitions - 1).bit_length(), _LEVELS[0]), _LEVELS[1])
+
+
+def _range_of(score: Column, edges: Column, levels: int) -> Column:
     """Number of edges at or below the score, by binary search over the sorted edges."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_LEVELS))])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         F.try_element_at(edges, at + step) <= score, at + step).otherwise(at))
 
 
 def _in_ranges(df: DataFrame, value: str) -> DataFrame:
     """Add ``__range``: the position of ``value`` among common quantile edges (one-row side)."""
-    probs = F.array(*[F.lit(i / (1 << _LEVELS)) for i in range(1, 1 << _LEVELS)])
+    levels = _levels(df)
+    probs = F.array(*[F.lit(i / (1 << levels)) for i in range(1, 1 << levels)])
     # reading every column on both sides keeps the two plans equal below this point, so
     # Spark computes the aggregation underneath once and reuses its shuffle; which rows make
     # up the edges does not touch the result
     whole = df.filter(F.xxhash64(*df.columns) != 0)
-    edges = whole.agg(F.percentile_approx(value, probs, F.lit(2000)).alias("__edges"))
-    return attach(df, edges).withColumn("__range", _range_of(F.col(value), F.col("__edges"))).drop("__edges")
+    edges = whole.agg(F.percentile_approx(value, probs, F.lit(8 << levels)).alias("__edges"))
+    return attach(df, edges).withColumn("__range", _range_of(F.col(value), F.col("__edges"), levels)).drop("__edges")
 
 
 def midranks(counts: DataFrame, value: str, n: str, by: list[str], name: str) -> DataFrame:
@@ -35,7 +43,7 @@ def midranks(counts: DataFrame, value: str, n: str, by: list[str], name: str) ->
     ranged = _in_ranges(counts, value)
     inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     lower = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 256 ranges per group
+    # a row per range and group
     offsets = (ranged.groupBy(*by, "__range").agg(F.sum(n).alias("__n"))
                .withColumn("__lower", F.coalesce(F.sum("__n").over(lower), F.lit(0))).drop("__n"))
     rank = F.col("__lower") + F.coalesce(F.sum(n).over(inside), F.lit(0)) + (F.col(n) + 1) / 2

@@ -184,9 +184,13 @@ def align_by_position(left: DataFrame, right: DataFrame, key: str = "row_id") ->
 
 # --- labelled texts -------------------------------------------------------------------
 def split_two_answers(df: DataFrame, order: str, right: str, wrong: str) -> DataFrame:
-    """(pair_id, claim_text, label) with blank sides dropped and ids dense after the drop."""
+    """(pair_id, claim_text, label) with blank sides dropped and ids dense after the drop.
+
+    Only the order's key is sorted; the texts join its ranks.
+    """
     clean = df.select(order, strip(text_or_blank(right)).alias("__r"), strip(text_or_blank(wrong)).alias("__w"))
-    kept = global_rank(clean.filter((F.col("__r") != "") & (F.col("__w") != "")), [order], name="__i")
+    clean = clean.filter((F.col("__r") != "") & (F.col("__w") != ""))
+    kept = clean.join(global_rank(clean.select(order), [order], name="__i"), order)
     rows = F.array(F.struct(F.col("__r").alias("claim_text"), F.lit(1).alias("label")),
                    F.struct(F.col("__w").alias("claim_text"), F.lit(0).alias("label")))
     return kept.select((F.col("__i") - 1).alias("pair_id"), F.explode(rows).alias("a")).select("pair_id", "a.*")

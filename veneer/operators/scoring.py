@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,12 +112,15 @@ def search_objective(heldout: Column, keep_n: Column, n_full: Column, penalty: C
     return F.when(heldout.isNull() | F.isnan(heldout), F.lit(1e9)).otherwise(value)
 
 
-def mean_pool(token_vectors: DataFrame, key: str, vector: str = "embedding", mask: str | None = None,
-              dim: int | None = None) -> DataFrame:
-    """Masked mean of token vectors per key as (key, position, value); combines map-side."""
+def mean_pool(token_vectors: DataFrame, key: str, vector: str = "embedding", mask: str | None = None) -> DataFrame:
+    """Masked mean of token vectors per key as (key, position, value).
+
+    The mean is an aggregate of whole vectors: a key's running sum is all that a partition sends on.
+    """
     rows = token_vectors.filter(F.col(mask) == 1) if mask else token_vectors
-    return (rows.select(key, F.posexplode(vector).alias("position", "v"))
-            .groupBy(key, "position").agg(F.avg(F.col("v").cast("double")).alias("value")))
+    number = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    pooled = rows.filter(F.col(vector).isNotNull()).groupBy(key).agg(Summarizer.mean(number).alias("__mean"))
+    return pooled.select(key, F.posexplode(vector_to_array("__mean")).alias("position", "value"))
 
 
 def to_vector(pooled: DataFrame, key: str) -> DataFrame:

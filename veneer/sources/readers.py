@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veneer.functions.text import strip
-from veneer.operators.merge import first_seen
+from veneer.operators.merge import first_positions
 from veneer.operators.ordering import global_rank
 from veneer.operators.reshape import require_columns
 
@@ -47,10 +48,24 @@ def _with_source_order(reader_df: DataFrame) -> DataFrame:
             .withColumn("__row", F.monotonically_increasing_id()))
 
 
+def _numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Dense 0-based positions of rows in source order, given their file, block and place in the task.
+
+    A block's rows are next to each other in the task that read it. Rows are counted per block, the counts are summed up
+    over the blocks before, and every row adds its place: one number per block travels, never a row.
+    """
+    key = F.xxhash64("__file").alias("__f")
+    blocks = ordered.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    shifts = blocks.select(key, F.col("__start"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    # three numbers per block of a file, whatever its rows
+    placed = ordered.withColumn("__f", key).join(F.broadcast(shifts), ["__f", "__start"])
+    return placed.withColumn(name, F.col("__row") + F.col("__shift")).drop("__f", "__shift", *_INDEX)
+
+
 def with_row_ids(df: DataFrame, name: str = "pair_id") -> DataFrame:
-    """Dense 0-based row positions in source order, assigned once at ingest."""
-    ordered = global_rank(_with_source_order(df), list(_INDEX), name="__i")
-    return ordered.withColumn(name, F.col("__i") - 1).drop(*_INDEX, "__i")
+    """Dense 0-based row positions in source order, assigned where the rows are read."""
+    return _numbered(_with_source_order(df), name)
 
 
 def read_pairs(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
@@ -97,17 +112,21 @@ CLAIM_CLASSES = {"SUPPORTS": 1, "SUPPORTED": 1, "REFUTES": 0, "REFUTED": 0}
 
 
 def read_claims(spark: SparkSession, path: str, dedup: bool = True) -> DataFrame:
-    """(row_id, claim_text, label) from JSON lines; first-seen claims only, ids dense afterwards."""
-    raw = _with_source_order(spark.read.schema("claim string, label string").json(path).select("*", "_metadata"))
+    """(row_id, claim_text, label) from JSON lines; first-seen claims only, ids dense afterwards.
+
+    With ``dedup`` the texts are compared by digests that carry positions; the ids are ranks of the positions that stay.
+    """
+    raw = spark.read.schema("claim string, label string").json(path).select("*", "_metadata")
     name = F.upper(strip(F.coalesce("label", F.lit(""))))
     table = F.create_map(*[F.lit(x) for kv in CLAIM_CLASSES.items() for x in kv])
-    rows = (raw.select(F.struct(*_INDEX).alias("__at"), strip(F.coalesce("claim", F.lit(""))).alias("claim_text"),
-                       F.try_element_at(table, name).alias("label"))
-            .filter(F.col("label").isNotNull() & (F.col("claim_text") != "")))
-    if dedup:
-        rows = first_seen(rows, "claim_text", "__at")
-    ranked = global_rank(rows, ["__at"], name="__i")
-    return ranked.select((F.col("__i") - 1).alias("row_id"), "claim_text", "label")
+    rows = raw.select(strip(F.coalesce("claim", F.lit(""))).alias("claim_text"), F.try_element_at(table, name).alias("label"), "_metadata")
+    rows = _with_source_order(rows.filter(F.col("label").isNotNull() & (F.col("claim_text") != "")))
+    if not dedup:
+        return _numbered(rows, "row_id").select("row_id", "claim_text", "label")
+    placed = _numbered(rows, "__at")
+    first = first_positions(placed, "claim_text", "__at")
+    ids = global_rank(first, ["__at"], name="__i")
+    return placed.join(ids, "__at").select((F.col("__i") - 1).alias("row_id"), "claim_text", "label")
 
 
 def read_records(spark: SparkSession, path: str, key: str, schema: str, expect: int | None = None,
@@ -162,26 +181,40 @@ def read_predictions(spark: SparkSession, glob: str, fallback: str | None = None
     return load(fallback)
 
 
+def first_lines(spark: SparkSession, paths: list[str], n: int = 2, readers: int = 16) -> list[tuple]:
+    """(path, line 1, ... line n) of each file, None where it has fewer; the rest of a file is never read.
+
+    Files are opened through the file system of their path, several at a time.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def head(path: str) -> tuple:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"), 4096)
+            return (path, *[lines.readLine() for _ in range(n)])
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(readers) as pool:
+        return list(pool.map(head, paths))
+
+
 def discover_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """(path, model_name, is_prediction) of every CSV below a folder, by its header line.
 
-    Text lines are read in parallel; only the first two lines of a file are kept.
+    Only the first two lines of a file are read, however long it is; empty files have no header and are left out.
     """
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-             .select("value", F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("row")))
-    at = F.struct("start", "row")
-    head = lines.filter(F.col("start") == 0).groupBy("path").agg(F.min_by("value", at).alias("header"), F.min(at).alias("at"))
-    second = (lines.join(head.select("path", F.col("at").alias("h")), "path").filter(at > F.col("h"))
-              .groupBy("path").agg(F.min_by("value", at).alias("first_row")))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).inputFiles()
+    found = [r for r in first_lines(spark, files) if r[1] is not None]  # two lines per file
+    lines = spark.createDataFrame(found, "path string, header string, first_row string")
     fields = F.transform(F.split("header", ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
     position = F.array_position(fields, F.lit("model_name")).cast("int")
     cells = F.split("first_row", ",")
-    return (head.join(second, "path", "left")
-            .select("path", (F.size(F.array_intersect(fields, F.array(*[F.lit(c) for c in PREDICTION_COLUMNS]))) == 3
-                             ).alias("is_prediction"),
-                    F.when(position > 0, F.try_element_at(cells, position)).alias("model_name")))
+    return lines.select(
+        "path", (F.size(F.array_intersect(fields, F.array(*[F.lit(c) for c in PREDICTION_COLUMNS]))) == 3).alias("is_prediction"),
+        F.when(position > 0, F.try_element_at(cells, position)).alias("model_name"))
 
 
 def slug(text: Column) -> Column:

@@ -12,22 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veneer.operators.impact import impact_by_model
 from veneer.operators.merge import last_in_file, last_wins
-from veneer.sources.readers import EXAMPLE_FILE, file_name
+from veneer.sources.readers import EXAMPLE_FILE, file_name, path_below
 
 SCHEMA = "model_name string, pair_id long, correct int"
 
 
 def prediction_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Rows with their file's path below the folder and their place in it: block of the file, then row of the block."""
     raw = (spark.readStream.schema(SCHEMA).options(header=True, maxFilesPerTrigger=max_files, pathGlobFilter="*.csv")
            .csv(folder).select("model_name", "pair_id", "correct", "_metadata"))
-    return (raw.select(file_name().alias("source_file"), "model_name", "pair_id", "correct")
-            .filter(F.col("source_file") != EXAMPLE_FILE))
+    return (raw.filter(file_name() != EXAMPLE_FILE)
+            .select(path_below(folder.rstrip("/") + "/*").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+                    "model_name", "pair_id", "correct"))
 
 
 def start_ingest(spark: SparkSession, folder: str, log_path: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
     """Drain the files present and stop; run again when more arrive."""
     def append(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("row_no", F.monotonically_increasing_id())
+        numbered = batch.withColumn("row_no", F.struct("block", F.monotonically_increasing_id().alias("row"))).drop("block")
         last_in_file(numbered).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return (prediction_stream(spark, folder, max_files).writeStream.foreachBatch(append)
