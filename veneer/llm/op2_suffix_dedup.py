@@ -3,6 +3,7 @@
 Equal strings must meet in one block. Every string of `length` bytes chooses the gram of least hash among those it
 holds, so equal strings choose equal grams: strings are grouped by that anchor. Neighbouring strings of a text with the
 same anchor form one piece; equal pieces are counted where they are read, and anchors that occur once go no further.
+Equal pieces of one text that overlap or touch, as in rules and blank runs, are one row: their copies cover one stretch.
 The distinct pieces of a group are then suffix-sorted in two stages and adjacent common prefixes show what repeats.
 A group too large for a block is cut anew by longer keys, first the bytes that all strings at like distance of the
 anchor share, in the end the strings themselves, so no group has to fit into one task.
@@ -78,29 +79,43 @@ class Cut:
         return one.view(np.int64), two.view(np.int64)
 
 
+def chained(c1: np.ndarray, c2: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that stand for a chain of equal ones, each at most `length` bytes after the one before; how many there are
+    in the chain, and how far the last is from the first. Strings of a chain cover all bytes between."""
+    order = np.lexsort((first, c2, c1))
+    a, b, at = c1[order], c2[order], first[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (np.diff(at) > length))[:len(at)]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(at))[:len(start)] - 1
+    return order[start], end - start + 1, at[end] - at[start]
+
+
 def _pieces(docs: DataFrame, length: int) -> DataFrame:
-    """g, c1, c2 (anchor and content), id, th, start, stop (of string starts), anchor (relative to start)."""
+    """g, c1, c2 (anchor and content), id, th, start, stop (of string starts), anchor (relative to start), and of the
+    chain that a piece begins: times, reach (start of its last piece less its own)."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("g", "c1", "c2")] + [docs.schema["id"], T.StructField("th", T.LongType())]
-                          + [T.StructField(c, T.IntegerType()) for c in ("start", "stop", "anchor")])
+                          + [T.StructField(c, T.IntegerType()) for c in ("start", "stop", "anchor", "times", "reach")])
 
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(9)]
             for text in batch.column("text").cast(pa.binary()):
                 cut = Cut(text.as_buffer(), GRAM)
                 first, last, anchor = cut.pieces(length)
                 c1, c2 = cut.content(first, last + length) if len(first) else (first, first)
-                for out, x in zip(rows, (cut.grams[anchor].view(np.int64), c1, c2, first, last, anchor - first,
+                own, times, reach = chained(c1, c2, first, length)
+                first, last, anchor = first[own], last[own], anchor[own]
+                for out, x in zip(rows, (cut.grams[anchor].view(np.int64), c1[own], c2[own], first, last, anchor - first, times, reach,
                                          np.array([len(first)]))):
                     out.append(x)
             if not rows[0]:
                 continue
-            which = np.repeat(np.arange(batch.num_rows), np.concatenate(rows[6]))
-            g, c1, c2, first, last, anchor = (np.concatenate(x) for x in rows[:6])
+            which = np.repeat(np.arange(batch.num_rows), np.concatenate(rows[8]))
+            g, c1, c2, first, last, anchor, times, reach = (np.concatenate(x) for x in rows[:8])
             take = pa.array(which)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g), pa.array(c1), pa.array(c2), batch.column("id").take(take), batch.column("th").take(take),
-                 pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(anchor.astype(np.int32))], schema.names)
+                 *[pa.array(x.astype(np.int32)) for x in (first, last, anchor, times, reach)]], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -208,10 +223,10 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
     docs = docs.select("id", F.xxhash64("text").alias("th"), "text")
     long_docs = docs.filter(F.octet_length("text") >= length)
     pieces = _pieces(long_docs, length)
-    anchors = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    anchors = pieces.groupBy("g").agg(F.sum("times").alias("n")).filter("n > 1").select("g")
     # a table of its own, so that the join can split the partitions of anchors that are very common
     shared = cut_lineage(pieces.join(cut_lineage(anchors), "g"))
-    kinds = shared.groupBy("g", "c1", "c2").agg((F.count(F.lit(1)) > 1).alias("twice"),
+    kinds = shared.groupBy("g", "c1", "c2").agg((F.sum("times") > 1).alias("twice"),
                                                F.min(F.struct("id", "th", "start", "stop", "anchor")).alias("at"))
     kinds = cut_lineage(kinds.select("g", "c1", "c2", "twice", "at.*"))
     sizes = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
@@ -234,7 +249,7 @@ def suffix_dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_
     if not large.isEmpty():
         found = found.unionByName(_solve_finer(with_bytes(large), length, (max(1, length // 8), 1), group_pieces))
     hits = shared.join(found, ["g", "c1", "c2"]).groupBy("id", "th").agg(F.flatten(F.collect_set(
-        F.transform("spans", lambda x: x + F.col("start")))).alias("starts"))
+        F.transform("spans", lambda x, i: x + F.col("start") + F.when(i % 2 == 1, F.col("reach")).otherwise(0)))).alias("starts"))
     hits = cut_lineage(hits)
     moved = likely(docs, hits, "th").alias("d").join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.th") == F.col("h.th")), "left")
     rows = moved.select(F.col("d.id").alias("doc_id"), "text", "starts")

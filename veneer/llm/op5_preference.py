@@ -65,17 +65,37 @@ def preference_examples(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> D
     return rows.groupBy("pair_id").agg(text("prompt"), text("chosen"), text("rejected"), spans("chosen"), spans("rejected"))
 
 
+def alternative_replies(conversations: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
+    """pair_id, chosen, turn, role, text: conversations up to their last reply, and the same with another's reply.
+
+    The pair of a conversation has its id. The rejected reply is the last reply of the conversation whose id is greater
+    by one; without such a conversation, or without a reply, there is no pair. `conversations` has conv_id, turn, role,
+    text. Null ids and turns are left out, null texts are empty; of several replies at the last turn the least counts.
+    """
+    turns = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    replies = turns.filter(F.col("role") == trained_role).groupBy("conv_id").agg(F.min(F.struct((-F.col("turn")).alias("back"), "text")).alias("reply"))
+    own = replies.select("conv_id", (-F.col("reply.back")).alias("end"), F.col("reply.text").alias("own"))
+    pairs = own.join(replies.select((F.col("conv_id") - 1).alias("conv_id"), F.col("reply.text").alias("other")), "conv_id")
+    before = turns.join(pairs.select("conv_id", "end"), "conv_id").filter("turn < end").select(
+        F.col("conv_id").alias("pair_id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("chosen"), "turn", "role", "text")
+    last = pairs.select("conv_id", "end", F.explode(F.array(F.struct(F.lit(True).alias("chosen"), F.col("own").alias("text")),
+                                                          F.struct(F.lit(False).alias("chosen"), F.col("other").alias("text")))).alias("side"))
+    return before.unionByName(last.select(F.col("conv_id").alias("pair_id"), "side.chosen", F.col("end").alias("turn"), F.lit(trained_role).alias("role"), "side.text"))
+
+
 def query(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 stand for the chosen and the rejected side of pair k; the table names none."""
-    turns = table(spark, sf, "conversations").select(
-        F.expr("conv_id div 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text")
-    return preference_turns(turns)
+    """Every conversation against itself with the next one's last reply: their shared turns are the prompts."""
+    return preference_turns(alternative_replies(table(spark, sf, "conversations")))
 
 
 QUERIES = {"op5_preference_format": query}
 
 SQL = """
-WITH c AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+WITH v AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+     a AS (SELECT conv_id, turn AS stop, min(text) AS reply FROM v WHERE role = 'assistant' GROUP BY conv_id, turn QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+     q AS (SELECT a.conv_id, a.stop, a.reply AS own, b.reply AS other FROM a JOIN a b ON b.conv_id = a.conv_id + 1),
+     c AS (SELECT v.conv_id AS pair_id, s.chosen, turn, coalesce(role, 'user') AS role, text FROM v JOIN q ON v.conv_id = q.conv_id AND turn < q.stop, (VALUES (true), (false)) s(chosen)
+           UNION ALL SELECT conv_id, true, stop, 'assistant', own FROM q UNION ALL SELECT conv_id, false, stop, 'assistant', other FROM q),
      t AS (SELECT pair_id, chosen, turn, role, text FROM c QUALIFY row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role, text) = 1),
      d AS (SELECT pair_id, turn FROM t GROUP BY ALL HAVING count(*) < 2 OR min(role || chr(1) || text) <> max(role || chr(1) || text)),
      e AS (SELECT pair_id, min(turn) AS stop FROM d GROUP BY pair_id),
