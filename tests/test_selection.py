@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veneer.functions.draws import draw_word, poisson_weight
 from veneer.operators import impact, merge, metrics, reshape, scoring, selection
 from veneer.sources import readers
 
@@ -165,3 +166,21 @@ def test_two_answer_texts_join_ranks(spark):
     df = spark.createDataFrame([(5, "r5", "w5"), (2, " ", "w2"), (9, "r9", "w9"), (1, "r1", None), (3, "r3", "w3")], "at long, r string, w string")
     got = sorted((r["pair_id"], r["claim_text"], r["label"]) for r in reshape.split_two_answers(df, "at", "r", "w").collect())
     assert got == [(0, "r3", 1), (0, "w3", 0), (1, "r5", 1), (1, "w5", 0), (2, "r9", 1), (2, "w9", 0)]
+
+
+@pytest.mark.parametrize("parts", ["1", "9"])
+def test_bootstrap_with_ties_over_many_tasks(spark, parts):
+    """A third of all rows share a score, so their ties go over several tasks."""
+    rows = [(i % 150, 0.5 if i % 3 == 0 else round(rng.random(), 2), int(rng.random() < 0.4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "pair_id long, score double, label int")
+    weights = df.select("pair_id").distinct().select("pair_id", *[poisson_weight(draw_word(7, r // 3, "pair_id"), r % 3).alias(f"w{r}") for r in range(5)])
+    by_pair = {w["pair_id"]: [w[f"w{r}"] for r in range(5)] for w in weights.collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["replicate"]: r["auc"] for r in metrics.bootstrap_auc(df, "pair_id", 5, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for r in range(5):
+        pos, neg = ([(s, by_pair[i][r]) for i, s, y in rows if y == side] for side in (1, 0))
+        above = sum(w * v * (1.0 if s > t else 0.5 if s == t else 0.0) for s, w in pos for t, v in neg)
+        assert got[r] == pytest.approx(above / sum(w for _, w in pos) / sum(v for _, v in neg), abs=1e-12)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veneer.functions.draws import draw_word, poisson_weight
+from veneer.functions.draws import POISSON_STEPS, draw_word
 from veneer.functions.stats import student_two_sided_p
 from veneer.operators.single import attach
+from veneer.operators.trial_labels import matrix
 
 #: Scores are cut into 2**8 ranges at least, 2**13 at most.
 _LEVELS = 8, 13
@@ -159,24 +162,76 @@ def describe_features(answers: DataFrame, features, label: str = "label",
     return out.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)
 
 
+def _weighted_segments(replicates: int):
+    """Task body over rows (at: score, label, words) in order of score: what each replicate's AUC needs of them.
+
+    A task gives its first and its last score apart (kind 0: positives p, negatives n), as their ties may go on in other
+    tasks, and what lies between as one piece (kind 1: u is its own share of positives above negatives).
+    """
+    steps = np.array(POISSON_STEPS)
+
+    def counts(part):
+        words = matrix(part.column("words"), part.num_rows)
+        pieces = np.stack([(words >> (16 * slot)) & 65535 for slot in range(3)], axis=2).reshape(part.num_rows, -1)[:, :replicates]
+        weight = np.searchsorted(steps, pieces, "right")
+        positive = (part.column("label").to_numpy(zero_copy_only=False) == 1)[:, None]
+        score = part.column("at").to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        return score[new], np.add.reduceat(weight * positive, new, axis=0), np.add.reduceat(weight * ~positive, new, axis=0)
+
+    def rows(at, kind, u, p, n):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(replicates, dtype=np.int32)), pa.array(np.full(replicates, at)), pa.array(np.full(replicates, kind, np.int32)),
+             pa.array(u.astype(float)), pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], ["replicate", "at", "kind", "u", "p", "n"])
+
+    def run(batches):
+        first = last = None  # (score, positives, negatives)
+        u, p, n = np.zeros(replicates), np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                score, pos, neg = counts(batch.slice(start, 1024))
+                if last is not None and last[0] == score[0]:
+                    pos[0] += last[1]
+                    neg[0] += last[2]
+                elif last is not None:
+                    score, pos, neg = np.append(last[0], score), np.vstack([last[1], pos]), np.vstack([last[2], neg])
+                if first is None and len(score) > 1:
+                    first = score[0], pos[0], neg[0]
+                    score, pos, neg = score[1:], pos[1:], neg[1:]
+                last = score[-1], pos[-1], neg[-1]
+                pos, neg = pos[:-1], neg[:-1]
+                u += (pos * (n + np.cumsum(neg, axis=0) - neg + neg / 2)).sum(axis=0)
+                p += pos.sum(axis=0)
+                n += neg.sum(axis=0)
+        zero = np.zeros(replicates)
+        if first is not None:
+            yield rows(first[0], 0, zero, first[1], first[2])
+            yield rows(first[0], 1, u, p, n)
+        if last is not None:
+            yield rows(last[0], 0, zero, last[1], last[2])
+
+    return run
+
+
 def bootstrap_auc(df: DataFrame, unit: str, replicates: int, seed: int, score: str = "score",
                   label: str = "label") -> DataFrame:
     """(replicate, auc): every unit (row or pair) enters with a hashed Poisson(1) weight.
 
-    One md5 feeds three replicates. Rows of weight 0 are dropped before the shuffle and the
-    rest combine map-side per (replicate, score).
+    One md5 feeds three replicates. Rows are put in order of score once, for all replicates; a task then adds up their
+    weights and sends a few numbers per replicate, so no row stands for a row and a replicate.
     """
     blocks = (replicates + 2) // 3
-    drawn = (df.select(unit, score, label)
-             .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .withColumn("__word", draw_word(seed, F.col("__block"), unit)))
-    slots = F.array(*[F.struct((F.col("__block") * 3 + s).alias("replicate"),
-                               poisson_weight(F.col("__word"), s).alias("weight")) for s in range(3)])
-    live = F.filter(slots, lambda x: (x["weight"] > 0) & (x["replicate"] < replicates))
-    weighted = drawn.select(score, label, F.explode(live).alias("r")).select(
-        score, label, "r.replicate", "r.weight")
-    return auc(weighted, score, label, ["replicate"], F.col("weight")).filter(
-        F.col("auc").isNotNull()).select("replicate", "auc")
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(unit, F.col(score).cast("double").alias("at"), F.col(label).cast("int").alias("label"))
+    ordered = known.repartitionByRange("at", F.xxhash64(unit)).sortWithinPartitions("at")
+    words = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: draw_word(seed, b, unit))
+    found = ordered.select("at", "label", words.alias("words")).mapInArrow(_weighted_segments(replicates), "replicate int, at double, kind int, u double, p long, n long")
+    met = found.groupBy("replicate", "at", "kind").agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # three pieces per task and replicate
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("replicate").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.when(F.col("kind") == 0, F.col("p") * F.col("n") / 2).otherwise(F.col("u"))
+    sums = met.withColumn("w", own + F.col("p") * below).groupBy("replicate").agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return (sums.filter((F.col("p") > 0) & (F.col("n") > 0))
+            .select("replicate", (F.col("w") / F.col("p").cast("double") / F.col("n").cast("double")).alias("auc")))
 
 
 def interval(replicates: DataFrame, value: str = "auc", level: float = 0.95) -> DataFrame:
