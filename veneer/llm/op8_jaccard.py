@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veneer.llm.common import cut_lineage, table
+from veneer.llm.common import cut_lineage, scratch_path, table
 from veneer.llm.id_filter import likely
 from veneer.llm.shingles import mixed, shingle_set
 
@@ -238,7 +238,7 @@ def _pairs(*columns) -> pa.RecordBatch:
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Those pairs (rid, leader) whose sets link. Only texts of named documents move; the leader's comes last."""
     needs = pairs.select("rid").union(pairs.select(F.col("leader").alias("rid"))).distinct()
-    named = likely(docs, needs).dropDuplicates(["rid"])
+    named = likely(docs, needs)
     one = pairs.join(named, "rid").withColumnRenamed("text", "left_text")
     both = one.join(named.select(F.col("rid").alias("leader"), F.col("text").alias("right_text")), "leader")
 
@@ -292,7 +292,7 @@ def _shingle_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             shingles = np.concatenate([*sets, np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rid").to_numpy(), [len(x) for x in sets])), pa.array(shingles.view(np.int64))], ["rid", "s"])
 
-    return likely(docs, ids).join(ids, "rid").dropDuplicates(["rid"]).select("rid", "text").mapInArrow(run, "rid long, s long")
+    return likely(docs, ids).join(ids, "rid").select("rid", "text").mapInArrow(run, "rid long, s long")
 
 
 class _Lists:
@@ -386,14 +386,19 @@ def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col
     text hash; null ids come last. Ids are 64-bit integers. Extra columns are ignored; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    several = docs.groupBy("doc_id").agg((F.min("th") < F.max("th")).alias("several")).filter("several")
-    several = cut_lineage(several.filter("doc_id IS NOT NULL"))
+    again = docs.groupBy("doc_id").agg((F.min("th") < F.max("th")).alias("several"), (F.count(F.lit(1)) > 1).alias("again"))
+    again = cut_lineage(again.filter("again"))
+    several = again.filter("several AND doc_id IS NOT NULL").select("doc_id", "several")
     own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")), "text")
     if several.isEmpty():
         docs = docs.withColumn("rid", F.coalesce("doc_id", own))
     else:
         docs = docs.join(several, "doc_id", "left").withColumn("rid", F.when(F.col("several") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id")))
     narrow = docs.select("rid", "text")
+    if not again.isEmpty():  # every node's text once, written as all passes read it
+        path = scratch_path(df.sparkSession, "nodes")
+        narrow.dropDuplicates(["rid"]).write.parquet(path)
+        narrow = df.sparkSession.read.parquet(path)
     ids = docs.select("doc_id", "th", "rid")
     profile = cut_lineage(_profile(narrow, size))
     sets = profile.filter("n > 0")
@@ -408,7 +413,7 @@ def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col
                              .withColumn(c, F.coalesce("_class", c)).drop("_class"))
     listed = _leaders(_members(narrow, light, size))
     listed = cut_lineage(to_class(to_class(listed, "rid"), "leader").distinct())
-    lists = _Lists(cut_lineage(sets.select("rid", "n", "empty").dropDuplicates(["rid"])), light)
+    lists = _Lists(cut_lineage(sets.select("rid", "n", "empty")), light)
 
     # this first reading only joins what is easily found; it may pass over pairs, as what follows does not
     pairs = cut_lineage(lists.enough(listed.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared")), 1.0))
@@ -422,7 +427,7 @@ def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col
     first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"),
                                              F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "rid")).alias("first"))
     chosen = grouped.join(first, "component").select("rid", "component_id", (F.col("first.rid") == F.col("rid")).alias("keep"))
-    return (ids.join(profile.select("rid", "n").dropDuplicates(["rid"]), "rid").join(chosen, "rid")
+    return (ids.join(profile.select("rid", "n"), "rid").join(chosen, "rid")
             .select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "keep"))
 
 
