@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veneer.functions import cues
 from veneer.functions.lexicons import PLAIN_TOPICS
 from veneer.functions.text import inverted_cue_counts
 from veneer.operators import probe, reshape, rules
+from veneer.session import cut_lineage
 from workload.common import PAIR_CUES, documents, q, rounded, spread, sql_plain, sql_words, table
 
 QUERIES, ORACLES = {}, {}
@@ -24,10 +26,10 @@ B, S, D = chr(92) + "b", chr(92) + "s", chr(92)
 
 def statements(spark, sf):
     """One row per sentence of the documents, in reading order, with the next sentence beside it."""
-    from pyspark.sql import Window
     d = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
-    s = d.select("doc_id", "lang", "source", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))).alias("pos", "statement"))
-    return s.withColumn("next", F.lead("statement").over(Window.partitionBy("doc_id").orderBy("pos")))
+    cut = d.select("doc_id", "lang", "source", F.explode(F.array(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0)))).alias("parts"))
+    beside = F.transform("parts", lambda x, i: F.struct(x.alias("statement"), F.get("parts", i + 1).alias("next")))
+    return cut.select("doc_id", "lang", "source", F.posexplode(beside).alias("pos", "s")).select("doc_id", "lang", "source", "pos", "s.*")
 
 
 STATEMENTS_SQL = r"""st0 AS (SELECT doc_id, lang, source, unnest(parts) AS statement, generate_subscripts(parts, 1) - 1 AS pos
@@ -294,9 +296,12 @@ def _inv_sql(x, prefix):
 
 
 def _inverted(spark, sf):
-    s = statements(spark, sf)
-    a = _counts(s, "statement").withColumn("failures", rules.inverted_a_failures())
-    b = _counts(s, "next").withColumn("failures", rules.inverted_b_failures())
+    """One pass over the texts; a sentence's successor is found among the numbers, and has none of anything at the end."""
+    counted = cut_lineage(_counts(statements(spark, sf), "statement").drop("statement"))
+    after = Window.partitionBy("doc_id").orderBy("pos")
+    numbers = [c for c in counted.columns if c not in ("doc_id", "pos")]
+    a = counted.withColumn("failures", rules.inverted_a_failures())
+    b = counted.select("doc_id", "pos", *[F.coalesce(F.lead(c).over(after), F.lit(0)).alias(c) for c in numbers]).withColumn("failures", rules.inverted_b_failures())
     key = lambda d: d.withColumn("id", F.struct("doc_id", "pos"))
     out = rules.length_delta_pairs(key(a), key(b), "id")
     return a, b, out
