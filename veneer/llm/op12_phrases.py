@@ -120,7 +120,8 @@ def _shared_stretches(docs: DataFrame, anchors: DataFrame, window: int) -> DataF
 def later_windows(held: list[tuple], window: int) -> list[list[int]]:
     """For each (least id, words) the windows [first, end), flat, that start in another of them with a smaller id.
 
-    One automaton over words, which are letters of an alphabet made for the occasion, holds all windows.
+    Windows found twice are confirmed as recurring and compiled into one automaton over words, which are letters of an
+    alphabet made for the occasion; all texts are streamed through it.
     """
     letters: dict[bytes, str] = {}
     texts = []
@@ -131,12 +132,16 @@ def later_windows(held: list[tuple], window: int) -> list[list[int]]:
                 letters[w] = chr(k if k < 0xD800 else k + 0x800)
         texts.append("".join([letters[w] for w in words]))
     automaton = ahocorasick.Automaton()
-    # from the greatest id down, so that the least one stays
-    ranked = sorted(range(len(held)), key=lambda i: (held[i][0] is None, held[i][0] if held[i][0] is not None else 0), reverse=True)
-    for i in ranked:
+    first: dict[str, int] = {}
+    # from the least id up, so that the least one is found first; null comes last
+    for i in sorted(range(len(held)), key=lambda i: (held[i][0] is None, held[i][0] if held[i][0] is not None else 0)):
         text = texts[i]
         for k in range(len(text) - window + 1):
-            automaton.add_word(text[k:k + window], i)
+            passage = text[k:k + window]
+            if (known := first.setdefault(passage, i)) != i:
+                automaton.add_word(passage, known)
+    if not len(automaton):
+        return [[] for _ in held]
     automaton.make_automaton()
     found = []
     for (own, _), text in zip(held, texts):
