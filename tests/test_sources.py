@@ -88,6 +88,19 @@ def test_subset_documents_round_trip(spark):
         writers.subset_documents(members, max_ids=1)
 
 
+def test_documents_of_any_size(spark, tmp_path):
+    members = spark.createDataFrame([("s", 3), ("s", 1), ("t", 9), ("s", 3), ("wide", 0)] + [("wide", i) for i in range(5000)], "subset_name string, pair_id long")
+    meta = spark.createDataFrame([("s", "a {b}"), ("t", None)], "subset_name string, note string")
+    writers.write_subset_documents(members.repartition(6), str(tmp_path / "docs"), meta)
+    found = {p.parent.name.split("=")[1]: json.loads(p.read_text()) for p in (tmp_path / "docs").rglob("part-*.txt")}
+    assert found["s"] == {"n_pairs": 2, "note": "a {b}", "pair_ids": [1, 3]} and found["t"]["pair_ids"] == [9]
+    assert found["wide"]["pair_ids"] == list(range(5000))
+    rows = spark.createDataFrame([(i, f'x "{i}"\n') for i in range(40)], "id long, text string")
+    writers.write_json_arrays(rows, str(tmp_path / "rows.json"), "id", files=3)
+    back = readers.read_labelled(spark, str(tmp_path / "rows.json"), ("id", "text"), "id long, text string")
+    assert sorted((r["id"], r["text"]) for r in back.collect()) == [(i, f'x "{i}"\n') for i in range(40)]
+
+
 def test_commented_csv_and_manifest(spark, tmp_path):
     path = write(tmp_path, "m.csv", "# note\n# more\nsubset_name,canonical_json,retained_pairs,target_kept_count\nFx_1,a.json, ,350\n,b.json,1,2\nother,c.json,n/a,7\n")
     assert readers.read_commented_csv(spark, path).count() == 3
@@ -141,3 +154,20 @@ def test_parse_choices(spark):
     rows = reshape.parse_choices(df).collect()
     assert rows[0]["correct_norm"] == "yes" and rows[0]["wrong_norm"] == ["no", "maybe"]
     assert [r["choice_error"] for r in rows] == [None, "multiple correct labels", "no correct label"]
+
+
+def test_streamed_files_of_one_name(spark, tmp_path):
+    """Files of equal names in two folders stay apart, the last path wins, and so does the last row of a split file."""
+    from veneer.streaming import predictions as stream
+    head = "model_name,pair_id,correct\n"
+    write(tmp_path, "in/a/run.csv", head + "m,1,1\nm,2,1\n")
+    write(tmp_path, "in/b/run.csv", head + "m,1,0\n" + "n,7,0\n" * 2000 + "n,7,1\n")
+    write(tmp_path, "in/b/example_model_predictions.csv", head + "m,2,0\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        stream.start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "log"), str(tmp_path / "at")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows = {(r["model_name"], r["pair_id"]): (r["source_file"], r["correct"]) for r in stream.merged_view(spark, str(tmp_path / "log")).collect()}
+    assert rows == {("m", 1): ("b/run.csv", 0), ("m", 2): ("a/run.csv", 1), ("n", 7): ("b/run.csv", 1)}

@@ -74,6 +74,8 @@ def _labelled(kind):
             d.write.parquet(path)
         elif kind == "csv":
             writers.write_table_csv(d, path)
+        elif kind == "json":
+            writers.write_json_arrays(d, path, "case_id")
         else:
             d.write.json(path)
         back = readers.read_labelled(spark, [path + ".absent", path], ("claim", "answer", "case_id"),
@@ -82,7 +84,7 @@ def _labelled(kind):
     return run
 
 
-for _k in ("parquet", "csv", "jsonl"):
+for _k in ("parquet", "csv", "jsonl", "json"):
     QUERIES[f"labelled_text_{_k}"] = _labelled(_k)
     ORACLES[f"labelled_text_{_k}"] = "SELECT doc_id AS case_id, md5(text) AS claim_md5, (quality = 1)::INT AS label FROM documents JOIN labels USING (doc_id)"
 
@@ -204,6 +206,19 @@ ORACLES["subset_json_documents"] = """SELECT doc_id // 2 AS pair_id, count(*) AS
 UNION ALL SELECT doc_id // 2 + 1000000000, count(*) FROM documents WHERE doc_id % 2 = 0 GROUP BY 1"""
 
 
+def _subset_lines(spark, sf):
+    """The same documents, written a line per id, so that no row holds a subset."""
+    path = scratch_path(spark, "subsets")
+    meta = subsets(spark, sf).groupBy("subset_name").agg(F.lit("prefix").alias("selection_method"), F.max("pair_id").alias("largest_id"))
+    writers.write_subset_documents(subsets(spark, sf), path, meta)
+    back = readers.read_subset(spark, path + "/*/*.txt")
+    return back.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_subsets"))
+
+
+QUERIES["subset_json_lines"] = _subset_lines
+ORACLES["subset_json_lines"] = ORACLES["subset_json_documents"]
+
+
 def _manifest(spark, sf):
     """Two manifests with different columns on one shape."""
     a, b = scratch_path(spark, "manifest"), scratch_path(spark, "manifest")
