@@ -140,10 +140,11 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "rid long, n int, empty int, h1 long, h2 long")
 
 
-def _least_shared(light: int, a, b, empty):
-    """Lists that linked sets of sizes a <= b share at least (columns); `empty` counts the greater set's empty parts."""
+def _least_shared(light: int, a, b, empty, largest: int):
+    """Lists that linked sets of sizes a <= b share at least (columns); `empty` counts the greater set's empty parts, no
+    set has more than `largest` members."""
     parts = F.lit(0)
-    for low, high in size_classes(1 << 30):
+    for low, high in size_classes(largest):
         parts = F.when(b >= low, parts_of(high)[1]).otherwise(parts)
     return F.when(b <= light, 1).otherwise(F.greatest(F.lit(1), parts - F.floor((a + b) / 9) - empty))
 
@@ -300,6 +301,7 @@ class _Lists:
 
     def __init__(self, sized: DataFrame, light: int):
         self.sized, self.light = sized, light
+        self.largest = sized.agg(F.max("n")).first()[0] or 1
 
     def mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
         of = members.join(found, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("mine"))
@@ -327,7 +329,7 @@ class _Lists:
         """Lists that sets of (size, empty parts) x and y share at least if they link."""
         (an, ae), (bn, be) = x, y
         empty = F.when(F.col(an) == F.col(bn), F.greatest(ae, be)).when(F.col(an) > F.col(bn), F.col(ae)).otherwise(F.col(be))
-        return _least_shared(self.light, F.least(an, bn), F.greatest(an, bn), empty)
+        return _least_shared(self.light, F.least(an, bn), F.greatest(an, bn), empty, self.largest)
 
 
 def _met(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -343,18 +345,17 @@ def _links_across(listed: DataFrame, links: DataFrame, tried: DataFrame, docs: D
     found = components(links)
     rows = lists.mixed(listed.select("key", "rid").distinct(), found)
     least = F.broadcast(lists.least_lists())  # a row per set size
-    for _ in range(2):  # sets that share too few lists with others, twice as it thins out the lists
-        alive = rows.groupBy("rid", "n").agg(F.count(F.lit(1)).alias("k")).join(least, "n").filter("k >= t").select("rid")
-        rows = lists.mixed(rows.join(alive, "rid").select("key", "rid"), found)
+    # sets that share too few lists with others
+    alive = rows.groupBy("rid", "n").agg(F.count(F.lit(1)).alias("k")).join(least, "n").filter("k >= t").select("rid")
+    rows = lists.mixed(rows.join(alive, "rid").select("key", "rid"), found)
     if rows.isEmpty():
         return links
     shingles = cut_lineage(_shingle_rows(docs, cut_lineage(rows.select("rid").distinct()), size))
-    for _ in range(2):  # sets most of whose shingles nobody else has
-        common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        weights = shingles.join(common, "s").groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("df").alias("sum"))
-        weights = cut_lineage(weights.join(lists.sized, "rid").filter("10 * m >= 8 * n").select("rid", "m", "empty", (F.col("sum") / F.col("n")).alias("centre")))
-        shingles = cut_lineage(shingles.join(weights.select("rid"), "rid"))
-        rows = lists.mixed(rows.join(weights.select("rid"), "rid").select("key", "rid"), found)
+    # sets most of whose shingles nobody else has
+    common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    weights = shingles.join(common, "s").groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("df").alias("sum"))
+    weights = cut_lineage(weights.join(lists.sized, "rid").filter("10 * m >= 8 * n").select("rid", "m", "empty", (F.col("sum") / F.col("n")).alias("centre")))
+    rows = lists.mixed(rows.join(weights.select("rid"), "rid").select("key", "rid"), found)
     while True:
         # sharing half of the lists that links surely share is enough to be tried: a member is central in some of them only
         new = cut_lineage(lists.enough(_met(rows, weights.select("rid", "centre")), 0.5).join(tried, ["leader", "rid"], "left_anti"))
