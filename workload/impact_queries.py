@@ -377,7 +377,8 @@ SELECT row_id, pair_id, CASE WHEN row_number() OVER (PARTITION BY pair_id ORDER
 
 def _fingerprint(spark, sf):
     li = table(spark, sf, "lineitem")
-    whole, again = merge.fingerprint(li), merge.fingerprint(li.repartition(5))
+    # dealt anew into more parts than it is read in, so that no task takes more as the table grows
+    whole, again = merge.fingerprint(li), merge.fingerprint(li.repartition(max(5, 2 * li.rdd.getNumPartitions() + 1)))
     return whole.select("n_rows", "low_sum", "high_sum").unionByName(again).distinct().agg(
         F.count(F.lit(1)).alias("n_fingerprints"), F.max("n_rows").alias("n_rows"))
 
