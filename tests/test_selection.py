@@ -184,3 +184,33 @@ def test_bootstrap_with_ties_over_many_tasks(spark, parts):
         pos, neg = ([(s, by_pair[i][r]) for i, s, y in rows if y == side] for side in (1, 0))
         above = sum(w * v * (1.0 if s > t else 0.5 if s == t else 0.0) for s, w in pos for t, v in neg)
         assert got[r] == pytest.approx(above / sum(w for _, w in pos) / sum(v for _, v in neg), abs=1e-12)
+
+
+def test_fingerprint_deals_a_table_into_parts_that_grow_with_it(spark, tmp_path):
+    from workload.impact_queries import QUERIES
+    spark.range(4000).select("id", (F.col("id") % 7).alias("v")).repartition(12).write.parquet(str(tmp_path / "lineitem.parquet"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        parts = spark.read.parquet(str(tmp_path / "lineitem.parquet")).rdd.getNumPartitions()
+        got = QUERIES["table_fingerprint"](spark, str(tmp_path))
+        assert parts >= 12 and f"RoundRobinPartitioning({2 * parts + 1})" in got._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in got.collect()] == [(1, 4000)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_last_rows_are_kept_without_sorting_a_task(spark):
+    rows = [(f"f{i % 2}", i % 50, "m" if i % 3 else "n", (i * 7) % 40, i % 2) for i in range(3000)] + [("f0", None, "m", 3, 1), ("f9", 7, "m", 5, None)]
+    df = spark.createDataFrame(rows, "source_file string, row_no long, model_name string, pair_id long, correct int").repartition(5)
+    for got, better in ((merge.last_in_file(df), max), (merge.first_in_file(df), min)):
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        known: dict = {}
+        for file, no, model, pair, _ in rows:
+            if no is not None:
+                known[file, model, pair] = better(no, known.get((file, model, pair), no))
+        found = {(r["source_file"], r["model_name"], r["pair_id"]): (r["row_no"], r["correct"]) for r in got.collect()}
+        assert {k: v[0] for k, v in found.items() if v[0] is not None} == known
+        assert all((f, v[0], m, p, v[1]) in set(rows) for (f, m, p), v in found.items() if v[0] is not None)

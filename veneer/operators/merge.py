@@ -11,9 +11,16 @@ PREDICTION_KEY = ("model_name", "pair_id")
 
 
 def _keep(df: DataFrame, by: list[str], order: Column, last: bool) -> DataFrame:
-    """First or last row per key as a map-side combining aggregate (no sort, no window)."""
+    """First or last row per key as a map-side combining aggregate (no window).
+
+    Numbers are kept one by one: such state has a fixed width, so it is hashed, while a struct's would be sorted with all
+    rows of a task. Each number follows the same order and so comes from the same row.
+    """
     rest = [c for c in df.columns if c not in by]
     pick = F.max_by if last else F.min_by
+    kinds = dict(df.select(*rest, order.alias("__o")).dtypes)
+    if set(kinds.values()) <= {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}:
+        return df.groupBy(*by).agg(*[pick(F.col(c), order).alias(c) for c in rest]).select(*df.columns)
     return df.groupBy(*by).agg(pick(F.struct(*rest), order).alias("__r")).select(*by, "__r.*").select(*df.columns)
 
 
