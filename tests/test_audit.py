@@ -203,3 +203,27 @@ def test_baseline_gate():
     assert sa.baseline_gate(0.716, 0.7159, 0.001) == 0.716
     with pytest.raises(ValueError):
         sa.baseline_gate(0.70, 0.716, 0.001)
+
+
+def test_metrics_are_put_together_from_ranges(spark, monkeypatch):
+    """Few rows of a trial meet in one task however many the trial has, ties of several tasks among them; no row is sent alone."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2)).round(1)
+    y = (rng.random(900) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(row_id=range(900), label=y, fold=np.arange(900) % 5, half=(np.arange(900) % 2))
+    df = spark.createDataFrame(pdf).repartition(6)
+    labels = F.array("label", F.when(F.col("half") == 1, F.col("label")).otherwise(audit.ABSENT))
+    run = audit.run_audit(df, ["a", "b"], ["row_id"], labels, 2)
+    whole = {r["trial"]: tuple(r) for r in run.metrics().collect()}
+    monkeypatch.setattr(audit, "RANGE", 100)
+    assert run._edges().shape == (2, 8)
+    parts = {r["trial"]: tuple(r) for r in run.metrics().collect()}
+    scored = run.long().toPandas()
+    run.release()
+    assert whole.keys() == parts.keys() == {0, 1}
+    for t in (0, 1):
+        own = scored[scored.trial == t]
+        pos, neg = own.logit[own.label == 1].to_numpy(), own.logit[own.label == 0].to_numpy()
+        gap = pos[:, None] - neg[None, :]
+        want = (t, ((gap > 0) + (gap == 0) / 2).mean(), ((own.logit >= 0) == (own.label == 1)).mean(), len(own))
+        assert whole[t] == pytest.approx(want, abs=1e-12) and parts[t] == pytest.approx(want, abs=1e-12)

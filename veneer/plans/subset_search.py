@@ -79,7 +79,7 @@ def prepare(cands: DataFrame, answers: DataFrame, seeds: list[int], orders: dict
     ranks = rank_orders(cands, orders)
     side = ranks.join(held, "example_id", "left").withColumnRenamed("example_id", "pair_id")
     # every pass of the fits reads this table again
-    return cut_lineage(answers.join(side, "pair_id"))
+    return cut_lineage(answers.join(side, "pair_id"), every_core=True)
 
 
 def separability_keys(answers: DataFrame, cands: DataFrame, seeds: list[int], features=PAIR_FEATURES,

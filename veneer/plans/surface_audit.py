@@ -50,9 +50,9 @@ def shuffled_labels(df: DataFrame, key: str, n: int, seed: int, label: str = "la
 def null_labels(df: DataFrame, key: str, group: str | None, n: int, seed: int, mode: str) -> DataFrame:
     """Add ``null_words`` in one of the two null modes, written once: no trial draws a label again."""
     if mode == "within_group":
-        return cut_lineage(df.withColumn("null_words", swapped_words(n, seed, group or key)))
+        return cut_lineage(df.withColumn("null_words", swapped_words(n, seed, group or key)), every_core=True)
     if mode == "global":
-        return cut_lineage(shuffled_labels(df, key, n, seed))
+        return cut_lineage(shuffled_labels(df, key, n, seed), every_core=True)
     raise ValueError(f"null mode {mode!r}: expected global or within_group")
 
 
