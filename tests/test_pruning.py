@@ -105,3 +105,20 @@ def test_registered_loops_have_no_caps(spark, data, monkeypatch):
     assert calls["add_back"] == [(4, set())] and calls["swap_refine"] == [(4, set())]
     kept = {s: sorted(r["pair_id"] for r in rows if r["stage"] == s) for s in ("pruned", "added_back", "swapped")}
     assert kept == {"pruned": list(range(18)), "added_back": [1, 2], "swapped": [1, 2, 5]}
+
+
+def test_a_round_computes_shared_scores_once(spark, data, monkeypatch):
+    """Imbalance and confidence of a round serve all strategies; a hybrid of one side alone is that side's order."""
+    df = data[3]
+    calls = []
+    for name in ("imbalance_scores", "pair_confidence"):
+        def counted(*args, _run=getattr(pruning, name), _name=name):
+            calls.append(_name)
+            return _run(*args)
+        monkeypatch.setattr(pruning, name, counted)
+    trials = [pruning.PruneTrial("confidence", 0.0), pruning.PruneTrial("imbalance", 0.0), pruning.PruneTrial("hybrid", 0.0, alpha=1.0),
+              pruning.PruneTrial("hybrid", 0.0, alpha=0.0)]
+    removed = pruning.prune(df, trials, NAMES, batch=3, max_rounds=3).removed.collect()
+    assert sorted(calls) == ["imbalance_scores"] * 2 + ["pair_confidence"] * 2  # two rounds
+    gone = [sorted((r["step"], r["pair_id"]) for r in removed if r["trial"] == t) for t in range(4)]
+    assert gone[0] == gone[2] and gone[1] == gone[3] and len(gone[0]) == 6
