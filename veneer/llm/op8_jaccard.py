@@ -24,12 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veneer.llm.common import cut_lineage, scratch_path, table
-from veneer.llm.id_filter import likely
-from veneer.llm.shingles import mixed, shingle_set
+from veneer.llm.common import scratch_path, table
+from veneer.llm.id_filter import IdFilter, likely
+from veneer.llm.shingles import mixed, shingle_set, shingle_sets
 
 #: Sizes up to here may become light, if enumeration is cheaper there.
 LIGHT_LIMIT = 24
+#: So many ids are sent to all tasks as they are; more are sent as a filter, behind which a join must follow.
+FEW_IDS = 200_000
+#: Entries of inverted lists that a task holds at a time; it then sorts them, which takes some 150 bytes for each.
+_FLUSH = 120_000
 #: Each class of heavy sizes reaches so many times as far as the one before.
 STEP = 1.6
 def needed(a: int, b: int) -> int:
@@ -37,6 +41,13 @@ def needed(a: int, b: int) -> int:
     return -(-4 * (a + b) // 9)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A table below the shared folder instead of `df`: its size is known, so what it is joined with need not be guessed."""
+    path = scratch_path(df.sparkSession, "jaccard")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     if not len(x) or not len(y):
         return False
@@ -119,23 +130,79 @@ def list_keys(s: np.ndarray, light: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sets(batch, size: int):
-    for text in batch.column("text").cast(pa.binary()):
-        yield shingle_set(text.as_buffer() if text.is_valid else b"", size)
+def _class_of(n: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least and largest sizes of the classes as far as `reach`, and the class of each size."""
+    low, high = np.array(size_classes(max(1, reach)), np.int64).T
+    return low, high, np.searchsorted(high, n)
+
+
+def _filled(spread: np.ndarray, at: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets end to end, each dealt into a number of parts of its own: where each set's parts begin, the parts of its
+    members and which are filled."""
+    base = np.append(0, np.cumsum(parts))
+    sizes = np.diff(at)
+    part = ((spread >> np.uint64(32)) * np.repeat(parts, sizes).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(base[:-1], sizes)
+    filled = np.zeros(base[-1], bool)
+    filled[part] = True
+    return base, part, filled
+
+
+def _empty_parts_of(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`empty_parts` of sets that lie end to end, set i from at[i] to at[i + 1]."""
+    n = np.diff(at)
+    _, high, own = _class_of(n, int(n.max(initial=0)))
+    parts = np.where(n > 0, np.array([parts_of(h)[1] for h in high.tolist()])[own], 0)
+    base, _, filled = _filled(mixed(sets), at, parts)
+    return np.diff(base) - np.diff(np.append(0, np.cumsum(filled))[base])
+
+
+def list_keys_of(sets: np.ndarray, at: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """`list_keys` of sets that lie end to end, set i from at[i] to at[i + 1]: the number of the set, and a key."""
+    n = np.diff(at)
+    of, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i in np.flatnonzero((n > 0) & (n <= light)).tolist():
+        keys.append(list_keys(sets[at[i]:at[i + 1]], light))
+        of.append(np.full(len(keys[-1]), i))
+    low, high, own = _class_of(n, 5 * int(n.max(initial=0)) // 4)
+    most, parts_in = np.array([parts_of(h) for h in high.tolist()], np.int64).T
+    last = np.searchsorted(high, 5 * n // 4)
+    spread, heavy, step = mixed(sets), n > light, 0
+    while len(which := np.flatnonzero(heavy & (own + step <= last))):
+        inside = np.zeros(len(n), bool)
+        inside[which] = True
+        klass, size = own[which] + step, n[which]
+        parts, mine = parts_in[klass], spread[np.repeat(inside, n)]
+        base, part, filled = _filled(mine, np.append(0, np.cumsum(size)), parts)
+        content = np.zeros(base[-1], np.uint64)
+        np.add.at(content, part, mine)
+        place = np.arange(base[-1]) - np.repeat(base[:-1], parts)
+        key = mixed(mixed(content) + np.repeat(low[klass].astype(np.uint64) << np.uint64(32), parts) + place.astype(np.uint64))
+        # equal parts number parts - differences at least; only if all of them may be empty do empty parts count as keys
+        listed = filled | np.repeat(np.diff(np.append(0, np.cumsum(filled))[base]) <= np.minimum(most[klass], size // 4), parts)
+        of.append(np.repeat(which, parts)[listed])
+        keys.append(key[listed])
+        step += 1
+    which, key = np.concatenate(of), np.concatenate(keys)
+    order = np.argsort(which, kind="stable")
+    return which[order], key[order]
+
+
+def _marks(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    one = np.append(np.uint64(0), np.cumsum(mixed(sets + np.uint64(7)), dtype=np.uint64))
+    two = np.append(np.uint64(0), np.cumsum(mixed(sets ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
+    return np.diff(one[at]).view(np.int64), np.diff(two[at]).view(np.int64)
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
     """rid, size of the set, its empty parts and two hashes of it."""
     def run(batches):
         for batch in batches:
-            n, empty, a, b = [], [], [], []
-            for s in _sets(batch, size):
-                n.append(len(s))
-                empty.append(empty_parts(s))
-                a.append(int(mixed(s + np.uint64(7)).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n, pa.int32()), pa.array(empty, pa.int32()),
-                                              pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rid", "n", "empty", "h1", "h2"])
+            for first, sets, at in shingle_sets(batch.column("text"), size):
+                a, b = _marks(sets, at)
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(first, len(a)), pa.array(np.diff(at).astype(np.int32)),
+                                                  pa.array(_empty_parts_of(sets, at).astype(np.int32)), pa.array(a), pa.array(b)],
+                                                 ["rid", "n", "empty", "h1", "h2"])
 
     return docs.mapInArrow(run, "rid long, n int, empty int, h1 long, h2 long")
 
@@ -157,24 +224,17 @@ def _members(docs: DataFrame, light: int, size: int) -> DataFrame:
 
     A row with spread 0 is a list's first member of a batch; the batch's other members have that one as leader and a
     spread of their own, so a list that holds a third of all documents comes together with one row per batch only.
-    Equal sets within a task are listed once, under the first that came.
     """
     def run(batches):
-        seen: set[bytes] = set()
         for batch in batches:
+            rid = batch.column("rid").to_numpy()
             keys, ids, held = [], [], 0
-            for rid, s in zip(batch.column("rid").to_numpy(), _sets(batch, size)):
-                if not len(s):
-                    continue
-                mark = mixed(s + np.uint64(7)).sum(dtype=np.uint64).tobytes() + mixed(s ^ np.uint64(5)).sum(dtype=np.uint64).tobytes()
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                own = list_keys(s, light)
+            for first, sets, at in shingle_sets(batch.column("text"), size):
+                which, own = list_keys_of(sets, at, light)
                 keys.append(own)
-                ids.append(np.full(len(own), rid))
+                ids.append(rid[first + which])
                 held += len(own)
-                if held > 500_000:
+                if held > _FLUSH:
                     yield _local_lists(np.concatenate(keys), np.concatenate(ids))
                     keys, ids, held = [], [], 0
             if held:
@@ -236,10 +296,17 @@ def _pairs(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["key", "rid", "leader"])
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose rid is among `ids`; of more than FEW_IDS ids also a few others."""
+    ids = _stored(ids.distinct())
+    if ids.count() <= FEW_IDS:
+        return docs.join(F.broadcast(ids), "rid", "left_semi")  # FEW_IDS numbers at most
+    return likely(docs, ids)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Those pairs (rid, leader) whose sets link. Only texts of named documents move; the leader's comes last."""
-    needs = pairs.select("rid").union(pairs.select(F.col("leader").alias("rid"))).distinct()
-    named = likely(docs, needs)
+    named = _among(docs, pairs.select("rid").union(pairs.select(F.col("leader").alias("rid"))))
     one = pairs.join(named, "rid").withColumnRenamed("text", "left_text")
     both = one.join(named.select(F.col("rid").alias("leader"), F.col("text").alias("right_text")), "leader")
 
@@ -271,44 +338,54 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels only fall; the loop ends when a step changes none. `links` has rid, leader.
     """
-    both = cut_lineage(links.select("rid", "leader").union(links.select("leader", "rid")).filter("rid <> leader").distinct())
-    labels = cut_lineage(both.groupBy("rid").agg(F.least(F.min("leader"), F.first("rid")).alias("component")))
+    both = _stored(links.select("rid", "leader").union(links.select("leader", "rid")).filter("rid <> leader").distinct())
+    labels = _stored(both.groupBy("rid").agg(F.least(F.min("leader"), F.first("rid")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("rid").alias("leader"), "component"), "leader").groupBy("rid").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "rid").select("rid", "component", F.least("component", "near").alias("low"))
+        own = labels.select("rid", "component", F.col("component").alias("was"))
+        near = both.join(labels.select(F.col("rid").alias("leader"), "component"), "leader").select("rid", "component", F.lit(None).cast("long").alias("was"))
+        stepped = near.union(own).groupBy("rid").agg(F.min("component").alias("low"), F.max("was").alias("was"))
         jump = labels.select(F.col("rid").alias("low"), F.col("component").alias("far"))
-        new = stepped.join(jump, "low", "left").select("rid", F.coalesce(F.least("low", "far"), "low").alias("component"),
-                                                       (F.coalesce(F.least("low", "far"), "low") != F.col("component")).alias("moved"))
-        new = cut_lineage(new)
+        low = F.coalesce(F.least("low", "far"), "low")
+        new = _stored(stepped.join(jump, "low", "left").select("rid", low.alias("component"), (low != F.col("was")).alias("moved")))
         if new.filter("moved").isEmpty():
             return new.select("rid", "component")
         labels = new.select("rid", "component")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`found` (rid, component of all ids) once `links` (rid, leader) between them are added, and (old, component) of the
+    components that are now part of another."""
+    ends = links.join(found.withColumnRenamed("component", "a"), "rid").select("leader", "a")
+    ends = ends.join(found.select(F.col("rid").alias("leader"), F.col("component").alias("b")), "leader")
+    into = components(ends.select(F.col("a").alias("rid"), F.col("b").alias("leader"))).filter("rid <> component").withColumnRenamed("rid", "old")
+    moved = found.join(into.select(F.col("old").alias("component"), F.col("component").alias("into")), "component", "left")
+    return _stored(moved.select("rid", F.coalesce("into", "component").alias("component"))), into
+
+
 def _shingle_rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """rid, s: the shingles of some documents."""
     def run(batches):
         for batch in batches:
-            sets = list(_sets(batch, size))
-            shingles = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rid").to_numpy(), [len(x) for x in sets])), pa.array(shingles.view(np.int64))], ["rid", "s"])
+            rid = batch.column("rid").to_numpy()
+            for first, sets, at in shingle_sets(batch.column("text"), size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid[first:first + len(at) - 1], np.diff(at))), pa.array(sets.view(np.int64))], ["rid", "s"])
 
-    return likely(docs, ids).join(ids, "rid").select("rid", "text").mapInArrow(run, "rid long, s long")
+    return _among(docs, ids).join(ids, "rid").select("rid", "text").mapInArrow(run, "rid long, s long")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Those of `rows` (key, rid, mine: the component of rid) whose list holds several components."""
+    keys = rows.groupBy("key").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).filter("low < high").select("key")
+    return _stored(rows.join(keys, "key").distinct())
 
 
 class _Lists:
-    """Lists that hold several components, as rows (key, rid, mine, n, main, all); `main` is a list's largest component."""
+    """What is known of the sets (rid, n, empty) that the lists hold."""
 
     def __init__(self, sized: DataFrame, light: int):
         self.sized, self.light = sized, light
         self.largest = sized.agg(F.max("n")).first()[0] or 1
 
-    def mixed(self, members: DataFrame, found: DataFrame) -> DataFrame:
-        of = members.join(found, "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("mine"))
-        by_key = of.groupBy("key", "mine").count().groupBy("key").agg(
-            F.max_by("mine", F.struct("count", "mine")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("all"))
-        return cut_lineage(of.join(by_key.filter("inside < all").drop("inside"), "key").join(self.sized.select("rid", "n"), "rid"))
-
     def least_lists(self) -> DataFrame:
         """n, t: lists that a set of this size shares with any set it links with, at least."""
         most_empty = {r["n"]: r["empty"] for r in self.sized.groupBy("n").agg(F.max("empty").alias("empty")).collect()}  # a row per size
@@ -340,42 +417,58 @@ def _met(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.groupBy(F.greatest("rid", "first.rid").alias("rid"), F.least("rid", "first.rid").alias("leader")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _links_across(listed: DataFrame, links: DataFrame, tried: DataFrame, docs: DataFrame, lists: _Lists, size: int) -> DataFrame:
-    """Links between components, added to `links` (rid, leader)."""
-    found = components(links)
-    rows = lists.mixed(listed.select("key", "rid").distinct(), found)
+def _links_across(listed: DataFrame, found: DataFrame, tried: DataFrame, docs: DataFrame, lists: _Lists, size: int) -> DataFrame:
+    """rid, component once the links between the components of `found` (rid, component of all sets) are added."""
+    rows = _several(listed.select("key", "rid").join(found.withColumnRenamed("component", "mine"), "rid"))
     least = F.broadcast(lists.least_lists())  # a row per set size
     # sets that share too few lists with others
-    alive = rows.groupBy("rid", "n").agg(F.count(F.lit(1)).alias("k")).join(least, "n").filter("k >= t").select("rid")
-    rows = lists.mixed(rows.join(alive, "rid").select("key", "rid"), found)
+    alive = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("k")).join(lists.sized, "rid").join(least, "n").filter("k >= t").select("rid")
+    rows = _several(rows.join(alive, "rid"))
     if rows.isEmpty():
-        return links
-    shingles = cut_lineage(_shingle_rows(docs, cut_lineage(rows.select("rid").distinct()), size))
+        return found
+    weighed = _stored(rows.select("rid").distinct())
+    shingles = _stored(_shingle_rows(docs, weighed, size))
     # sets most of whose shingles nobody else has
     common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     weights = shingles.join(common, "s").groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("m"), F.sum("df").alias("sum"))
-    weights = cut_lineage(weights.join(lists.sized, "rid").filter("10 * m >= 8 * n").select("rid", "m", "empty", (F.col("sum") / F.col("n")).alias("centre")))
-    rows = lists.mixed(rows.join(weights.select("rid"), "rid").select("key", "rid"), found)
+    weights = _stored(weights.join(lists.sized, "rid").filter("10 * m >= 8 * n").select("rid", "n", "m", "empty", (F.col("sum") / F.col("n")).alias("centre")))
+    rows = _several(rows.join(weights.select("rid"), "rid"))
     while True:
         # sharing half of the lists that links surely share is enough to be tried: a member is central in some of them only
-        new = cut_lineage(lists.enough(_met(rows, weights.select("rid", "centre")), 0.5).join(tried, ["leader", "rid"], "left_anti"))
-        fresh = cut_lineage(_verified(new, docs, size))
-        tried = cut_lineage(tried.unionByName(new))
+        new = _stored(lists.enough(_met(rows, weights.select("rid", "centre")), 0.5).join(tried, ["leader", "rid"], "left_anti"))
+        fresh = _stored(_verified(new, docs, size))
+        tried = tried.unionByName(new)
         if fresh.isEmpty():
             break
-        links = links.unionByName(fresh)
-        found = components(links)
-        rows = lists.mixed(rows.select("key", "rid"), found)
-    held = rows.groupBy("rid").agg(F.first("mine").alias("mine"), F.first("n").alias("n"), F.array_sort(F.collect_set("key")).alias("keys"))  # a set's own lists
-    family = cut_lineage(rows.select("rid", "main").distinct().join(held, "rid").join(weights.select("rid", "m", "empty"), "rid"))
+        found, into = _joined(found, fresh)
+        renamed = rows.join(into.select(F.col("old").alias("mine"), F.col("component").alias("into")), "mine", "left")
+        rows = _several(renamed.select("key", "rid", F.coalesce("into", "mine").alias("mine")))
+    main = rows.groupBy("key", "mine").count().groupBy("key").agg(F.max_by("mine", F.struct("count", "mine")).alias("main"))  # a list's largest component
+    held = rows.groupBy("rid").agg(F.first("mine").alias("mine"), F.array_sort(F.collect_set("key")).alias("keys"))  # a set's own lists
+    family = _stored(rows.join(main, "key").select("rid", "main").distinct().join(held, "rid").join(weights.select("rid", "n", "m", "empty"), "rid"))
     one, other = family.filter("mine <> main").alias("a"), family.alias("b")
     # each pair across components comes from its one outsider, or from the greater of two
     may = F.expr("a.main = b.main AND a.mine <> b.mine AND (b.mine = b.main OR a.rid > b.rid) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
                  " AND 9 * least(a.m, b.m) >= 4 * (a.n + b.n)")
     share = F.size(F.array_intersect("a.keys", "b.keys")) >= lists.needed(("a.n", "a.empty"), ("b.n", "b.empty"))
     across = one.join(other, may & share).select(F.greatest("a.rid", "b.rid").alias("rid"), F.least("a.rid", "b.rid").alias("leader")).distinct()
-    more = cut_lineage(cut_lineage(across).join(tried, ["leader", "rid"], "left_anti"))
-    return links.unionByName(cut_lineage(_verified(more, docs, size)))
+    more = _stored(_verified(_stored(across.join(tried, ["leader", "rid"], "left_anti")), docs, size))
+    return found if more.isEmpty() else _joined(found, more)[0]
+
+
+def _first_of_classes(docs: DataFrame, same: DataFrame) -> DataFrame:
+    """`docs` without those of equal sets but the class's leader. Only texts of the others move, and a few more."""
+    gone = _stored(same.filter("rid <> leader").select("rid"))
+    n = gone.count()
+    if n <= FEW_IDS:
+        return docs.join(F.broadcast(gone), "rid", "left_anti") if n else docs  # FEW_IDS numbers at most
+    among = docs.sparkSession.sparkContext.broadcast(IdFilter.of(gone))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~among.value.passing(batch.column("rid").to_numpy())))
+
+    return docs.mapInArrow(run, docs.schema).unionByName(likely(docs, gone).join(gone, "rid", "left_anti"))
 
 
 def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,7 +481,7 @@ def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     again = docs.groupBy("doc_id").agg((F.min("th") < F.max("th")).alias("several"), (F.count(F.lit(1)) > 1).alias("again"))
-    again = cut_lineage(again.filter("again"))
+    again = _stored(again.filter("again"))
     several = again.filter("several AND doc_id IS NOT NULL").select("doc_id", "several")
     own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")), "text")
     if several.isEmpty():
@@ -401,29 +494,28 @@ def jaccard_nodes(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col
         narrow.dropDuplicates(["rid"]).write.parquet(path)
         narrow = df.sparkSession.read.parquet(path)
     ids = docs.select("doc_id", "th", "rid")
-    profile = cut_lineage(_profile(narrow, size))
+    profile = _stored(_profile(narrow, size))
     sets = profile.filter("n > 0")
     counts = {r["n"]: r["count"] for r in sets.filter(F.col("n") <= LIGHT_LIMIT).groupBy("n").count().collect()}
     light = choose_boundary(counts)
 
-    # equal sets are one class, named by the least id
+    # equal sets are one class, named by the least id, which is listed for all of them
     classes = sets.groupBy("n", "h1", "h2").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).filter("leader < last").drop("last")
-    same = cut_lineage(sets.join(classes, ["n", "h1", "h2"]).select("rid", "leader").distinct())
-    # the same set may come from several tasks: the class stands in for it
-    to_class = lambda p, c: (p.join(same.select(F.col("rid").alias(c), F.col("leader").alias("_class")), c, "left")
-                             .withColumn(c, F.coalesce("_class", c)).drop("_class"))
-    listed = _leaders(_members(narrow, light, size))
-    listed = cut_lineage(to_class(to_class(listed, "rid"), "leader").distinct())
-    lists = _Lists(cut_lineage(sets.select("rid", "n", "empty")), light)
+    same = _stored(sets.join(classes, ["n", "h1", "h2"]).select("rid", "leader"))
+    listed = _stored(_leaders(_members(_first_of_classes(narrow, same), light, size)))
+    lists = _Lists(sets.select("rid", "n", "empty"), light)
 
     # this first reading only joins what is easily found; it may pass over pairs, as what follows does not
-    pairs = cut_lineage(lists.enough(listed.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared")), 1.0))
-    links = cut_lineage(_verified(pairs, narrow, size))
+    pairs = _stored(lists.enough(listed.filter("rid <> leader").groupBy("rid", "leader").agg(F.count(F.lit(1)).alias("shared")), 1.0))
+    links = _stored(_verified(pairs, narrow, size))
     tried = pairs.select(F.least("rid", "leader").alias("leader"), F.greatest("rid", "leader").alias("rid"))
-    all_links = _links_across(listed, links, tried, narrow, lists, size).unionByName(same.filter("rid <> leader"))
-    final = components(all_links)
+    found = _stored(sets.select("rid").join(components(links), "rid", "left").select("rid", F.coalesce("component", "rid").alias("component")))
+    found = _links_across(listed, found, tried, narrow, lists, size)
+    # the others of a class are where its leader is
+    class_of = same.select("rid", F.col("leader").alias("of")).join(found.select(F.col("rid").alias("of"), "component"), "of")
+    final = found.join(same.select("rid"), "rid", "left_anti").unionByName(class_of.select("rid", "component"))
 
-    nodes = cut_lineage(ids.distinct())
+    nodes = _stored(ids.distinct())
     grouped = nodes.join(final, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"),
                                              F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "rid")).alias("first"))
