@@ -281,3 +281,28 @@ def test_registered(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") and "_" in n and n[2:n.index("_")].isdigit()]
     assert sorted(int(n[2:n.index("_")]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_block_max_index_sums_few_entries(monkeypatch):
+    """Grouped bounds leave few entries to be summed up, and a batch of searches finds what single ones find."""
+    rng = np.random.default_rng(8)
+    dense = np.zeros((4000, 600))
+    for row in dense:
+        terms = np.unique(rng.integers(0, 600, 40))
+        row[terms] = rng.random(len(terms)) ** 4
+        row /= np.linalg.norm(row)
+    vectors = [(np.flatnonzero(row), row[row > 0]) for row in dense]
+    index = op1_toxicity.BlockMaxIndex(vectors, 600)
+    assert len(index.group) > len(index.most) == op1_toxicity.GROUPS
+    summed, plain = [], op1_toxicity.BlockMaxIndex._with_common
+    monkeypatch.setattr(op1_toxicity.BlockMaxIndex, "_with_common", lambda self, score, found, *query: summed.append(len(found)) or plain(self, score, found, *query))
+    queries = vectors[::37] + [(np.zeros(0, np.int64), np.zeros(0))]
+    for (t, w), (found, got) in zip(queries, index.search_many(queries, 10), strict=True):
+        cosine = dense[:, t] @ w
+        assert np.allclose(got, np.sort(cosine)[::-1][:10] if len(t) else []) and np.allclose(cosine[found], got)
+    assert sum(summed) < 0.1 * index.size * len(queries)
+
+
+def test_words_of_any_characters():
+    for text in ("", None, "Ab c_d3e", "Éa²b ªxº Straße\xa0ÿ", "naïve — “Ünder” İx", "".join(map(chr, range(1, 700)))):
+        assert op1_toxicity.words(text) == (op1_toxicity._LETTERS.findall(text.lower()) if text else [])

@@ -2,8 +2,8 @@
 
 The vocabulary is all words of a bounded sample of labelled texts; how many documents hold each of them is counted over
 the whole corpus, and words that tell the classes apart weigh more. Examples with equal vectors are one entry with a count per class. Rare words are looked up in inverted
-lists; what common words can add is bounded by their greatest weight in each block of entries and by their part of each
-entry's length, and only entries that can still be among the nearest get it in full, so the neighbours are exact. A
+lists; what common words can add is bounded by the lengths of a text's and an entry's parts in groups of them, and
+only entries that can still be among the nearest get it in full, so the neighbours are exact. A
 monotone fit of left-one-out votes to labels turns votes into probabilities.
 """
 
@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +25,32 @@ from pyspark.sql import types as T
 from veneer.llm.common import crc_of_id, cut_lineage, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+#: Every Latin-1 character: letters as they are, blanks for all others.
+_LATIN = bytes(i if _LETTERS.match(chr(i)) else ord(" ") for i in range(256))
+#: Groups of common words; entries and queries that are worked on at a time.
+GROUPS, _ROWS, _QUERIES = 512, 2048, 64
+_SLACK = 1e-4  # far more than single precision loses in bounds on cosines
 
 
 def words(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    try:  # most texts have no other characters, and bytes are quick to scan
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _LETTERS.findall(text)
 
 
 def vector(text: str | None, place: dict[str, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word places and weights of unit length; empty if the text has no word of the vocabulary."""
-    counts = Counter(map(place.get, words(text)))
-    counts.pop(None, None)
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    terms, times = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    counts = Counter(words(text))  # before the look-up, which takes longer
+    terms = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
+    times = np.fromiter(counts.values(), np.int64, len(counts))
     order = np.argsort(terms)
+    order = order[np.searchsorted(terms, 0, sorter=order):]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0)
     terms = terms[order]
     weights = (1.0 + np.log(times[order])) * weight[terms]
     return terms, weights / math.sqrt(float(weights @ weights))
@@ -65,32 +78,69 @@ def _starts(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors. Words that more than a share `common` of the entries hold are also listed by entry,
-    with their greatest weight in each block of entries and their part of each entry's length: both bound what they can add."""
+    """Inverted lists of unit vectors. Words that more than a share `common` of the entries hold are also listed by entry.
+
+    Common words are dealt into at most GROUPS groups, the heaviest of them one each: what a group can add to a cosine is
+    at most the length of the query's part in it times that of the entry's. These bounds of a batch of queries for all
+    entries are one product of matrices; the sums over single words are computed for the entries that the bounds leave."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, common: float = 0.02):
         self.size = len(vectors)
-        blocks = -(-self.size // BLOCK)
-        term = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, np.int64)
+        term = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
+        entry = np.repeat(np.arange(self.size, dtype=np.int32), [len(v[0]) for v in vectors])
         order = np.argsort(term, kind="stable")
         self.start, self.entry, self.weight = _starts(term, n_terms), entry[order], weight[order]
+        del order
         often = np.diff(self.start) > common * self.size
         self.common = np.where(often, np.cumsum(often) - 1, -1)  # number among the common words
         mine = often[term]
-        self.common_term, self.common_weight = self.common[term[mine]], weight[mine]
+        self.common_term, self.common_weight = self.common[term[mine]].astype(np.int32), weight[mine]
         self.of_entry = _starts(entry[mine], self.size)
-        self.common_length = np.sqrt(np.bincount(entry[mine], weight[mine] ** 2, self.size))
-        self.most = np.zeros((int(often.sum()), blocks))
-        np.maximum.at(self.most, (self.common_term, entry[mine] // BLOCK), weight[mine])
+        del term, weight, entry, mine
+        n = int(often.sum())
+        heavy = np.argsort(-np.bincount(self.common_term, self.common_weight ** 2, n), kind="stable")
+        alone = n if n <= GROUPS else GROUPS // 2
+        self.group = np.empty(n, np.int64)
+        self.group[heavy] = np.append(np.arange(alone), alone + np.arange(n - alone) % max(1, GROUPS - alone))
+        # length of each entry's part in each group
+        self.most = np.zeros((min(n, GROUPS), self.size), np.float32)
+        for a in range(0, self.size, _ROWS):
+            b = min(a + _ROWS, self.size)
+            own = slice(self.of_entry[a], self.of_entry[b])
+            at = np.repeat(np.arange(b - a), np.diff(self.of_entry[a:b + 1])) + self.group[self.common_term[own]] * (b - a)
+            self.most[:, a:b] = np.sqrt(np.bincount(at, self.common_weight[own] ** 2, len(self.most) * (b - a))).reshape(-1, b - a)
 
     def _add(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         at, lengths = _postings(self.start, terms)
         return score + np.bincount(self.entry[at], np.repeat(weights, lengths) * self.weight[at], self.size)
 
+    def _with_common(self, score: np.ndarray, found: np.ndarray, terms: np.ndarray, place: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of the entries `found` with what the common words add, from the lists that are shorter: theirs or the words'."""
+        if (self.of_entry[found + 1] - self.of_entry[found]).sum() > (self.start[terms + 1] - self.start[terms]).sum():
+            return self._add(score, terms, weights)[found]
+        dense = np.zeros(len(self.group))
+        dense[place] = weights
+        at, lengths = _postings(self.of_entry, found)
+        return score[found] + np.bincount(np.repeat(np.arange(len(found)), lengths), dense[self.common_term[at]] * self.common_weight[at], len(found))
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of greatest cosine above 0 (ties: least entry first) and their cosines."""
+        return next(self.search_many([(terms, weights)], k))
+
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`search` for each of the queries, in their order."""
+        for a in range(0, len(queries), _QUERIES):
+            some = queries[a:a + _QUERIES]
+            parts = np.zeros((len(some), len(self.most)))
+            for part, (terms, weights) in zip(parts, some):
+                place = self.common[terms]
+                often = place >= 0
+                part += np.sqrt(np.bincount(self.group[place[often]], weights[often] ** 2, len(part)))
+            for (terms, weights), bound in zip(some, parts.astype(np.float32) @ self.most):
+                yield self._nearest(terms, weights, bound, k)
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(terms) or not self.size:
             return np.zeros(0, np.int64), np.zeros(0)
         place = self.common[terms]
@@ -98,17 +148,15 @@ class BlockMaxIndex:
         score = self._add(np.zeros(self.size), terms[~often], weights[~often])
         found = np.arange(self.size)
         if often.any():
-            q, place = weights[often], place[often]
-            bound = np.minimum(math.sqrt(float(q @ q)) * self.common_length, np.repeat(q @ self.most[place], BLOCK)[:self.size])
-            least = np.partition(score, self.size - k)[self.size - k] if self.size > k else 0.0
-            found = np.flatnonzero((bound + score >= least - 1e-9) & (bound + score > 0))
-            if (self.of_entry[found + 1] - self.of_entry[found]).sum() > (self.start[terms[often] + 1] - self.start[terms[often]]).sum():
-                score = self._add(score, terms[often], q)[found]
-            else:
-                dense = np.zeros(len(self.most))
-                dense[place] = q
-                at, lengths = _postings(self.of_entry, found)
-                score = score[found] + np.bincount(np.repeat(np.arange(len(found)), lengths), dense[self.common_term[at]] * self.common_weight[at], len(found))
+            query = terms[often], place[often], weights[often]
+            most = bound + score
+            least = 0.0
+            if self.size > 2 * k:
+                # the k-th greatest sum of entries with great bounds: the nearest have no less
+                first = np.argpartition(most, self.size - 2 * k)[self.size - 2 * k:]
+                least = np.partition(self._with_common(score, first, *query), k)[k]
+            found = np.flatnonzero((most >= least - _SLACK) & (most > 0))
+            score = self._with_common(score, found, *query)
         if len(found) > k:
             near = score >= np.partition(score, len(found) - k)[len(found) - k] - 1e-9
             found, score = found[near], score[near]
@@ -172,6 +220,12 @@ def votes(model: Model, found: np.ndarray, cosine: np.ndarray, without: tuple[in
     return float((weight[:, 1].sum() + model.base) / (weight.sum() + 1.0))
 
 
+def near_texts(model: Model, index: BlockMaxIndex, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nearest entries of each text and their cosines; the vectors of a few texts are held at a time."""
+    for a in range(0, len(texts), _QUERIES):
+        yield from index.search_many([vector(t.as_py(), model.place, model.weight) for t in texts[a:a + _QUERIES]], model.k)
+
+
 def monotone(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Knots and levels of the non-decreasing step function nearest to y(x): adjacent violators are pooled."""
     order = np.argsort(x, kind="stable")
@@ -220,11 +274,12 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Mod
     shared = spark.sparkContext.broadcast(place)
 
     def holding(batches):
-        counts, n = np.zeros(len(shared.value), np.int64), 0
+        place = shared.value
+        counts, n = np.zeros(len(place), np.int64), 0
         for batch in batches:
             for text in batch.column("text"):
                 n += 1
-                held = set(map(shared.value.get, words(text.as_py())))
+                held = set(map(place.get, set(words(text.as_py()))))
                 held.discard(None)
                 counts[np.fromiter(held, np.int64, len(held))] += 1
         rows = np.flatnonzero(counts)
@@ -262,9 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Mod
         own = bare_model.value
         index = own.index()
         for batch in batches:
-            out = []
-            for i in batch.column("id").to_pylist():
-                found, cosine = index.search(*own.vectors[i], own.k)
+            out, ids = [], batch.column("id").to_pylist()
+            for i, (found, cosine) in zip(ids, index.search_many([own.vectors[i] for i in ids], own.k)):
                 out += [(label, int(own.counts[i, label]), votes(own, found, cosine, (i, label))) for label in (0, 1) if own.counts[i, label]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()),
                                               pa.array([o[2] for o in out], pa.float64())], ["label", "n", "vote"])
@@ -295,9 +349,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         index = own.index()
         for batch in batches:
             scores, why = [], []
-            for text in batch.column("text"):
-                terms, weights = vector(text.as_py(), own.place, own.weight)
-                found, cosine = index.search(terms, weights, own.k)
+            for found, cosine in near_texts(own, index, batch.column("text")):
                 if len(found):
                     v = votes(own, found, cosine)
                     p = float(levels[max(0, np.searchsorted(knots, v, "right") - 1)])
