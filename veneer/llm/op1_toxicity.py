@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -28,7 +28,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 #: Every Latin-1 character: letters as they are, blanks for all others.
 _LATIN = bytes(i if _LETTERS.match(chr(i)) else ord(" ") for i in range(256))
 #: Groups of common words; entries and queries that are worked on at a time.
-GROUPS, _ROWS, _QUERIES = 512, 2048, 64
+GROUPS, _ROWS, _QUERIES = 384, 2048, 256
 _SLACK = 1e-4  # far more than single precision loses in bounds on cosines
 
 
@@ -84,11 +84,11 @@ class BlockMaxIndex:
     at most the length of the query's part in it times that of the entry's. These bounds of a batch of queries for all
     entries are one product of matrices; the sums over single words are computed for the entries that the bounds leave."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, common: float = 0.02):
+    def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], n_terms: int, common: float = 0.03):
         self.size = len(vectors)
         term = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        entry = np.repeat(np.arange(self.size, dtype=np.int32), [len(v[0]) for v in vectors])
+        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
         order = np.argsort(term, kind="stable")
         self.start, self.entry, self.weight = _starts(term, n_terms), entry[order], weight[order]
         del order
@@ -111,7 +111,7 @@ class BlockMaxIndex:
             at = np.repeat(np.arange(b - a), np.diff(self.of_entry[a:b + 1])) + self.group[self.common_term[own]] * (b - a)
             self.most[:, a:b] = np.sqrt(np.bincount(at, self.common_weight[own] ** 2, len(self.most) * (b - a))).reshape(-1, b - a)
 
-    def _add(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def _add(self, score: np.ndarray | float, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         at, lengths = _postings(self.start, terms)
         return score + np.bincount(self.entry[at], np.repeat(weights, lengths) * self.weight[at], self.size)
 
@@ -145,7 +145,7 @@ class BlockMaxIndex:
             return np.zeros(0, np.int64), np.zeros(0)
         place = self.common[terms]
         often = place >= 0
-        score = self._add(np.zeros(self.size), terms[~often], weights[~often])
+        score = self._add(0.0, terms[~often], weights[~often])
         found = np.arange(self.size)
         if often.any():
             query = terms[often], place[often], weights[often]
@@ -155,7 +155,7 @@ class BlockMaxIndex:
                 # the k-th greatest sum of entries with great bounds: the nearest have no less
                 first = np.argpartition(most, self.size - 2 * k)[self.size - 2 * k:]
                 least = np.partition(self._with_common(score, first, *query), k)[k]
-            found = np.flatnonzero((most >= least - _SLACK) & (most > 0))
+            found = np.flatnonzero(most >= max(least - _SLACK, np.finfo(float).tiny))
             score = self._with_common(score, found, *query)
         if len(found) > k:
             near = score >= np.partition(score, len(found) - k)[len(found) - k] - 1e-9
@@ -165,13 +165,34 @@ class BlockMaxIndex:
         return found[order], score[order]
 
 
+class Packed(Sequence):
+    """Vectors of whole numbers, 1e-9 each, unpacked one by one."""
+
+    @classmethod
+    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Packed:
+        term, weight = ([v[i] for v in vectors] or [np.zeros(0)] for i in (0, 1))
+        return cls([len(t) for t, _ in vectors], np.concatenate(term).astype(np.int32), np.rint(np.concatenate(weight) * 1e9).astype(np.int32))
+
+    def __init__(self, lengths: list[int] | np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.start, self.term, self.weight = np.append(0, np.cumsum(lengths)).astype(np.int64), term, weight
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        own = slice(self.start[i], self.start[i + 1])
+        return self.term[own], self.weight[own] / 1e9
+
+
 @dataclass
 class Model:
     """All of bounded size: vocabulary, examples by vector, and the steps from votes to probabilities."""
 
     place: dict[str, int]
     weight: np.ndarray  # of each word: idf, raised by how clearly it tells the classes apart
-    vectors: list[tuple[np.ndarray, np.ndarray]]
+    vectors: Packed
     counts: np.ndarray  # (entry, class) examples
     example: list  # least id of each entry's examples
     base: float  # share of class 1
@@ -197,17 +218,14 @@ class Model:
         """Packed: example weights have nine digits, so they are whole numbers of 1e-9."""
         state = {k: v for k, v in self.__dict__.items() if k not in ("_index", "_sent")}
         state["place"] = "\n".join(self.place)  # in order of places; words hold letters only
-        term, weight = ([v[i] for v in self.vectors] or [np.zeros(0)] for i in (0, 1))
-        state["vectors"] = ([len(v[0]) for v in self.vectors], np.concatenate(term).astype(np.int32),
-                            np.rint(np.concatenate(weight) * 1e9).astype(np.int32))
+        state["vectors"] = np.diff(self.vectors.start), self.vectors.term, self.vectors.weight
         return state
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.place = {w: i for i, w in enumerate(state["place"].split("\n"))} if state["place"] else {}
         lengths, term, weight = state["vectors"]
-        cuts = np.cumsum(lengths)[:-1]
-        self.vectors = list(zip(np.split(term.astype(np.int64), cuts), np.split(weight / 1e9, cuts))) if lengths else []
+        self.vectors = Packed(lengths, term, weight)
 
 
 def votes(model: Model, found: np.ndarray, cosine: np.ndarray, without: tuple[int, int] | None = None) -> float:
@@ -277,11 +295,13 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Mod
         place = shared.value
         counts, n = np.zeros(len(place), np.int64), 0
         for batch in batches:
-            for text in batch.column("text"):
-                n += 1
-                held = set(map(place.get, set(words(text.as_py()))))
-                held.discard(None)
-                counts[np.fromiter(held, np.int64, len(held))] += 1
+            n += batch.num_rows
+            for a in range(0, batch.num_rows, _ROWS):  # words are looked up once for many texts
+                held: Counter = Counter()
+                for text in batch.column("text")[a:a + _ROWS]:
+                    held.update(set(words(text.as_py())))
+                rows = np.fromiter(map(place.get, held, repeat(-1)), np.int64, len(held))
+                counts[rows[rows >= 0]] += np.fromiter(held.values(), np.int64, len(held))[rows >= 0]
         rows = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1), pa.int32()), pa.array(np.append(counts[rows], n), pa.int64())], ["word", "n"])
 
@@ -309,8 +329,10 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> Mod
     filled, bare = [i for i in entries if len(terms[i])], [i for i in entries if not len(terms[i])]
     base = (n1 + 0.5) / (n0 + n1 + 1.0)
     empty = (sum(one[i] for i in bare) + base) / (sum(n[i] for i in bare) + 1.0)
-    model = Model(place, weight, [(terms[i], weights[i]) for i in filled], np.array([[n[i] - one[i], one[i]] for i in filled], np.int64).reshape(-1, 2),
+    packed = Packed.of([(terms[i], weights[i]) for i in filled])
+    model = Model(place, weight, packed, np.array([[n[i] - one[i], one[i]] for i in filled], np.int64).reshape(-1, 2),
                   [least[i] for i in filled], base, np.zeros(1), np.array([base]), empty)
+    del table_, terms, weights, use, vocabulary  # the driver keeps the packed form alone
     bare_model = model.send(spark)
 
     def left_out(batches):
@@ -347,8 +369,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         own = shared.value
         index = own.index()
+        example, share = np.array(own.example, np.int64), own.counts[:, 1] / np.maximum(1, own.counts.sum(1))
         for batch in batches:
-            scores, why = [], []
+            scores, why, width = [], [], []
             for found, cosine in near_texts(own, index, batch.column("text")):
                 if len(found):
                     v = votes(own, found, cosine)
@@ -357,11 +380,14 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                     scores.append(min(1.0, max(0.0, p + 0.01 * (v - 0.5))))
                 else:
                     scores.append(own.empty)
-                why.append([{"doc_id": own.example[i], "similarity": float(c), "share": float(own.counts[i, 1] / own.counts[i].sum())}
-                            for i, c in zip(found[:evidence].tolist(), cosine[:evidence])])
+                why.append((found[:evidence], cosine[:evidence]))
+                width.append(len(why[-1][0]))
+            entry, similarity = (np.concatenate([w[i] for w in why] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            nearest = pa.StructArray.from_arrays([pa.array(example[entry], pa.int64()), pa.array(similarity, pa.float64()), pa.array(share[entry], pa.float64())],
+                                                 ["doc_id", "similarity", "share"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()),
                                               pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                                              pa.array(why, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("share", pa.float64())])))], schema.names)
+                                              pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width)), pa.int32()), nearest)], schema.names)
 
     return base.mapInArrow(run, schema)
 
