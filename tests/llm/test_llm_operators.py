@@ -2,7 +2,9 @@
 extra columns with clashing names; its registered query on the smallest tables."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -306,3 +308,30 @@ def test_block_max_index_sums_few_entries(monkeypatch):
 def test_words_of_any_characters():
     for text in ("", None, "Ab c_d3e", "Éa²b ªxº Straße\xa0ÿ", "naïve — “Ünder” İx", "".join(map(chr, range(1, 700)))):
         assert op1_toxicity.words(text) == (op1_toxicity._LETTERS.findall(text.lower()) if text else [])
+
+
+def test_agreeing_neighbours():
+    """Couples of suffixes that share long prefixes are put in order word by word; which share `length` bytes is asked once."""
+    for _ in range(60):
+        base = bytes(random.choice(b"ab\x00\xc3") for _ in range(90))
+        block = b"\xff".join([base, base[:70] + b"z" * random.randint(0, 30), base[40:]]) + b"\xff"
+        order = suffixes.suffix_array(block, 64)
+        assert [block[i:i + 64] for i in order] == sorted(block[i:i + 64] for i in range(len(block)))
+        for length in (20, 33, 64, 500):
+            want = [k for k, (a, b) in enumerate(zip(order, order[1:])) if len(block[max(a, b):]) >= length and block[a:a + length] == block[b:b + length]]
+            assert suffixes.agreeing(block, order, length).tolist() == want
+
+
+def test_label_model_steps_share_their_code(spark):
+    """What a step of the fit learns travels as data: no number of the model is written into the expressions."""
+    model = op9_quality.LabelModel(["r0", "r1"], 0.7)
+    votes = spark.createDataFrame([(a, b) for a in (-1, 0, 1, None) for b in (-1, 0, 1, 2)], "r0 int, r1 int")
+    plain = (f"(1D / (1D + exp(-cast({math.log(0.7 / (1 - 0.7))!r} + CASE r0 WHEN 1 THEN {math.log(0.999 / 0.7)!r} WHEN -1 THEN {math.log((1 - 0.999) / 0.3)!r} ELSE 0D END"
+             f" + CASE r1 WHEN 1 THEN {math.log(0.999 / 0.7)!r} WHEN -1 THEN {math.log((1 - 0.999) / 0.3)!r} ELSE 0D END AS double))))")
+    assert all(r[0] == r[1] for r in votes.select(model.posterior(), F.expr(plain)).collect())
+
+    def code(prior):
+        plan = votes.select(op9_quality.LabelModel(["r0", "r1"], prior).posterior())._jdf.queryExecution()
+        return re.sub(r"#\d+L?|references\[\d+\] \S+.*|/\*.*?\*/", "", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan()).split("Generated code:")[1])
+
+    assert code(0.7) == code(0.6)

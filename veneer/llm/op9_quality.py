@@ -110,15 +110,17 @@ class LabelModel:
         self.right_if_bad = dict.fromkeys(rules, 0.3)
         self.iterations, self.converged = 0, False
 
-    def posterior_sql(self) -> str:
-        terms = [repr(math.log(self.prior / (1 - self.prior)))]
+    def posterior(self) -> Column:
+        """Posterior of a vote pattern. What the votes weigh is one array, which the generated code refers to: numbers
+        written into the expression would have new code compiled and kept for every step of the fit."""
+        weights, prior = [], math.log(self.prior / (1 - self.prior))
         for r in self.rules:
             g, b = self.right_if_good[r], self.right_if_bad[r]
-            terms.append(f"CASE {r} WHEN 1 THEN {math.log(g / (1 - b))!r} WHEN -1 THEN {math.log((1 - g) / b)!r} ELSE 0D END")
-        return f"(1D / (1D + exp(-cast({' + '.join(terms)} AS double))))"
-
-    def posterior(self) -> Column:
-        return F.expr(self.posterior_sql())
+            weights += [prior + x for x in (math.log((1 - g) / b), 0.0, math.log(g / (1 - b)))]
+            prior = 0.0  # counted once
+        place = lambda r, k: F.when(F.col(r) == 1, 3 * k + 2).when(F.col(r) == -1, 3 * k).otherwise(3 * k + 1)
+        terms = [F.get(F.array(*[F.lit(w) for w in weights]), place(r, k)) for k, r in enumerate(self.rules)]
+        return 1.0 / (1.0 + F.exp(-sum(terms[1:], terms[0]))) if terms else F.lit(1.0 / (1.0 + math.exp(-prior)))
 
 
 def fit(patterns: DataFrame, rules: list[str], max_iter: int = 100, tolerance: float = 1e-4) -> LabelModel:
@@ -133,7 +135,7 @@ def fit(patterns: DataFrame, rules: list[str], max_iter: int = 100, tolerance: f
         for vote, name in ((1, "p"), (-1, "m")):
             sums += [f"sum(if({r} = {vote}, n, 0)) {r}_{name}", f"sum(if({r} = {vote}, n * good, 0D)) {r}_{name}g"]
     for step in range(max_iter):
-        row = patterns.selectExpr("*", f"{model.posterior_sql()} good").selectExpr(*sums).first()
+        row = patterns.withColumn("good", model.posterior()).selectExpr(*sums).first()
         if not row["n"]:
             model.converged = True
             return model
