@@ -282,7 +282,7 @@ def test_block_max_index_is_exact_with_common_words():
 def test_registered(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") and "_" in n and n[2:n.index("_")].isdigit()]
-    assert sorted(int(n[2:n.index("_")]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:n.index("_")]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_block_max_index_sums_few_entries(monkeypatch):
