@@ -106,3 +106,33 @@ def test_more_models_than_lines_are_added_up_by_tasks(spark):
     one = audit.run_on(rows, NAMES, [], trial_labels.Steps(), [0], spread).fit.weights
     assert np.allclose(many, one, rtol=1e-9, atol=1e-9)
     rows.release()
+
+
+def test_swaps_go_on_until_none_improves(spark):
+    """Beyond two rounds and beyond the 24 first candidates; a bound on either is the caller's."""
+    x, y, pair, df = _answers(spark, 31, seed=9)
+    start = set(range(26, 31))
+
+    def swapped(rounds=1000, probe=1000):
+        ids, auc, conf = set(start), *ref.evaluate(x, y, pair, start)[::2]
+        tried, done = 0, 0
+        while done < rounds:
+            members = sorted(ids, key=lambda i: (-round(conf[i], 10), i))[:probe]
+            for r, q in ((r, q) for r in sorted(set(range(31)) - ids)[:probe] for q in members):
+                tried = max(tried, sorted(set(range(31)) - ids).index(r))
+                m = ref.evaluate(x, y, pair, (ids - {q}) | {r})
+                if m[1] <= 1.0 and m[0] + 1e-12 < auc:
+                    ids, auc, conf = (ids - {q}) | {r}, m[0], m[2]
+                    break
+            else:
+                break
+            done += 1
+        return ids, done, tried
+
+    want, rounds, tried = swapped()
+    bounded = swapped(2, 24)[0]
+    assert rounds > 2 and tried >= 24 and want != bounded
+    kept = spark.createDataFrame([(i,) for i in start], "pair_id long")
+    trial = pruning.PruneTrial("confidence", 1.0, "accuracy")
+    assert {r["pair_id"] for r in pruning.swap_refine(df, kept, 1.0, trial, NAMES).collect()} == want
+    assert {r["pair_id"] for r in pruning.swap_refine(df, kept, 1.0, trial, NAMES, rounds=2, probe=24).collect()} == bounded
