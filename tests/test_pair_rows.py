@@ -136,3 +136,30 @@ def test_swaps_go_on_until_none_improves(spark):
     trial = pruning.PruneTrial("confidence", 1.0, "accuracy")
     assert {r["pair_id"] for r in pruning.swap_refine(df, kept, 1.0, trial, NAMES).collect()} == want
     assert {r["pair_id"] for r in pruning.swap_refine(df, kept, 1.0, trial, NAMES, rounds=2, probe=24).collect()} == bounded
+
+
+def test_nothing_is_tried_where_no_pair_can_be_audited(spark, monkeypatch):
+    df = _answers(spark, 30, seed=2)[3]
+    kept = spark.createDataFrame([(i,) for i in (4, 9, 17)], "pair_id long")  # 4 pairs are 8 rows, an audit needs 10
+    monkeypatch.setattr(audit, "trial_metrics", lambda *args, **kwargs: pytest.fail("an audit of too few rows"))
+    assert {r["pair_id"] for r in pruning.add_back(df, kept, 1.0, "accuracy", NAMES).collect()} == {4, 9, 17}
+
+
+def test_blocks_that_grow_keep_the_order(spark, monkeypatch):
+    """Runs of acceptances and of rejections, past several sizes of a block, with ids that are no dense range."""
+    x, y, pair, df = _answers(spark, 36, seed=7)
+    start = {30, 31, 32, 33, 34, 35}
+    tau = ref.evaluate(x, y, pair, start)[1] + 0.02
+    want = set(start)
+    for p in range(30):
+        m = ref.evaluate(x, y, pair, want | {p})
+        if m[1] <= tau + 1e-9:
+            want.add(p)
+    sizes = []
+    listed = pair_rows.next_left_out
+    monkeypatch.setattr(pair_rows, "next_left_out", lambda *args: (sizes.append(args[2]), listed(*args))[1])
+    kept = spark.createDataFrame([(i * 1000,) for i in start], "pair_id long")
+    wide = df.withColumn("pair_id", F.col("pair_id") * 1000)
+    got = pruning.add_back(wide, kept, tau, "accuracy", NAMES, block=2, max_passes=1)
+    assert {r["pair_id"] // 1000 for r in got.collect()} == want and start < want < set(range(36))
+    assert {2, 4, 8} >= set(sizes) > {2}
